@@ -16,6 +16,8 @@ from webfrontier.session import cut_lineage, scratch_table
 
 # Known URLs are kept in this many co-partitioned pieces before they are merged into one.
 KNOWN_PIECES = 8
+# Edges one task of a round should handle.
+EDGES_PER_PARTITION = 1_000_000
 
 
 def new_urls(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -75,21 +77,27 @@ def keep_first(rows: DataFrame, limited: DataFrame, order: list[str]) -> DataFra
     return free.unionByName(first)
 
 
-def _loop_session(spark: SparkSession) -> SparkSession:
+def _loop_session(spark: SparkSession, edge_rows: int) -> SparkSession:
     """A session for the rounds. Adaptive planning is off in it, because only then does a checkpoint
-    keep its hash partitioning, which saves the shuffle of edges and known URLs in every round."""
+    keep its hash partitioning, which saves the shuffle of edges and known URLs in every round. The
+    number of partitions follows the number of edges instead."""
     session = spark.newSession()
-    for name in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold"):
-        session.conf.set(name, spark.conf.get(name))
-    session.conf.set("spark.sql.session.timeZone", "UTC")
+    partitions = max(spark.sparkContext.defaultParallelism, edge_rows // EDGES_PER_PARTITION)
+    session.conf.set("spark.sql.shuffle.partitions", partitions)
     session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.session.timeZone", "UTC")
     return session
 
 
 def _handed_over(rows: DataFrame, session: SparkSession, name: str) -> DataFrame:
+    """The rows as a table of the other session."""
+    return session.read.parquet(_stored(rows, name))
+
+
+def _stored(rows: DataFrame, name: str) -> str:
     path = scratch_table(rows.sparkSession, name)
     rows.write.parquet(path)
-    return session.read.parquet(path)
+    return path
 
 
 def _placed(rows: DataFrame, *on: str) -> DataFrame:
@@ -115,8 +123,9 @@ def discover(
     ``SHARES`` of them, so their side is broadcast.
     """
     spark = seeds.sparkSession
-    session = _loop_session(spark)
-    edges = _handed_over(edges.select("tag", "src", "dst"), session, "edges")
+    edge_path = _stored(edges.select("tag", "src", "dst"), "edges")
+    session = _loop_session(spark, spark.read.parquet(edge_path).count())
+    edges = session.read.parquet(edge_path)
     large = cut_lineage(heavy_keys(edges, ["tag", "src"], heavy_rows).drop("splits"))
     has_large = not large.isEmpty()
     wide = None

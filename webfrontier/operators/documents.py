@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfrontier.functions.html import page_text, page_title
@@ -28,15 +28,17 @@ def extract_text(responses: DataFrame) -> DataFrame:
 
 def page_documents(responses: DataFrame, crawl_time: str, keep: list[str] | None = None) -> DataFrame:
     """One document per crawlable response; one narrow stage from page to document."""
-    kinds = {"internal_links": "internal", "external_links": "external"}
+
+    def of_kind(kind: str) -> Column:
+        chosen = F.filter("links", lambda x: x["link_type"] == kind)
+        return F.transform(chosen, lambda x: x["link"]).alias(f"{kind}_links")
+
     documents = page_links(responses).where("crawlable")
-    for name, kind in kinds.items():
-        of_kind = F.filter("links", lambda x, k=kind: x["link_type"] == k)
-        documents = documents.withColumn(name, F.transform(of_kind, lambda x: x["link"]))
     return documents.select(
         *(keep or []),
         "url",
-        *kinds,
+        of_kind("internal"),
+        of_kind("external"),
         F.lit(crawl_time).alias("crawl_time"),
         url_domain(F.col("url")).alias("domain"),
         page_text(F.col("body")).alias("body"),
