@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from html.entities import name2codepoint
 
@@ -13,13 +14,11 @@ from webfrontier.functions.binding import let
 
 def _names_by_first_letter() -> Column:
     """Two-level map of the HTML 4 names, so that a lookup compares few keys."""
-    groups: dict[str, list] = defaultdict(list)
+    groups: dict[str, dict[str, str]] = defaultdict(dict)
     for name, code in sorted(name2codepoint.items()):
-        groups[name[0]] += [F.lit(name), F.lit(chr(code))]
-    pairs: list[Column] = []
-    for letter, entries in groups.items():
-        pairs += [F.lit(letter), F.create_map(*entries)]
-    return F.create_map(*pairs)
+        groups[name[0]][name] = chr(code)
+    # One text constant, which the optimizer turns into a map constant.
+    return F.from_json(F.lit(json.dumps(groups)), "map<string,map<string,string>>")
 
 
 def _named(name: Column) -> Column:

@@ -11,13 +11,14 @@ from webfrontier.model import DONE, NEW
 from webfrontier.operators.links import allowed_links
 from webfrontier.operators.ranking import ranked
 from webfrontier.operators.seeds import frontier_row
-from webfrontier.operators.skew import HEAVY_ROWS, heavy_keys, spread_join
-from webfrontier.session import cut_lineage, scratch_table
+from webfrontier.operators.skew import HEAVY_ROWS, MEASURE, heavy_keys, spread_join
+from webfrontier.session import cut_and_count, cut_lineage, scratch_table
 
 # Known URLs are kept in this many co-partitioned pieces before they are merged into one.
-KNOWN_PIECES = 8
-# Edges one task of a round should handle.
+KNOWN_PIECES = 4
+# Edges one task of a round should handle, at most and at least.
 EDGES_PER_PARTITION = 1_000_000
+MIN_EDGES_PER_PARTITION = 20_000
 
 
 def new_urls(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -35,13 +36,13 @@ def discover_round(
     sites: DataFrame,
     policy: DataFrame,
     now: str,
-    heavy: DataFrame | None = None,
+    heavy: DataFrame | None | str = MEASURE,
 ) -> DataFrame:
     """New frontier rows from the links ``(tag, page, link_type, link)`` of the pages of one round.
 
     ``heavy`` names the large tags; by default their shares are taken from the frontier.
     """
-    if heavy is None:
+    if isinstance(heavy, str):
         heavy = heavy_keys(frontier, ["tag"])
     fresh = new_urls(allowed_links(links, policy, heavy), frontier)
     rows = spread_join(fresh, sites.select("tag", "data"), ["tag"], "left", ["key"], heavy)
@@ -79,12 +80,14 @@ def keep_first(rows: DataFrame, limited: DataFrame, order: list[str]) -> DataFra
 
 def _loop_session(spark: SparkSession, edge_rows: int) -> SparkSession:
     """A session for the rounds. Adaptive planning is off in it, because only then does a checkpoint
-    keep its hash partitioning, which saves the shuffle of edges and known URLs in every round. The
-    number of partitions follows the number of edges instead."""
+    keep its hash partitioning and order, so that a round merges edges and known URLs where they lie,
+    without a shuffle, a sort or a broadcast. The number of partitions follows the number of edges."""
     session = spark.newSession()
-    partitions = max(spark.sparkContext.defaultParallelism, edge_rows // EDGES_PER_PARTITION)
+    small = min(spark.sparkContext.defaultParallelism, edge_rows // MIN_EDGES_PER_PARTITION)
+    partitions = max(1, small, edge_rows // EDGES_PER_PARTITION)
     session.conf.set("spark.sql.shuffle.partitions", partitions)
     session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     session.conf.set("spark.sql.session.timeZone", "UTC")
     return session
 
@@ -101,8 +104,8 @@ def _stored(rows: DataFrame, name: str) -> str:
 
 
 def _placed(rows: DataFrame, *on: str) -> DataFrame:
-    """Checkpoint hash-partitioned by the given columns."""
-    return cut_lineage(rows.repartition(*on))
+    """Checkpoint hash-partitioned by the given columns and sorted by them within each partition."""
+    return cut_lineage(rows.repartition(*on).sortWithinPartitions(*on))
 
 
 def discover(
@@ -126,56 +129,64 @@ def discover(
     edge_path = _stored(edges.select("tag", "src", "dst"), "edges")
     session = _loop_session(spark, spark.read.parquet(edge_path).count())
     edges = session.read.parquet(edge_path)
-    large = cut_lineage(heavy_keys(edges, ["tag", "src"], heavy_rows).drop("splits"))
-    has_large = not large.isEmpty()
+    large = heavy_keys(edges, ["tag", "src"], heavy_rows)
     wide = None
-    if has_large:
-        wide = cut_lineage(edges.join(F.broadcast(large), ["tag", "src"], "left_semi"))
-        edges = edges.join(F.broadcast(large), ["tag", "src"], "left_anti")
+    if large is not None:
+        large = F.broadcast(large.drop("splits"))
+        wide = cut_lineage(edges.join(large, ["tag", "src"], "left_semi"))
+        edges = edges.join(large, ["tag", "src"], "left_anti")
     edges = _placed(edges, "tag", "src")
     limits = _handed_over(caps.select("tag", "maxPages"), session, "caps") if caps is not None else None
     done = None
 
     first = _handed_over(seeds.select("tag", "key").distinct(), session, "seeds")
     fresh = _placed(first.withColumn("parent", F.lit(None).cast("string")), "tag", "key")
-    known = [fresh]
+    known = [fresh.select("tag", "key")]
+    levels: list[DataFrame] = []
     out = scratch_table(spark, "found")
     depth = 0
     while True:
         active = fresh
         if limits is not None:
             active, done = _within_caps(fresh, limits, done)
-        level = fresh.withColumn("depth", F.lit(depth))
-        if active is fresh:
-            level = level.withColumn("flag", F.lit(DONE))
-        else:
-            processed = active.select("tag", "key", F.lit(DONE).alias("flag"))
-            level = level.join(processed, ["tag", "key"], "left").fillna(NEW, ["flag"])
-        level.write.mode("append").parquet(out)
+        levels.append(_level(fresh, active).withColumn("depth", F.lit(depth)))
         if max_rounds is not None and depth + 1 >= max_rounds:
             break
         sources = active.select("tag", F.col("key").alias("src"))
         targets = sources.join(edges, ["tag", "src"])
         if wide is not None:
             # At most SHARES sources are large, so this side is small whatever the input.
-            few = F.broadcast(sources.join(F.broadcast(large), ["tag", "src"], "left_semi"))
+            few = F.broadcast(sources.join(large, ["tag", "src"], "left_semi"))
             targets = targets.unionByName(wide.join(few, ["tag", "src"]).select(*targets.columns))
-        candidates = targets.groupBy("tag", F.col("dst").alias("key")).agg(
-            F.min("src").alias("parent")
-        )
+        found = targets.groupBy("tag", F.col("dst").alias("key")).agg(F.min("src").alias("parent"))
         for piece in known:
-            candidates = candidates.join(piece.select("tag", "key"), ["tag", "key"], "left_anti")
-        fresh = cut_lineage(candidates)
-        if fresh.isEmpty():
+            found = found.join(piece, ["tag", "key"], "left_anti")
+        fresh, size = cut_and_count(found)
+        if not size:
             break
-        known.append(fresh)
+        known.append(fresh.select("tag", "key"))
         if len(known) > KNOWN_PIECES:
-            together = reduce(DataFrame.unionByName, [k.select("tag", "key") for k in known])
-            known = [_placed(together, "tag", "key")]
+            known = [_placed(reduce(DataFrame.unionByName, known), "tag", "key")]
+            _append(levels, out)
+            levels = []
         depth += 1
+    _append(levels, out)
     return spark.read.parquet(out).select("tag", "key", "depth", "parent", "flag")
 
 
+def _level(fresh: DataFrame, active: DataFrame) -> DataFrame:
+    """The URLs of one round with their state: done when active, else still new."""
+    if active is fresh:
+        return fresh.withColumn("flag", F.lit(DONE))
+    processed = active.select("tag", "key", F.lit(DONE).alias("flag"))
+    return fresh.join(processed, ["tag", "key"], "left").fillna(NEW, ["flag"])
+
+
+def _append(levels: list[DataFrame], path: str) -> None:
+    if levels:
+        reduce(DataFrame.unionByName, levels).write.mode("append").parquet(path)
+
+
 def _within_caps(
     fresh: DataFrame, limits: DataFrame, done: DataFrame | None
 ) -> tuple[DataFrame, DataFrame]:
@@ -187,10 +198,11 @@ def _within_caps(
         sizes = sizes.join(done, "tag", "full").fillna(0, ["_size", "_done"])
     cap = F.col("maxPages")
     keep = F.when(cap > 0, F.greatest(cap - 1 - F.col("_done"), F.lit(0)))
-    counted = cut_lineage(sizes.join(limits, "tag", "left").withColumn("_keep", keep))
-    limited = counted.where(F.col("_size") > F.col("_keep")).select("tag", "_keep")
+    beyond = F.col("_size") > F.col("_keep")
+    counted, over = cut_and_count(sizes.join(limits, "tag", "left").withColumn("_keep", keep), beyond)
     taken = F.least("_size", F.coalesce("_keep", F.col("_size")))
     done = counted.select("tag", (F.col("_done") + taken).alias("_done"))
-    if limited.isEmpty():
+    if not over:
         return fresh, done
+    limited = counted.where(beyond).select("tag", "_keep")
     return cut_lineage(keep_first(fresh, limited, ["key"])), done

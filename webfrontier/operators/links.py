@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webfrontier.functions.html import page_link_array
 from webfrontier.functions.urls import url_domain, url_path, url_scheme
-from webfrontier.operators.skew import spread_join
+from webfrontier.operators.skew import MEASURE, spread_join
 from webfrontier.sources.responses import mark_crawlable
 from webfrontier.sources.robots import ANY_AGENT, robots_allow, robots_policy
 
@@ -37,7 +37,11 @@ def site_policy(sites: DataFrame, robots: DataFrame, agent: str = ANY_AGENT) ->
 
 
 def allowed_by_robots(
-    links: DataFrame, robots: DataFrame, agent: str = ANY_AGENT, scope: str = "tag", heavy=None
+    links: DataFrame,
+    robots: DataFrame,
+    agent: str = ANY_AGENT,
+    scope: str = "tag",
+    heavy: DataFrame | None | str = MEASURE,
 ) -> DataFrame:
     """Internal links the robots rules allow.
 
@@ -59,7 +63,9 @@ def allowed_by_robots(
     )
 
 
-def in_allowed_domains(links: DataFrame, sites: DataFrame, heavy=None) -> DataFrame:
+def in_allowed_domains(
+    links: DataFrame, sites: DataFrame, heavy: DataFrame | None | str = MEASURE
+) -> DataFrame:
     """External links whose domain is one of the site's authorised domains."""
     external = links.where(F.col("link_type") == "external").withColumn(
         "_domain", url_domain(F.col("link"))
@@ -70,7 +76,9 @@ def in_allowed_domains(links: DataFrame, sites: DataFrame, heavy=None) -> DataFr
     ).select(*links.columns)
 
 
-def allowed_links(links: DataFrame, policy: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def allowed_links(
+    links: DataFrame, policy: DataFrame, heavy: DataFrame | None | str = MEASURE
+) -> DataFrame:
     """Links to follow: discovery is on, and robots rules (internal) or domain list (external) agree.
 
     One join on the tag serves all three tests.

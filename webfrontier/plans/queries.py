@@ -47,7 +47,7 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.extract_links(_responses(spark, sf_dir), keep=["tag"])
 
 
-def _heavy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _heavy_tags(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     # Shares of the tags by pages: reads the url column only.
     return heavy_keys(_responses(spark, sf_dir), ["tag"])
 
@@ -293,7 +293,9 @@ def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def external_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.in_allowed_domains(_links(spark, sf_dir), _sites(spark, sf_dir))
+    return links.in_allowed_domains(
+        _links(spark, sf_dir), _sites(spark, sf_dir), _heavy_tags(spark, sf_dir)
+    )
 
 
 # --- frontier ----------------------------------------------------------------------------------

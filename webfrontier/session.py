@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "webfrontier", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -20,6 +21,7 @@ def build_session(app: str = "webfrontier", cores: int | str = "*", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -45,6 +47,17 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+def cut_and_count(rows: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """Checkpoint, and the number of its rows (that meet a condition) counted while it is written.
+
+    A repeated task may be counted twice, so the number can be too high but is 0 only when there are none.
+    """
+    seen = Observation()
+    counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    kept = cut_lineage(rows.observe(seen, counted.alias("rows")))
+    return kept, seen.get["rows"]
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for a table this job writes and reads back."""
     return f"{checkpoint_root(spark).rstrip('/')}/webfrontier/{name}-{uuid.uuid4().hex}"

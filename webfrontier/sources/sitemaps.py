@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfrontier.model import SITEMAP_XML
-from webfrontier.operators.skew import spread_join
-from webfrontier.session import cut_lineage
+from webfrontier.operators.skew import heavy_keys, spread_join
+from webfrontier.session import cut_and_count, cut_lineage
 
 # The only lastmod format that counts (fixed value); its Z is read as UTC.
 LASTMOD_FORMAT = "yyyy-MM-dd'T'HH:mm'Z'"
@@ -51,26 +51,28 @@ def resolve_sitemaps(roots: DataFrame, sitemaps: DataFrame) -> DataFrame:
     documents = cut_lineage(_documents(sitemaps))
     open_rows = roots.select("tag", "sitemap_url", F.array("sitemap_url").alias("trail"))
     found: list[DataFrame] = []
+    to_open = None
+    deeper = (F.col("kind") == "sitemap") & ~F.array_contains("trail", F.col("loc"))
     while True:
-        reached = cut_lineage(
-            spread_join(open_rows, documents, ["sitemap_url"], "inner", ["tag"]).select(
+        heavy = heavy_keys(open_rows, ["sitemap_url"], at_most=to_open)
+        reached, to_open = cut_and_count(
+            spread_join(open_rows, documents, ["sitemap_url"], "inner", ["tag"], heavy).select(
                 "tag", "sitemap_url", "trail", F.inline("entries")
-            )
+            ),
+            deeper,
         )
         found.append(
             reached.where(F.col("kind") == "page").select(
                 "tag", "sitemap_url", F.lit(len(found)).alias("depth"), "loc", "lastmod"
             )
         )
-        open_rows = reached.where(
-            (F.col("kind") == "sitemap") & ~F.array_contains("trail", F.col("loc"))
-        ).select(
+        if not to_open:
+            return reduce(DataFrame.unionByName, found)
+        open_rows = reached.where(deeper).select(
             "tag",
             F.col("loc").alias("sitemap_url"),
             F.array_append("trail", F.col("loc")).alias("trail"),
         )
-        if open_rows.isEmpty():
-            return reduce(DataFrame.unionByName, found)
 
 
 def recent_urls(sitemap_urls: DataFrame, sites: DataFrame, now: str) -> DataFrame:
