@@ -28,6 +28,7 @@ FRENCH_MONTHS = {
     "décembre": "12",
 }
 
+_SPACE = r"[ \t\n\x0B\f\r]"
 _FRENCH_DATE = r"(\d{1,2}) ([^ ]*) (\d{4})"
 
 # Search tokens: runs of letters, digits, marks and "_", joined by one "." or apostrophe between
@@ -39,13 +40,22 @@ _TOKEN = (
 
 
 def words(text: Column) -> Column:
-    """Lowercased words as separated by single white-space characters; punctuation stays on."""
-    return F.split(ascii_lower(text), r"[ \t\n\x0B\f\r]")
+    """The pieces between single white-space characters, as written; punctuation stays on."""
+    return F.split(text, _SPACE)
+
+
+def lower_word(word: Column) -> Column:
+    """Lowercases A to Z only; words of ASCII letters take the fast way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(
+        ascii_lower(word)
+    )
 
 
 def french_label(text: Column) -> Column:
     """``fr`` when one of the French words occurs more often than the limit, else ``not_fr``."""
-    marks = F.filter(words(text), lambda w: w.isin(FRENCH_WORDS))
+    marked = rf"(?i){_SPACE}(?:{'|'.join(FRENCH_WORDS)})(?={_SPACE}|\z)"
+    hits = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(marked), F.lit(0))
+    marks = F.transform(hits, lambda hit: F.lower(F.substring(hit, F.lit(2), F.length(hit))))
 
     def often(known: Column) -> Column:
         return F.exists(

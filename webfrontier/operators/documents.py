@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfrontier.functions.html import page_text, page_title
-from webfrontier.functions.text import french_date, french_label, words
+from webfrontier.functions.text import french_date, french_label, lower_word, words
 from webfrontier.functions.urls import query_pairs, url_domain, url_scheme
 from webfrontier.operators.links import page_links
+from webfrontier.operators.unnest import unnest
 from webfrontier.sources.responses import mark_crawlable
 
 
@@ -76,8 +77,8 @@ def language_confusion(rows: DataFrame, text_col: str, truth_col: str) -> DataFr
 def word_counts(rows: DataFrame, key: str, text_col: str) -> DataFrame:
     """``(key, word, n)``: words are counted in their own task before they are shuffled."""
     return (
-        rows.select(key, F.explode(words(F.col(text_col))).alias("word"))
-        .groupBy(key, "word")
+        unnest(rows, [key], words(F.col(text_col)), "word")
+        .groupBy(key, lower_word(F.col("word")).alias("word"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -88,4 +89,4 @@ def french_dates(rows: DataFrame, text_col: str, out: str = "french_date") -> Da
 
 def query_params(rows: DataFrame, url_col: str, keep: list[str] | None = None) -> DataFrame:
     """One row per query parameter of each URL."""
-    return rows.select(*(keep or [url_col]), F.inline(query_pairs(F.col(url_col))))
+    return unnest(rows, keep or [url_col], query_pairs(F.col(url_col)))

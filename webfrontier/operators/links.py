@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webfrontier.functions.html import page_link_array
 from webfrontier.functions.urls import url_domain, url_path, url_scheme
 from webfrontier.operators.skew import MEASURE, spread_join
+from webfrontier.operators.unnest import unnest
 from webfrontier.sources.responses import mark_crawlable
 from webfrontier.sources.robots import ANY_AGENT, robots_allow, robots_policy
 
@@ -24,9 +25,9 @@ def page_links(responses: DataFrame) -> DataFrame:
 
 def extract_links(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``(*keep, page, link_type, link)``; each link once per page and type."""
-    return page_links(responses).select(
-        *(keep or []), F.col("url").alias("page"), F.inline("links")
-    ).select(*(keep or []), "page", "link_type", "link")
+    keep = [*(keep or []), "page"]
+    linked = unnest(page_links(responses.withColumn("page", F.col("url"))), keep, F.col("links"))
+    return linked.select(*keep, "link_type", "link")
 
 
 def site_policy(sites: DataFrame, robots: DataFrame, agent: str = ANY_AGENT) -> DataFrame:

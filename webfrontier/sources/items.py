@@ -51,8 +51,10 @@ def item_from_json(rows: DataFrame, json_col: str = "json", now: str | None = No
     item = F.from_json(json_col, _ITEM)
     written = F.col("_item.datetime")
     inner = F.get_json_object(F.when(F.startswith(written, F.lit("{")), written), "$.date")
+    # A failed parse is costly, so only text that may be a time is tried.
+    plain = F.when(~F.startswith(written, F.lit("{")), written)
     moment = F.coalesce(
-        F.try_to_timestamp(written, F.lit(ISO_FORMAT)),
+        F.try_to_timestamp(plain, F.lit(ISO_FORMAT)),
         F.try_to_timestamp(inner, F.lit(OBJECT_FORMAT)),
         F.when(written.isNull(), F.to_timestamp(F.lit(now))) if now else F.lit(None),
     )

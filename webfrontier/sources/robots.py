@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webfrontier.functions.binding import let
 from webfrontier.functions.urls import ascii_lower, strip_blanks
+from webfrontier.operators.unnest import unnest
 
 ANY_AGENT = "*"
 
@@ -65,10 +66,12 @@ def parse_robots(robots: DataFrame) -> DataFrame:
 
     Agents stay an array, so a group of many agents and many rules is not multiplied out.
     """
-    groups = robots.select(
-        "tag", F.posexplode(_groups(F.col("body"))).alias("block", "group")
-    ).where(F.size("group.agents") > 0)
-    return groups.select("tag", "block", "group.agents", F.inline("group.rules")).select(
+    numbered = F.transform(
+        _groups(F.col("body")),
+        lambda g, i: F.struct(i.alias("block"), g["agents"].alias("agents"), g["rules"].alias("rules")),
+    )
+    groups = unnest(robots, ["tag"], numbered).where(F.size("agents") > 0)
+    return unnest(groups, ["tag", "block", "agents"], F.col("rules")).select(
         "tag",
         "block",
         "agents",

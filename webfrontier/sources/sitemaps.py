@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webfrontier.model import SITEMAP_XML
 from webfrontier.operators.skew import heavy_keys, spread_join
+from webfrontier.operators.unnest import unnest
 from webfrontier.session import cut_and_count, cut_lineage
 
 # The only lastmod format that counts (fixed value); its Z is read as UTC.
@@ -33,7 +34,7 @@ def _documents(sitemaps: DataFrame) -> DataFrame:
 
 def parse_sitemaps(sitemaps: DataFrame) -> DataFrame:
     """``(url, xml)`` documents to ``(sitemap_url, kind, loc, lastmod)``; kind is ``page`` or ``sitemap``."""
-    return _documents(sitemaps).select("sitemap_url", F.inline("entries"))
+    return unnest(_documents(sitemaps), ["sitemap_url"], F.col("entries"))
 
 
 def root_sitemaps(sites: DataFrame) -> DataFrame:
@@ -56,8 +57,10 @@ def resolve_sitemaps(roots: DataFrame, sitemaps: DataFrame) -> DataFrame:
     while True:
         heavy = heavy_keys(open_rows, ["sitemap_url"], at_most=to_open)
         reached, to_open = cut_and_count(
-            spread_join(open_rows, documents, ["sitemap_url"], "inner", ["tag"], heavy).select(
-                "tag", "sitemap_url", "trail", F.inline("entries")
+            unnest(
+                spread_join(open_rows, documents, ["sitemap_url"], "inner", ["tag"], heavy),
+                ["tag", "sitemap_url", "trail"],
+                F.col("entries"),
             ),
             deeper,
         )
