@@ -77,7 +77,7 @@ def test_robots_of_the_links_own_host(spark, robots):
 
 def test_one_round(spark, found, sites, robots):
     known = spark.createDataFrame([("t", "http://a.b"), ("t", "http://E.F/1")], "tag string, key string")
-    rows = discovery.discover_round(known, found, sites, links.site_policy(sites, robots), NOW).collect()
+    rows = discovery.discover_round(known, found, links.site_policy(sites, robots), NOW).collect()
     got = {(r["tag"], r["key"], r["domain"], r["flag"], r["searchable"], r["data"]) for r in rows}
     assert got == {
         ("t", "http://a.b/ok", "a.b", NEW, "Discovered http://a.b/ok from http://a.b", "{t}"),

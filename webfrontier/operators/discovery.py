@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webfrontier.model import DONE, NEW
-from webfrontier.operators.links import allowed_links
+from webfrontier.operators.links import may_follow
 from webfrontier.operators.ranking import ranked
 from webfrontier.operators.seeds import frontier_row
 from webfrontier.operators.skew import HEAVY_ROWS, MEASURE, heavy_keys, spread_join
@@ -21,19 +21,38 @@ EDGES_PER_PARTITION = 1_000_000
 MIN_EDGES_PER_PARTITION = 20_000
 
 
-def new_urls(links: DataFrame, known: DataFrame) -> DataFrame:
-    """``(tag, key, parent)``: linked URLs of each tag that have no row yet, each once.
+def new_urls(
+    links: DataFrame,
+    known: DataFrame,
+    policy: DataFrame,
+    heavy: DataFrame | None | str = MEASURE,
+) -> DataFrame:
+    """``(tag, key, parent, data)``: URLs that may be followed and have no row yet, each once.
 
-    Repeated links are reduced before the shuffle; the parent is the first linking page by name.
+    ``links`` is ``(tag, page, link_type, link)``. Repeated links are folded into one row per URL before
+    and after the only shuffle of links, known URLs drop out in the same partitions, and the rules
+    are applied to what is left, with one join on the tag. The parent is the first page by name of
+    those whose link is allowed.
     """
-    found = links.groupBy("tag", F.col("link").alias("key")).agg(F.min("page").alias("parent"))
-    return found.join(known.select("tag", "key"), ["tag", "key"], "left_anti")
+    page, kind = F.col("page"), F.col("link_type")
+    folded = links.groupBy("tag", F.col("link").alias("key")).agg(
+        F.min(F.when(kind == "internal", page)).alias("_inside"),
+        F.min(F.when(kind == "external", page)).alias("_outside"),
+    )
+    unknown = folded.join(known.select("tag", "key"), ["tag", "key"], "left_anti")
+    ruled = spread_join(unknown, policy, ["tag"], "inner", ["key"], heavy)
+    parent = F.least(
+        F.when(may_follow(F.col("key"), F.lit("internal")), F.col("_inside")),
+        F.when(may_follow(F.col("key"), F.lit("external")), F.col("_outside")),
+    )
+    return ruled.select("tag", "key", parent.alias("parent"), "data").where(
+        F.col("parent").isNotNull()
+    )
 
 
 def discover_round(
     frontier: DataFrame,
     links: DataFrame,
-    sites: DataFrame,
     policy: DataFrame,
     now: str,
     heavy: DataFrame | None | str = MEASURE,
@@ -44,10 +63,13 @@ def discover_round(
     """
     if isinstance(heavy, str):
         heavy = heavy_keys(frontier, ["tag"])
-    fresh = new_urls(allowed_links(links, policy, heavy), frontier)
-    rows = spread_join(fresh, sites.select("tag", "data"), ["tag"], "left", ["key"], heavy)
+    return discovered_rows(new_urls(links, frontier, policy, heavy), now)
+
+
+def discovered_rows(urls: DataFrame, now: str) -> DataFrame:
+    """Frontier rows of new URLs; they inherit the settings of their run."""
     label = F.concat(F.lit("Discovered "), F.col("key"), F.lit(" from "), F.col("parent"))
-    return rows.select(*frontier_row(F.col("key"), F.col("tag"), label, F.col("data"), now))
+    return urls.select(*frontier_row(F.col("key"), F.col("tag"), label, F.col("data"), now))
 
 
 def cap_pages(rows: DataFrame, caps: DataFrame, order: list[str]) -> DataFrame:

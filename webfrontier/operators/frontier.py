@@ -55,10 +55,13 @@ def latest_state(events: DataFrame, order: list[str] | None = None) -> DataFrame
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Writes by tag and key ranges, so a large tag covers many files and small tags share one."""
+    """Writes by tag group and sorted by tag, so that a lookup by tag reads few files and row groups.
+
+    The rebalance hint lets Spark split a large group over many files and join small ones.
+    """
     (
         events.withColumn("tag_group", tag_group(F.col("tag")))
-        .repartitionByRange("tag_group", "tag", "key")
+        .hint("rebalance", F.col("tag_group"))
         .sortWithinPartitions("tag_group", "tag", "key")
         .write.mode(mode)
         .partitionBy("tag_group")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfrontier.functions.html import page_link_array
@@ -31,8 +31,8 @@ def extract_links(responses: DataFrame, keep: list[str] | None = None) -> DataFr
 
 
 def site_policy(sites: DataFrame, robots: DataFrame, agent: str = ANY_AGENT) -> DataFrame:
-    """One row per tag with all that decides about its links."""
-    return sites.select("tag", "noDiscovery", "authorizedDomains").join(
+    """One row per tag with all that decides about its links, and the settings text of the run."""
+    return sites.select("tag", "noDiscovery", "authorizedDomains", "data").join(
         robots_policy(robots, agent), "tag", "left"
     )
 
@@ -85,8 +85,11 @@ def allowed_links(
     One join on the tag serves all three tests.
     """
     joined = spread_join(links, policy, ["tag"], "inner", ["page", "link"], heavy)
-    link = F.col("link")
+    return joined.where(may_follow(F.col("link"), F.col("link_type"))).select(*links.columns)
+
+
+def may_follow(link: Column, link_type: Column) -> Column:
+    """The rules of a row of ``site_policy`` applied to a link."""
     robots_ok = robots_allow(url_path(link), F.col("robots_rules"))
     domain_ok = F.array_contains("authorizedDomains", url_domain(link))
-    follow = F.when(F.col("link_type") == "internal", robots_ok).otherwise(domain_ok)
-    return joined.where(~F.col("noDiscovery") & follow).select(*links.columns)
+    return ~F.col("noDiscovery") & F.when(link_type == "internal", robots_ok).otherwise(domain_ok)

@@ -478,7 +478,6 @@ def discover_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = discovery.discover_round(
         known.unionByName(_run_rows(spark, sf_dir)),
         _links(spark, sf_dir),
-        _sites(spark, sf_dir),
         _policy(spark, sf_dir),
         D.NOW,
         _heavy_tags(spark, sf_dir),

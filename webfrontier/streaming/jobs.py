@@ -13,9 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from webfrontier.model import DONE, EVENT_ORDER, NEW, PROCESSING
 from webfrontier.operators.callbacks import payload
-from webfrontier.operators.discovery import new_urls
-from webfrontier.operators.links import allowed_links, extract_links
-from webfrontier.operators.seeds import frontier_row
+from webfrontier.operators.discovery import discovered_rows, new_urls
+from webfrontier.operators.links import extract_links
 from webfrontier.operators.skew import heavy_keys
 
 _BATCH = "batch"
@@ -33,18 +32,15 @@ def stream_discover(
 
     Links are reduced to distinct URLs inside the batch, before they are shuffled, so a URL that all
     pages link to is no hot spot (streaming de-duplication would send every copy to one task). Seeds
-    and URLs of earlier batches are then removed by anti joins on (tag, key).
+    and URLs of earlier batches are then removed by an anti join on (tag, key).
     """
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        heavy = heavy_keys(batch, ["tag"])
-        links = allowed_links(extract_links(batch, keep=["tag"]), policy, heavy)
-        label = F.concat(F.lit("Discovered "), F.col("key"), F.lit(" from "), F.col("parent"))
-        rows = new_urls(links, seeds).select(
-            *frontier_row(F.col("key"), F.col("tag"), label, F.lit(None).cast("string"), now)
-        )
-        known = _earlier(rows, path, batch_id).select("tag", "key")
-        _write(rows.join(known, ["tag", "key"], "left_anti"), path, batch_id)
+        keys = seeds.select("tag", "key")
+        earlier = _earlier(keys, path, batch_id)
+        links = extract_links(batch, keep=["tag"])
+        urls = new_urls(links, keys.unionByName(earlier), policy, heavy_keys(batch, ["tag"]))
+        _write(discovered_rows(urls, now), path, batch_id)
 
     return _start(responses, absorb, checkpoint)
 
