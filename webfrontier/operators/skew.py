@@ -19,14 +19,17 @@ def heavy_keys(
 ) -> DataFrame | None:
     """``(*on, splits)`` for the heavy keys of ``rows``, or None when there are none.
 
-    Runs one counting pass over the key columns, unless ``rows`` is known to hold ``at_most`` too few rows. The result holds at most ``SHARES`` rows, whatever the
-    input, so it is fetched and becomes a local table.
+    Runs one counting pass over the key columns, unless ``rows`` is known to hold ``at_most`` too few
+    rows, and a second one only when a key may be heavy. The result holds at most ``SHARES`` rows,
+    whatever the input, so it is fetched and becomes a local table.
     """
     if at_most is not None and at_most < min_rows:
         return None
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    share = F.col("_rows") * SHARES / total
+    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    if largest is None or largest < min_rows or largest * SHARES <= total:
+        return None
+    share = F.col("_rows") * SHARES / F.lit(total)
     heavy = counts.where((share > 1) & (F.col("_rows") >= min_rows)).select(
         *on, F.ceil(share).cast("int").alias("splits")
     )

@@ -14,7 +14,7 @@ from webfrontier.model import DONE, NEW, PROCESSING
 from webfrontier.operators import callbacks, discovery, documents, frontier, links, seeds, stats
 from webfrontier.operators.skew import heavy_keys
 from webfrontier.plans import derived as D
-from webfrontier.session import scratch_table
+from webfrontier.session import cut_lineage, scratch_table
 from webfrontier.sources import items, responses, robots, sitemaps, sites
 from webfrontier.streaming import jobs
 
@@ -56,8 +56,9 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sites(_pages(spark, sf_dir))
 
 
-def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.site_policy(_sites(spark, sf_dir), D.robots(_pages(spark, sf_dir)))
+def _site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites as a table, for queries that use them several times."""
+    return cut_lineage(_sites(spark, sf_dir))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,29 +238,29 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemaps.parse_sitemaps(D.sitemaps(_pages(spark, sf_dir)))
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    roots = D.sitemap_roots(pages, D.sites(pages))
-    return sitemaps.resolve_sitemaps(roots, D.sitemaps(pages))
+def _resolved(pages: DataFrame, site_rows: DataFrame) -> DataFrame:
+    return sitemaps.resolve_sitemaps(D.sitemap_roots(pages, site_rows), D.sitemaps(pages))
 
 
-def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitemaps.recent_urls(_resolved(spark, sf_dir), _sites(spark, sf_dir), D.NOW)
+def _recent(pages: DataFrame, site_rows: DataFrame) -> DataFrame:
+    return sitemaps.recent_urls(_resolved(pages, site_rows), site_rows, D.NOW)
 
 
 @query
 def sitemap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir)
+    return _resolved(_pages(spark, sf_dir), _sites(spark, sf_dir))
 
 
 @query
 def sitemap_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recent(spark, sf_dir).select("tag", "depth", "loc", "lastmod")
+    recent = _recent(_pages(spark, sf_dir), _site_table(spark, sf_dir))
+    return recent.select("tag", "depth", "loc", "lastmod")
 
 
 @query
 def seed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seeds.seed_urls(_sites(spark, sf_dir), _recent(spark, sf_dir), D.NOW)
+    site_rows = _site_table(spark, sf_dir)
+    rows = seeds.seed_urls(site_rows, _recent(_pages(spark, sf_dir), site_rows), D.NOW)
     return rows.select(
         "id",
         F.date_format("datetime", MOMENT).alias("datetime"),
@@ -407,13 +408,12 @@ def item_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- runs --------------------------------------------------------------------------------------
 
 
-def _run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run_rows(pages: DataFrame, site_rows: DataFrame) -> DataFrame:
     """One frontier row per page, in states that follow the page number, and the signatures."""
-    pages = _pages(spark, sf_dir)
     tag = sites.crawl_tag(url_domain(F.col("url")), D.PREFIX)
     row = seeds.frontier_row(F.col("url"), tag, F.lit("page"), F.lit(None).cast("string"), D.NOW)
     rows = pages.select("page_id", *row).withColumn("flag", (F.col("page_id") % 3).cast("int"))
-    signatures = seeds.signature_rows(D.sites(pages), D.NOW, "process-1")
+    signatures = seeds.signature_rows(site_rows, D.NOW, "process-1")
     return rows.drop("page_id").unionByName(signatures)
 
 
@@ -429,7 +429,7 @@ def crawl_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def active_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frontier.active_crawls(_run_rows(spark, sf_dir))
+    rows = frontier.active_crawls(_run_rows(_pages(spark, sf_dir), _sites(spark, sf_dir)))
     return rows.select(
         "id", "tag", "key", "searchable", F.date_format("datetime", MOMENT).alias("datetime")
     )
@@ -437,7 +437,7 @@ def active_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def crawl_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frontier.active_crawls(_run_rows(spark, sf_dir))
+    rows = frontier.active_crawls(_run_rows(_pages(spark, sf_dir), _sites(spark, sf_dir)))
     return items.decode_data(rows, CONFIG, "config").select(
         "tag",
         "config.domain",
@@ -449,11 +449,12 @@ def crawl_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _run_rows(spark, sf_dir)
+    site_rows = _site_table(spark, sf_dir)
+    rows = _run_rows(_pages(spark, sf_dir), site_rows)
     signatures = frontier.active_crawls(rows).select(
         "tag", F.col("searchable").alias("label"), F.col("datetime").alias("started")
     )
-    crawls = _sites(spark, sf_dir).join(signatures, "tag")
+    crawls = site_rows.join(signatures, "tag")
     return stats.crawl_report(crawls, stats.crawl_stats(rows))
 
 
@@ -474,11 +475,12 @@ def callback_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def discover_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = seeds.seed_urls(_sites(spark, sf_dir), _recent(spark, sf_dir), D.NOW)
+    pages, site_rows = _pages(spark, sf_dir), _site_table(spark, sf_dir)
+    known = seeds.seed_urls(site_rows, _recent(pages, site_rows), D.NOW)
     rows = discovery.discover_round(
-        known.unionByName(_run_rows(spark, sf_dir)),
+        known.unionByName(_run_rows(pages, site_rows)),
         _links(spark, sf_dir),
-        _policy(spark, sf_dir),
+        links.site_policy(site_rows, D.robots(pages)),
         D.NOW,
         _heavy_tags(spark, sf_dir),
     )
@@ -501,8 +503,9 @@ def discover_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _run_rows(spark, sf_dir).where(F.col("flag") >= 0).select("tag", "key")
-    caps = _sites(spark, sf_dir).select("tag", "maxPages")
+    site_rows = _site_table(spark, sf_dir)
+    rows = _run_rows(_pages(spark, sf_dir), site_rows).where(F.col("flag") >= 0)
+    rows, caps = rows.select("tag", "key"), site_rows.select("tag", "maxPages")
     return discovery.cap_pages(rows, caps, ["key"])
 
 
@@ -518,11 +521,12 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def stream_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_table(spark, "stream-discover")
-    known = _run_rows(spark, sf_dir).select("tag", "key")
+    pages, site_rows = _pages(spark, sf_dir), _site_table(spark, sf_dir)
+    known = _run_rows(pages, site_rows).select("tag", "key")
     jobs.stream_discover(
         D.responses(_stream(spark, sf_dir, "pages")),
         known,
-        _policy(spark, sf_dir),
+        links.site_policy(site_rows, D.robots(pages)),
         f"{out}/frontier",
         f"{out}/progress",
         D.NOW,
