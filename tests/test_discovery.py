@@ -102,14 +102,14 @@ def test_seeds(spark, sites):
     }
 
 
-def _walk(starts, edges, caps):
+def _walk(starts, edges, caps, silent):
     """Breadth-first by plain Python: {(tag, key): (depth, parent, flag)}."""
     out = {}
     for tag in {t for t, _ in starts}:
         level = {k: None for t, k in starts if t == tag}
         depth, used, cap = 0, 0, caps.get(tag, -1)
         while level:
-            active = sorted(level)
+            active = sorted(k for k in level if k not in silent)
             if cap > 0:
                 active = active[: max(cap - 1 - used, 0)]
             used += len(active)
@@ -124,9 +124,10 @@ def _walk(starts, edges, caps):
 
 
 @pytest.mark.parametrize(
-    ("caps", "heavy_rows"), [({}, 10**9), ({}, 1), ({"a": 20, "b": 1, "c": 0}, 10**9), ({"a": 5}, 1)]
+    ("caps", "heavy_rows", "silent"),
+    [({}, 10**9, ()), ({}, 1, ()), ({"a": 20, "b": 1, "c": 0}, 10**9, ()), ({"a": 9}, 1, ("hub", "3", "c4"))],
 )
-def test_closure(spark, caps, heavy_rows):
+def test_closure(spark, caps, heavy_rows, silent):
     rng = random.Random(7)
     edges = [(t, str(rng.randrange(60)), str(rng.randrange(60))) for t in "abc" for _ in range(90)]
     # A hub whose links are a third of all, and a chain that outlasts the merging of known pieces.
@@ -137,12 +138,19 @@ def test_closure(spark, caps, heavy_rows):
         spark.createDataFrame(starts, "tag string, key string"),
         spark.createDataFrame(edges, "tag string, src string, dst string"),
         spark.createDataFrame(list(caps.items()), "tag string, maxPages int") if caps else None,
+        answered=_answered(spark, edges, starts, silent) if silent else None,
         heavy_rows=heavy_rows,
     )
     rows = table.collect()
     got = {(r["tag"], r["key"]): (r["depth"], r["parent"], r["flag"]) for r in rows}
     assert len(rows) == len(got)
-    assert got == _walk(starts, edges, caps)
+    assert got == _walk(starts, edges, caps, silent)
+
+
+def _answered(spark, edges, starts, silent):
+    names = {(t, k) for t, s, d in edges for k in (s, d)} | set(starts)
+    rows = [(t, k) for t, k in names if k not in silent]
+    return spark.createDataFrame(rows, "tag string, key string")
 
 
 def test_bounded_rounds(spark):

@@ -134,13 +134,16 @@ def discover(
     seeds: DataFrame,
     edges: DataFrame,
     caps: DataFrame | None = None,
+    answered: DataFrame | None = None,
     max_rounds: int | None = None,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """All URLs reachable from the seeds: ``(tag, key, depth, parent, flag)``.
 
     ``seeds`` is ``(tag, key)``, ``edges`` is ``(tag, src, dst)`` of links that may be followed, ``caps``
-    is ``(tag, maxPages)``. Rows a cap leaves unprocessed stay in the state "new".
+    is ``(tag, maxPages)``, ``answered`` is ``(tag, key)`` of URLs that have a response (all, when not
+    given). Rows without a response, and rows a cap leaves unprocessed, stay in the state "new"; only
+    processed rows count for the cap and are followed further.
 
     Edges are written and partitioned once by (tag, src). A round joins them with the URLs found
     last, which lie in the same partitions, reduces the targets to distinct URLs (the only shuffle) and
@@ -159,6 +162,9 @@ def discover(
         edges = edges.join(large, ["tag", "src"], "left_anti")
     edges = _placed(edges, "tag", "src")
     limits = _handed_over(caps.select("tag", "maxPages"), session, "caps") if caps is not None else None
+    if answered is not None:
+        answered = answered.select("tag", "key").distinct()
+        answered = _placed(_handed_over(answered, session, "answered"), "tag", "key")
     done = None
 
     first = _handed_over(seeds.select("tag", "key").distinct(), session, "seeds")
@@ -169,8 +175,10 @@ def discover(
     depth = 0
     while True:
         active = fresh
+        if answered is not None:
+            active = fresh.join(answered, ["tag", "key"], "left_semi")
         if limits is not None:
-            active, done = _within_caps(fresh, limits, done)
+            active, done = _within_caps(active, limits, done)
         levels.append(_level(fresh, active).withColumn("depth", F.lit(depth)))
         if max_rounds is not None and depth + 1 >= max_rounds:
             break

@@ -227,6 +227,12 @@ STEPS: dict[str, str] = {
         SELECT tag, count(*) FILTER (flag = 0) AS done, count(*) FILTER (flag = 1) AS processing,
                count(*) FILTER (flag = 2) AS new, count(*) FILTER (flag IN (0, 1, 2)) AS total
         FROM run_rows GROUP BY tag""",
+    "run_level0": """
+        SELECT d.tag, d.key, searchable, data, 0 AS depth,
+               r.url IS NOT NULL AND (max_pages <= 0 OR
+                   row_number() OVER (PARTITION BY d.tag, r.url IS NOT NULL ORDER BY d.key) < max_pages) AS processed
+        FROM (SELECT DISTINCT * FROM seeds) d JOIN sites s ON s.tag = d.tag
+        LEFT JOIN resp r ON r.tag = d.tag AND r.url = d.key""",
     "payload": f"""
         SELECT r.tag, nullif(datasource_id, '') AS datasource_id,
                CASE WHEN crawlable THEN nullif(trim({_decode("regexp_extract(body, '<title>(.*?)</title>', 1)")}), '') END
@@ -432,6 +438,17 @@ _BODIES: dict[str, str] = {
         FROM seen s
         WHERE s.depth = 0 OR EXISTS (SELECT 1 FROM edges e JOIN seen p ON p.node = e.src
                                      WHERE e.dst = s.node AND p.tag = s.tag AND p.processed)""",
+    "crawl_run": f"""
+        SELECT sha256(tag || '|' || key) AS id, key, {_domain('key')} AS domain, tag,
+               CAST(CASE WHEN processed THEN 0 ELSE 2 END AS INTEGER) AS flag, searchable, data,
+               CAST(depth AS BIGINT) AS depth
+        FROM run_level0
+        UNION ALL
+        SELECT sha256(f.tag || '|' || f.link), f.link, {_domain('f.link')}, f.tag, CAST(2 AS INTEGER),
+               'Discovered ' || f.link || ' from ' || min(f.page), any_value(p.data), CAST(1 AS BIGINT)
+        FROM followed f JOIN run_level0 p ON p.tag = f.tag AND p.key = f.page AND p.processed
+        WHERE NOT EXISTS (SELECT 1 FROM run_level0 k WHERE k.tag = f.tag AND k.key = f.link)
+        GROUP BY f.tag, f.link""",
     "page_cap": """
         SELECT tag, key FROM (
             SELECT r.tag, key, max_pages, row_number() OVER (PARTITION BY r.tag ORDER BY key) AS place

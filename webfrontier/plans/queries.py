@@ -14,6 +14,7 @@ from webfrontier.model import DONE, NEW, PROCESSING
 from webfrontier.operators import callbacks, discovery, documents, frontier, links, seeds, stats
 from webfrontier.operators.skew import heavy_keys
 from webfrontier.plans import derived as D
+from webfrontier.plans.crawl import crawl
 from webfrontier.session import cut_lineage, scratch_table
 from webfrontier.sources import items, responses, robots, sitemaps, sites
 from webfrontier.streaming import jobs
@@ -501,6 +502,22 @@ def discover_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tag", "key", F.col("depth").cast("bigint").alias("depth"), "flag")
 
 
+@query
+def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, site_rows = _pages(spark, sf_dir), _site_table(spark, sf_dir)
+    rows = crawl(
+        _responses(spark, sf_dir),
+        site_rows,
+        D.robots(pages),
+        D.sitemaps(pages),
+        D.NOW,
+        roots=D.sitemap_roots(pages, site_rows),
+    )
+    return rows.select(
+        "id", "key", "domain", "tag", "flag", "searchable", "data", F.col("depth").cast("bigint").alias("depth")
+    )
+
+
 @query
 def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     site_rows = _site_table(spark, sf_dir)
