@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import html
+import random
+from html.entities import name2codepoint
 
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from webfrontier.functions import entities, http, text, urls
@@ -112,16 +112,15 @@ def test_entities_are_decoded_once(one):
     assert one(entities.decode_entities(X), numbers) == "ABC&#39;&#128;€&#xD800;&#0;&#99999999;"
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(
-    st.lists(
-        st.sampled_from(["&lt;", "&gt;", "&amp;", "&quot;", "&eacute;", "&#233;", "x", " ", "é", ";"]),
-        max_size=12,
-    )
-)
-def test_entities_agree_with_the_standard_library(one, pieces):
-    value = "".join(pieces)
-    assert one(entities.decode_entities(X), value) == html.unescape(value)
+def test_entities_agree_with_the_standard_library(spark):
+    rng = random.Random(3)
+    parts = ["&lt;", "&gt;", "&amp;", "&quot;", "&eacute;", "&#233;", "&Alpha;", "x", " ", "é", ";"]
+    values = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(500)]
+    # The names of HTML 4, two of which later got another character.
+    expected = {v: html.unescape(v) for v in values}
+    expected |= {f"&{name};": chr(code) for name, code in name2codepoint.items()}
+    rows = spark.createDataFrame([(v,) for v in expected], "x string")
+    assert dict(rows.select(X, entities.decode_entities(X)).collect()) == expected
 
 
 @pytest.mark.parametrize(
@@ -224,11 +223,14 @@ def test_broken_bytes_are_dropped(one, raw, expected):
     assert one(http.drop_broken_bytes(X), raw, "binary") == expected
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.binary(max_size=40))
-def test_broken_bytes_agree_with_the_standard_library(one, raw):
-    if "�" not in raw.decode("utf-8", "ignore"):
-        assert one(http.drop_broken_bytes(X), raw, "binary") == raw.decode("utf-8", "ignore")
+def test_broken_bytes_agree_with_the_standard_library(spark):
+    rng = random.Random(5)
+    parts = [b"a", "é".encode(), "€".encode(), "𝄞".encode(), b"\xc3", b"\xe2\x82", b"\x80", b"\xff", b"\xf4\x90"]
+    values = [b"".join(rng.choices(parts, k=rng.randrange(10))) for _ in range(500)]
+    values += [rng.randbytes(rng.randrange(40)) for _ in range(500)]
+    rows = spark.createDataFrame([(bytearray(v),) for v in values], "x binary")
+    for raw, clean in rows.select(X, http.drop_broken_bytes(X)).collect():
+        assert clean == bytes(raw).decode("utf-8", "ignore"), raw
 
 
 def test_charset(one):

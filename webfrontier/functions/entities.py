@@ -26,7 +26,7 @@ def _named(name: Column) -> Column:
     return (
         F.when(name == "amp", F.lit("&"))
         .when(name == "quot", F.lit('"'))
-        .when(name == "nbsp", F.lit(" "))
+        .when(name == "nbsp", F.lit("\u00a0"))
         .otherwise(F.try_element_at(table, name))
     )
 

@@ -43,10 +43,16 @@ def set_flag(rows: DataFrame, flag: int, event_time: str, event_no: int = 0) ->
     return as_events(rows.withColumn("flag", F.lit(flag)), event_time, event_no)
 
 
-def latest_state(events: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The last version per id without tombstones; versions are reduced before they are shuffled."""
+def latest_state(
+    events: DataFrame, order: list[str] | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """The last version per id without tombstones; versions are reduced before they are shuffled.
+
+    ``keep`` names the columns that are needed, when these are few: no others are read or shuffled.
+    """
     order = order or EVENT_ORDER
-    columns = [c for c in events.columns if c not in order]
+    wanted = events.columns if keep is None else ["id", *keep, "deleted"]
+    columns = [c for c in events.columns if c in wanted and c not in order]
     last = F.max_by(F.struct(*columns), F.struct(*order)).alias("last")
     state = events.groupBy(F.col("id").alias("_id")).agg(last).select("last.*")
     if "deleted" in columns:

@@ -420,12 +420,13 @@ def _run_rows(pages: DataFrame, site_rows: DataFrame) -> DataFrame:
 
 @query
 def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.crawl_stats(_state(spark, sf_dir))
+    return stats.crawl_stats(frontier.latest_state(_events(spark, sf_dir), keep=["tag", "flag"]))
 
 
 @query
 def crawl_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.crawl_progress(stats.crawl_stats(_state(spark, sf_dir)))
+    state = frontier.latest_state(_events(spark, sf_dir), keep=["tag", "flag"])
+    return stats.crawl_progress(stats.crawl_stats(state))
 
 
 @query
