@@ -194,7 +194,7 @@ def test_few_rows_have_no_heavy_keys(spark):
     assert skew.heavy_keys(facts, ["tag"], min_rows=5, at_most=4) is None
 
 
-def test_payload(spark):
+def test_payload(spark, tmp_path):
     html = {"content-type": "text/html"}
     pages = spark.createDataFrame(
         [
@@ -213,6 +213,8 @@ def test_payload(spark):
         "u2": (None, None, None),
         "u3": (None, None, "<title> </title>"),
     }
+    callbacks.deliver(pages, table, str(tmp_path / "sink"))
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 3
     forms = callbacks.with_form_body(callbacks.payload(pages, table)).where("url = 'u1'").first()
     assert forms["form"] == "title=x&html=%3Ctitle%3Ex%3C%2Ftitle%3Eb&url=u1"
 

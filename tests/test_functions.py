@@ -96,15 +96,23 @@ def test_long_tags_do_not_exhaust_the_stack(one):
 
 
 def test_links_once_per_type_in_page_order(one):
-    body = '<a href="/b"><a href="/a"><a href="/b/"><a href="http://c.d/">'
+    body = '<a href="/b"><a href="/a"><a href="/b/"><a href="http://c.d/"><a href="/x y"><a href="http">'
     links = one(page.page_link_array(X, F.lit("e.f"), F.lit("http")), body)
     assert [tuple(r) for r in links] == [
         ("http://e.f/b", "internal"),
         ("http://e.f/a", "internal"),
         ("http://c.d", "external"),
+        ("http://e.f/x y", "internal"),
+        ("http", "external"),
     ]
 
 
+def test_pages_with_very_many_links(one):
+    body = "".join(f"<a href=/{i % 30_000}>" for i in range(60_000))
+    links = one(page.page_link_array(X, F.lit("e.f"), F.lit("http")), body)
+    assert len(links) == 30_000 and links[-1]["link"] == "http://e.f/29999"
+
+
 def test_entities_are_decoded_once(one):
     given_text = "a &amp;lt; &copy; &middot; &eacute;&rsquo; &zz; &amp; x &"
     assert one(entities.decode_entities(X), given_text) == "a &lt; © · é’ &zz; & x &"

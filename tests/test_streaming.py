@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webfrontier.operators import callbacks, links, stats
 from webfrontier.operators.frontier import latest_state
 from webfrontier.plans import derived as D
+from webfrontier.sources import responses
 from webfrontier.streaming import jobs
 
 
@@ -76,6 +77,20 @@ def test_a_row_that_moves_leaves_its_old_count(spark, tmp_path):
     assert got == {"t": (1, 0, 0, 1), "u": (0, 1, 0, 1)}
 
 
+def test_stored_responses_as_a_stream(spark, pages, tmp_path):
+    table = responses.pages_to_responses(pages)
+    table.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = links.extract_links(responses.stream_responses(spark, str(tmp_path / "in"), 1))
+    query = (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "progress"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    _same(spark.read.parquet(str(tmp_path / "out")), links.extract_links(table))
+
+
 def test_delivery(spark, pages, tmp_path):
     settings = D.sites(pages).cache()
     rows = pages.where("page_id % 4 <> 0")

@@ -78,7 +78,18 @@ def anchor_hrefs(html: Column) -> Column:
 def page_link_array(html: Column, domain: Column, scheme: Column) -> Column:
     """Distinct ``struct(link, link_type)`` of a page, first occurrence first."""
     links = F.transform(anchor_hrefs(html), lambda href: classify_link(href, domain, scheme))
-    return F.array_distinct(F.filter(links, lambda link: link.isNotNull()))
+    # Texts are compared by hash, structs one with another: so each link is one text meanwhile.
+    texts = F.transform(
+        F.filter(links, lambda found: found.isNotNull()),
+        lambda found: F.concat(found["link_type"], F.lit(" "), found["link"]),
+    )
+
+    def parts(text: Column) -> Column:
+        kind = F.split_part(text, F.lit(" "), F.lit(1))
+        link = F.substring(text, F.length(kind) + 2, F.length(text))
+        return F.struct(link.alias("link"), kind.alias("link_type"))
+
+    return F.transform(F.array_distinct(texts), parts)
 
 
 def page_title(html: Column) -> Column:

@@ -56,6 +56,13 @@ def payload(responses: DataFrame, sites: DataFrame, callback: str = "search") ->
     return REGISTRY[callback].project(finished_pages(responses), sites)
 
 
+def deliver(
+    responses: DataFrame, sites: DataFrame, path: str, callback: str = "search", mode: str = "append"
+) -> None:
+    """Writes the payload of all finished pages."""
+    payload(responses, sites, callback).write.mode(mode).parquet(path)
+
+
 def with_form_body(rows: DataFrame, out: str = "form") -> DataFrame:
     """Adds the payload as a form-encoded request body."""
     names = ("datasourceId", "title", "html", "url")

@@ -51,10 +51,11 @@ def latest_state(
     ``keep`` names the columns that are needed, when these are few: no others are read or shuffled.
     """
     order = order or EVENT_ORDER
-    wanted = events.columns if keep is None else ["id", *keep, "deleted"]
-    columns = [c for c in events.columns if c in wanted and c not in order]
+    wanted = events.columns if keep is None else [*keep, "deleted"]
+    columns = [c for c in events.columns if c in wanted and c not in [*order, "id"]]
     last = F.max_by(F.struct(*columns), F.struct(*order)).alias("last")
-    state = events.groupBy(F.col("id").alias("_id")).agg(last).select("last.*")
+    # The id is the grouping key itself, so a filter on it reaches the scan.
+    state = events.groupBy("id").agg(last).select("id", "last.*")
     if "deleted" in columns:
         state = state.where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
     return state

@@ -17,7 +17,9 @@ LASTMOD_FORMAT = "yyyy-MM-dd'T'HH:mm'Z'"
 
 
 def _entry(kind: str, loc: Column, lastmod: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), loc.alias("loc"), lastmod.alias("lastmod"))
+    # A missing address counts as an empty one.
+    address = F.coalesce(loc, F.lit("")).alias("loc")
+    return F.struct(F.lit(kind).alias("kind"), address, lastmod.alias("lastmod"))
 
 
 def _documents(sitemaps: DataFrame) -> DataFrame:
