@@ -86,12 +86,16 @@ def query_pairs(url: Column) -> Column:
 
 
 def last_per_name(pairs: Column) -> Column:
-    """Keeps one pair per name, the last one, without leaving the row."""
+    """Keeps one pair per name, the last one, without leaving the row; pairs come out by name."""
+    placed = F.transform(
+        pairs,
+        lambda p, i: F.struct(p["name"].alias("name"), i.alias("place"), p["value"].alias("value")),
+    )
 
     def last(known: Column) -> Column:
-        names = F.array_distinct(F.transform(known, lambda p: p["name"]))
+        ends = F.filter(known, lambda p, i: ~F.get(known, i + 1)["name"].eqNullSafe(p["name"]))
         return F.transform(
-            names, lambda n: F.element_at(F.filter(known, lambda p: p["name"] == n), -1)
+            ends, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"))
         )
 
-    return let(pairs, last)
+    return let(F.array_sort(placed), last)

@@ -161,7 +161,12 @@ def discover(
         wide = cut_lineage(edges.join(large, ["tag", "src"], "left_semi"))
         edges = edges.join(large, ["tag", "src"], "left_anti")
     edges = _placed(edges, "tag", "src")
-    limits = _handed_over(caps.select("tag", "maxPages"), session, "caps") if caps is not None else None
+    limits = None
+    if caps is not None:
+        limited = caps.select("tag", "maxPages").where(F.col("maxPages") > 0)
+        limits = _handed_over(limited, session, "caps")
+        if limits.isEmpty():
+            limits = None
     if answered is not None:
         answered = answered.select("tag", "key").distinct()
         answered = _placed(_handed_over(answered, session, "answered"), "tag", "key")
@@ -220,18 +225,17 @@ def _append(levels: list[DataFrame], path: str) -> None:
 def _within_caps(
     fresh: DataFrame, limits: DataFrame, done: DataFrame | None
 ) -> tuple[DataFrame, DataFrame]:
-    """The part of this level its tags may still process, and the pages processed so far per tag."""
+    """The part of this level its tags may still process, and the pages that tags with a cap have
+    processed so far."""
     sizes = fresh.groupBy("tag").agg(F.count(F.lit(1)).alias("_size"))
     if done is None:
         sizes = sizes.withColumn("_done", F.lit(0).cast("bigint"))
     else:
         sizes = sizes.join(done, "tag", "full").fillna(0, ["_size", "_done"])
-    cap = F.col("maxPages")
-    keep = F.when(cap > 0, F.greatest(cap - 1 - F.col("_done"), F.lit(0)))
+    keep = F.greatest(F.col("maxPages") - 1 - F.col("_done"), F.lit(0))
     beyond = F.col("_size") > F.col("_keep")
-    counted, over = cut_and_count(sizes.join(limits, "tag", "left").withColumn("_keep", keep), beyond)
-    taken = F.least("_size", F.coalesce("_keep", F.col("_size")))
-    done = counted.select("tag", (F.col("_done") + taken).alias("_done"))
+    counted, over = cut_and_count(sizes.join(limits, "tag").withColumn("_keep", keep), beyond)
+    done = counted.select("tag", (F.col("_done") + F.least("_size", "_keep")).alias("_done"))
     if not over:
         return fresh, done
     limited = counted.where(beyond).select("tag", "_keep")
