@@ -8,6 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webfrontier.llm.common import documents
 from webfrontier.llm.exact_dedup import exact_groups
+from webfrontier.llm.quality_rules import quality_rules
+from webfrontier.llm.token_output import read_token_blocks, token_report, write_token_blocks
+from webfrontier.session import scratch_table
+
+
+def vocabulary(name: str) -> str:
+    """Path of a vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_table(spark, "token-blocks")
+    write_token_blocks(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_report(read_token_blocks(spark, path))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +35,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_output": op6_token_output,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
