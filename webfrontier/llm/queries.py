@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webfrontier.llm.common import documents
 from webfrontier.llm.exact_dedup import exact_groups
+from webfrontier.llm.piece_codec import round_trip
 from webfrontier.llm.quality_rules import quality_rules
 from webfrontier.llm.token_output import read_token_blocks, token_report, write_token_blocks
 from webfrontier.session import scratch_table
@@ -20,6 +21,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -35,6 +40,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
     "op9_exact_dedup": op9_exact_dedup,
