@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webfrontier.llm.common import documents
 from webfrontier.llm.exact_dedup import exact_groups
+from webfrontier.llm.packing import pack, token_pieces
 from webfrontier.llm.piece_codec import round_trip
 from webfrontier.llm.quality_rules import quality_rules
 from webfrontier.llm.token_output import read_token_blocks, token_report, write_token_blocks
@@ -39,11 +40,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return pack(pieces, capacity=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {
