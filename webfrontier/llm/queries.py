@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webfrontier.llm.common import documents
 from webfrontier.llm.exact_dedup import exact_groups
+from webfrontier.llm.line_crf import score_documents, train
+from webfrontier.llm.ngram_join import near_duplicates
 from webfrontier.llm.packing import pack, token_pieces
 from webfrontier.llm.piece_codec import round_trip
 from webfrontier.llm.quality_rules import quality_rules
+from webfrontier.llm.secret_scan import scan_secrets
 from webfrontier.llm.token_output import read_token_blocks, token_report, write_token_blocks
 from webfrontier.session import scratch_table
 
@@ -22,10 +25,19 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -36,6 +48,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(read_token_blocks(spark, path))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -46,9 +62,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_ngram_join": op4_ngram_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
+    "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
