@@ -13,6 +13,7 @@ from webfrontier.llm.ngram_join import near_duplicates
 from webfrontier.llm.packing import pack, token_pieces
 from webfrontier.llm.piece_codec import round_trip
 from webfrontier.llm.quality_rules import quality_rules
+from webfrontier.llm.recompression import substring_dedup
 from webfrontier.llm.secret_scan import scan_secrets
 from webfrontier.llm.token_output import read_token_blocks, token_report, write_token_blocks
 from webfrontier.session import scratch_table
@@ -48,6 +49,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(read_token_blocks(spark, path))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
