@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webfrontier.session import scratch_table
+
 PACKAGE = Path(__file__).resolve().parent.parent
 #: Stands for a missing doc_id while rows travel: it orders before every other id and comes out as null again.
 NO_ID = -(2**63)
@@ -45,6 +47,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: later plans read it, and lost executors cost no recomputation."""
+    path = scratch_table(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

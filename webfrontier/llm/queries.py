@@ -15,6 +15,7 @@ from webfrontier.llm.piece_codec import round_trip
 from webfrontier.llm.quality_rules import quality_rules
 from webfrontier.llm.recompression import substring_dedup
 from webfrontier.llm.secret_scan import scan_secrets
+from webfrontier.llm.suffix_dedup import suffix_dedup
 from webfrontier.llm.token_output import read_token_blocks, token_report, write_token_blocks
 from webfrontier.session import scratch_table
 
@@ -26,6 +27,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -67,6 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_ngram_join": op4_ngram_join,

@@ -15,12 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webfrontier.llm.common import map_texts, ship, whole_text
+from webfrontier.llm.common import map_texts, ship, whole_text, written
 from webfrontier.llm.shingles import mixed
-from webfrontier.session import cut_lineage
 
-#: A frequent key's rows are met in so many parts before they are met as a whole.
-PARTS = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -49,24 +46,20 @@ def runs_of(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(anchors)))
 
 
-def shared_rows(rows: DataFrame, key: str, spread: Column) -> DataFrame:
+def shared_rows(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key occurs in two or more rows.
 
-    Keys are counted in PARTS by ``spread`` and then as a whole, and the answer goes back by the same parts, so a
-    key that a third of all rows have is never in one task.
+    Keys are counted with a map-side sum. The table of those that repeat is written, so the join has a plain exchange on
+    both sides and adaptive execution can split a key that a third of all rows have.
     """
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(PARTS))).repartition(key, "part")
-    parts = dealt.groupBy(key, "part").agg(F.count(F.lit(1)).alias("_n"))
-    whole = parts.groupBy(key).agg(F.sum("_n").alias("_n")).filter("_n > 1").select(key)
-    return dealt.join(parts.select(key, "part").join(whole, key), [key, "part"]).drop("part")
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows.join(written(counts.select(key), "shared-keys"), key)
 
 
-def with_first(rows: DataFrame, key: list[str], value: Column, spread: Column) -> DataFrame:
-    """The rows with ``first``, the smallest value of their key, found by parts as in shared_rows."""
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(PARTS))).repartition(*key, "part")
-    parts = dealt.groupBy(*key, "part").agg(F.min(value).alias("first"))
-    whole = parts.groupBy(*key).agg(F.min("first").alias("first"))
-    return dealt.join(parts.select(*key, "part").join(whole, key), [*key, "part"]).drop("part")
+def with_first(rows: DataFrame, key: list[str], value: Column) -> DataFrame:
+    """The rows with ``first``, the smallest value of their key, joined as in shared_rows; a key of one row has none."""
+    firsts = rows.groupBy(*key).agg(F.min(value).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows.join(written(firsts.drop("_n"), "firsts"), key, "left")
 
 
 def earlier_windows(docs: DataFrame, runs: Callable, hashes: Callable, width: int, within: bool) -> DataFrame:
@@ -93,13 +86,13 @@ def earlier_windows(docs: DataFrame, runs: Callable, hashes: Callable, width: in
 
     place = F.struct("doc_id", "start") if within else F.col("doc_id")
     rows = map_texts(docs, cut, "doc_id long, key long, content long, start int, n int")
-    shared = cut_lineage(shared_rows(rows, "key", F.col("doc_id")))
-    shared = cut_lineage(with_first(shared, ["key", "content"], place, F.col("doc_id")))
+    shared = written(shared_rows(rows, "key"), "shared-runs")
+    shared = written(with_first(shared, ["key", "content"], place), "first-runs")
     copies = shared.filter(place != F.col("first"))
-    firsts = shared.filter(place == F.col("first")).drop("first")
+    firsts = shared.filter(F.col("first").isNull() | (place == F.col("first"))).drop("first")
     # anchors with one content only need no look at their windows
     kinds = firsts.groupBy("key").agg(F.min("content").alias("_a"), F.max("content").alias("_b")).filter("_a != _b")
-    mixed_keys = cut_lineage(kinds.select("key"))
+    mixed_keys = written(kinds.select("key"), "mixed-keys")
     edges = firsts.join(mixed_keys, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     read = docs.select("doc_id", whole_text().alias("text")).join(edges, "doc_id")
 
@@ -112,8 +105,8 @@ def earlier_windows(docs: DataFrame, runs: Callable, hashes: Callable, width: in
                 data = [pa.array(ids), pa.array(hashes(text, starts)), pa.array(starts.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(data, names=["doc_id", "window", "start"])
 
-    single = read.mapInArrow(windows, "doc_id long, window long, start int")
-    later = with_first(single, ["window"], place, F.col("doc_id")).filter(place != F.col("first"))
+    single = written(read.mapInArrow(windows, "doc_id long, window long, start int"), "windows")
+    later = with_first(single, ["window"], place).filter(place != F.col("first"))
     spans = copies.select("doc_id", "start", (F.col("start") + F.col("n") - 1 + width).alias("end")).unionByName(
         later.select("doc_id", "start", (F.col("start") + width).alias("end"))
     )
