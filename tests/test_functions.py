@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import random
+import time
 from html.entities import name2codepoint
 
 import pytest
@@ -258,3 +259,28 @@ def test_search_tokens(one):
     assert one(text.search_tokens(X), value) == [
         "discovered", "https", "www.ex.com", "a", "page2", "html", "1,000", "l'été", "x_y",
     ]
+
+
+@pytest.mark.parametrize("start", ["<script>", "<style>", "<!--", "<title>", "<script ", "<title ", "<a ", "<body ", "<"])
+@pytest.mark.parametrize("reader", [page.page_text, page.page_title, page.anchor_hrefs])
+def test_unclosed_elements_cost_linear_time(spark, start, reader):
+    body = start * (1_000_000 // len(start))
+    row = spark.createDataFrame([(body,)], "body string")
+    began = time.perf_counter()
+    row.select(reader(F.col("body"))).collect()
+    assert time.perf_counter() - began < 8  # a second or less alone; quadratic time would be minutes
+
+
+def test_unclosed_blocks(spark):
+    def read(function, body):
+        return spark.createDataFrame([(body,)], "body string").select(function(F.col("body"))).first()[0]
+
+    assert read(page.page_title, "<title>a") is None
+    assert read(page.page_title, "<script>x<title>a</title>") is None
+    assert read(page.page_title, "<title></title>") == ""
+    assert read(page.page_text, "a<script>b") == "a b"
+    assert read(page.page_text, "a<script>b</script>c<script>d") == "ac d"
+    assert read(page.page_text, "a<script <script>b</script>c < d") == "ac < d"
+    assert read(page.page_text, "a<style>b</script>c</style>d</script") == "ad</script"
+    assert read(page.anchor_hrefs, "<a href=x>1</a><!-- <a href=y>") == ["x"]
+    assert read(page.anchor_hrefs, "<a href=x>1</a><a href=y") == ["x"]
