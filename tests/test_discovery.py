@@ -153,11 +153,11 @@ def _answered(spark, edges, starts, silent):
     return spark.createDataFrame(rows, "tag string, key string")
 
 
-def test_bounded_rounds(spark):
+def test_a_chain_is_walked_to_its_end(spark):
     edges = spark.createDataFrame([("t", str(i), str(i + 1)) for i in range(9)], "tag string, src string, dst string")
     start = spark.createDataFrame([("t", "0")], "tag string, key string")
-    rows = discovery.discover(start, edges, max_rounds=3)
-    assert sorted(r["key"] for r in rows.collect()) == ["0", "1", "2"]
+    rows = discovery.discover(start, edges).collect()
+    assert sorted((r["key"], r["depth"], r["flag"]) for r in rows) == [(str(i), i, 0) for i in range(10)]
 
 
 @pytest.mark.parametrize(("cap", "kept"), [(5, 4), (1, 0), (-1, 10), (0, 10), (11, 10), (10, 9)])
@@ -205,9 +205,13 @@ def test_payload(spark, tmp_path):
         ],
         "tag string, url string, code int, headers map<string,string>, body string",
     )
-    rows = [("t", "", "http://sink"), ("no sink", "d", None)]
-    table = spark.createDataFrame(rows, "tag string, datasourceId string, callbackUrl string")
-    got = {r["url"]: tuple(r)[1:4] for r in callbacks.payload(pages, table).collect()}
+    rows = [("t", "", "http://sink", "search"), ("no sink", "d", None, "search")]
+    rows += [("other", "d", "http://sink", "unknown"), ("none", "d", "http://sink", None)]
+    table = spark.createDataFrame(rows, "tag string, datasourceId string, callbackUrl string, callback string")
+    more = pages.where("url = 'u4'")
+    for tag in ("other", "none"):
+        pages = pages.unionByName(more.withColumn("tag", F.lit(tag)))
+    got = {r["url"]: tuple(r)[1:4] for r in callbacks.payload(pages, table, "search").collect()}
     assert got == {
         "u1": (None, "x", "<title>x</title>b"),
         "u2": (None, None, None),
@@ -215,7 +219,9 @@ def test_payload(spark, tmp_path):
     }
     callbacks.deliver(pages, table, str(tmp_path / "sink"))
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 3
-    forms = callbacks.with_form_body(callbacks.payload(pages, table)).where("url = 'u1'").first()
+    done = spark.createDataFrame([("t", "u1")], "tag string, key string")
+    assert [r["url"] for r in callbacks.payload(pages, table, "search", done).collect()] == ["u1"]
+    forms = callbacks.with_form_body(callbacks.payload(pages, table, "search")).where("url = 'u1'").first()
     assert forms["form"] == "title=x&html=%3Ctitle%3Ex%3C%2Ftitle%3Eb&url=u1"
 
 
@@ -231,4 +237,19 @@ def test_own_callback(spark):
         [("t", "u", 200, {"content-type": "text/html"}, "abc")],
         "tag string, url string, code int, headers map<string,string>, body string",
     )
-    assert [tuple(r) for r in callbacks.payload(pages, None, "lengths").collect()] == [("u", 3)]
+    sites = spark.createDataFrame([("t", "lengths")], "tag string, callback string")
+    assert [tuple(r) for r in callbacks.payload(pages, sites, "lengths").collect()] == [("u", 3)]
+    del callbacks.REGISTRY["lengths"]
+
+
+def test_host_files_of_several_runs_give_each_link_once(spark):
+    found = spark.createDataFrame(
+        [("t", "p", "internal", "http://h.org/a"), ("t", "p", "internal", "http://h.org/b")],
+        "tag string, page string, link_type string, link string",
+    )
+    body = "User-agent: *\nDisallow: /b"
+    files = spark.createDataFrame([("t", "h.org", body), ("t2", "h.org", body)], "tag string, host string, body string")
+    heavy = spark.createDataFrame([("t", 3)], "tag string, splits int")
+    for known in (skew.MEASURE, None, heavy):
+        rows = links.allowed_by_robots(found, files, scope="host", heavy=known).collect()
+        assert [r["link"] for r in rows] == ["http://h.org/a"]

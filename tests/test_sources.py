@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,40 @@ def test_responses(spark, tmp_path):
     marked = responses.mark_crawlable(stored).orderBy("url").collect()
     assert [r["crawlable"] for r in marked] == [True, False, False, False]
     assert marked[0]["body"] == "é"
+
+
+@pytest.mark.parametrize(
+    ("pattern", "path", "ok"),
+    [
+        ("/a*b$", "/axbxb", False),
+        ("/a*b$", "/axbxc", True),
+        ("/a*b", "/axbxc", False),
+        ("/ab$", "/ab", False),
+        ("/ab$", "/abc", True),
+        ("/a*", "/a", False),
+        ("/*$", "/anything", False),
+        ("/a*a$", "/a", True),
+        ("/a**c.html", "/abbc.html?x", False),
+        ("/a.c", "/abc", True),
+    ],
+)
+def test_globs(spark, pattern, path, ok):
+    table = spark.createDataFrame([("t", f"User-agent: *\nDisallow: {pattern}")], "tag string, body string")
+    rules = robots.robots_policy(table)
+    assert rules.select(robots.robots_allow(F.lit(path), F.col("robots_rules"))).first()[0] is ok
+
+
+def test_many_stars_cost_linear_time(spark):
+    body = "User-agent: *\nDisallow: /" + "*a" * 8 + "b"
+    table = spark.createDataFrame([("t", body, "/" + "a" * 2000)], "tag string, body string, path string")
+    rules = robots.robots_policy(table.select("tag", "body")).crossJoin(table.select("path"))
+    began = time.perf_counter()
+    assert rules.select(robots.robots_allow(F.col("path"), F.col("robots_rules"))).first()[0] is True
+    assert time.perf_counter() - began < 5
+
+
+def test_repeated_domains_are_rejected(spark):
+    texts = [('{"domain":"a.org","scheme":"http","maxPages":%d}' % n,) for n in (1, 2)]
+    accepted, rejected = sites.site_configs(spark.createDataFrame(texts, "config string"), "p")
+    assert [r["maxPages"] for r in accepted.collect()] == [1]
+    assert [r["reason"] for r in rejected.collect()] == ["the domain has other settings in this run"]

@@ -45,9 +45,10 @@ def new_urls(
         F.when(may_follow(F.col("key"), F.lit("internal")), F.col("_inside")),
         F.when(may_follow(F.col("key"), F.lit("external")), F.col("_outside")),
     )
-    return ruled.select("tag", "key", parent.alias("parent"), "data").where(
-        F.col("parent").isNotNull()
-    )
+    # The array keeps the filter from being merged with the rules, which would then be tested twice.
+    tested = ruled.select("tag", "key", "data", F.array(parent).alias("_parents"))
+    found = tested.select("tag", "key", F.explode_outer("_parents").alias("parent"), "data")
+    return found.where(F.col("parent").isNotNull())
 
 
 def discover_round(
@@ -135,7 +136,6 @@ def discover(
     edges: DataFrame,
     caps: DataFrame | None = None,
     answered: DataFrame | None = None,
-    max_rounds: int | None = None,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """All URLs reachable from the seeds: ``(tag, key, depth, parent, flag)``.
@@ -185,8 +185,6 @@ def discover(
         if limits is not None:
             active, done = _within_caps(active, limits, done)
         levels.append(_level(fresh, active).withColumn("depth", F.lit(depth)))
-        if max_rounds is not None and depth + 1 >= max_rounds:
-            break
         sources = active.select("tag", F.col("key").alias("src"))
         targets = sources.join(edges, ["tag", "src"])
         if wide is not None:

@@ -52,10 +52,12 @@ def allowed_by_robots(
     internal = links.where(F.col("link_type") == "internal")
     spread = [c for c in links.columns if c in ("page", "link")]
     if scope == "host":
-        rules = robots_policy(
-            robots.select(F.col("host").alias("tag"), "body"), agent
-        ).withColumnRenamed("tag", "_host")
+        # Several runs may have fetched the file of one host; one of them is enough.
+        files = robots.groupBy(F.col("host").alias("tag")).agg(F.min("body").alias("body"))
+        rules = robots_policy(files, agent).withColumnRenamed("tag", "_host")
         keyed = internal.withColumn("_host", url_domain(F.col("link")))
+        if isinstance(heavy, DataFrame) and "_host" not in heavy.columns:
+            heavy = MEASURE
         joined = spread_join(keyed, rules, ["_host"], "left", spread, heavy)
     else:
         joined = spread_join(internal, robots_policy(robots, agent), ["tag"], "left", spread, heavy)

@@ -45,4 +45,5 @@ def first_rows(rows: DataFrame, group: list[str], order: list[str], k: int) -> D
     if k > TOP_K_LIMIT:
         return ranked(rows, group, order).where(F.col("position") <= k)
     window = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("position", F.row_number().over(window)).where(F.col("position") <= k)
+    placed = rows.withColumn("position", F.row_number().over(window)).where(F.col("position") <= k)
+    return placed.withColumn("position", F.col("position").cast("bigint"))

@@ -90,27 +90,52 @@ def robots_policy(robots: DataFrame, agent: str = ANY_AGENT) -> DataFrame:
         own = of(agent.lower())
         return F.when(F.size(own) > 0, own).otherwise(of(ANY_AGENT))
 
+    def prepared(rule: Column) -> Column:
+        """A rule with the pieces between its stars, and whether the last one must end the path."""
+        ends = F.endswith(rule["pattern"], F.lit("$"))
+        glob = F.when(ends, F.substring(rule["pattern"], F.lit(1), F.length(rule["pattern"]) - 1))
+        return F.struct(
+            rule["allow"].alias("allow"),
+            F.octet_length(rule["pattern"]).alias("size"),
+            F.split(F.coalesce(glob, rule["pattern"]), r"\*+").alias("pieces"),
+            ends.alias("ends"),
+        )
+
     rules = F.flatten(F.transform(let(_groups(F.col("body")), chosen), lambda g: g["rules"]))
-    return robots.select("tag", rules.alias("robots_rules"))
+    return robots.select("tag", F.transform(rules, prepared).alias("robots_rules"))
 
 
-def robots_allow(path: Column, rules: Column) -> Column:
-    """Whether the longest matching pattern allows the path; allow wins ties, no match allows."""
+def _matches(path: Column, rule: Column) -> Column:
+    """The first piece starts the path, and each other one is found at its first place behind the one before.
 
-    def matches(rule: Column) -> Column:
-        pattern = rule["pattern"]
-        special = F.rlike(pattern, F.lit(r"[*]|\$$"))
-        quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+?^|$])", r"\\$1")
-        regex = F.concat(
-            F.lit("(?s)^"),
-            F.regexp_replace(F.regexp_replace(quoted, r"\*+", ".*"), r"\\\$$", r"\$"),
+    That place leaves most room for what follows, so nothing is tried twice. The last piece of a rule
+    that ends the path must close it behind all others.
+    """
+    pieces, count = rule["pieces"], F.size(rule["pieces"])
+    first, last = pieces[0], F.element_at(pieces, -1)
+    closing = rule["ends"] & (count > 1)
+    middle = F.slice(pieces, F.lit(2), F.greatest(count - 1 - closing.cast("int"), F.lit(0)))
+
+    def onward(at: Column, piece: Column) -> Column:
+        found = F.call_function("locate", piece, path, at)
+        return F.when((at == 0) | (found == 0), F.lit(0)).otherwise(found + F.length(piece))
+
+    def closed(at: Column) -> Column:
+        room = F.length(path) - at + 1 >= F.length(last)
+        whole = F.when(closing, room & F.endswith(path, last)).otherwise(
+            ~rule["ends"] | (F.length(path) == F.length(first))
         )
-        return F.when(special, F.rlike(path, regex)).otherwise(F.startswith(path, pattern))
+        return (at > 0) & whole
 
+    return F.startswith(path, first) & let(F.aggregate(middle, F.length(first) + 1, onward), closed)
+
+
+def robots_allow(path: Column, rules: Column) -> Column:
+    """Whether the longest matching pattern allows the path; allow wins ties, no match allows."""
     best = F.array_max(
         F.transform(
-            F.filter(rules, matches),
-            lambda r: F.struct(F.octet_length(r["pattern"]).alias("size"), r["allow"].alias("allow")),
+            F.filter(rules, lambda rule: _matches(path, rule)),
+            lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow")),
         )
     )
     return F.coalesce(best["allow"], F.lit(True))
