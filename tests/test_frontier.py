@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from webfrontier.model import DONE, NEW, PROCESSING, SIGNATURE
+from webfrontier.model import DONE, FRONTIER, NEW, PROCESSING, SIGNATURE
 from webfrontier.operators import frontier, ranking, stats
 from webfrontier.operators.seeds import frontier_row
 
@@ -134,3 +134,14 @@ def test_report(spark):
     assert (got["t"]["max_pages"], got["t"]["authorized_domains"], got["t"]["progress"]) == ("Unlimited", "x, y", 33.33)
     assert (got["t"]["discovery"], got["t"]["sitemap"]) == (True, False)
     assert (got["w"]["max_pages"], got["w"]["total"], got["w"]["progress"]) == ("0", 0, 0.0)
+
+
+def test_rows_without_an_id_get_their_own(spark):
+    rows = spark.createDataFrame([(None, f"k{i}", "t", 2) for i in range(5)], "id string, key string, tag string, flag int")
+    full = rows
+    for name in FRONTIER.fieldNames():
+        if name not in rows.columns:
+            full = full.withColumn(name, F.lit(None).cast(FRONTIER[name].dataType))
+    log = frontier.as_events(full, "2024-01-01 00:00:00")
+    log = frontier.append_events(log, frontier.as_events(full.limit(1), "2024-01-02 00:00:00", deleted=True))
+    assert frontier.latest_state(log).count() == 4

@@ -100,4 +100,4 @@ def test_delivery(spark, pages, tmp_path):
         str(tmp_path / "out"),
         str(tmp_path / "progress"),
     ).awaitTermination()
-    _same(spark.read.parquet(str(tmp_path / "out")).drop("batch"), callbacks.payload(D.responses(rows), settings))
+    _same(spark.read.parquet(str(tmp_path / "out")).drop("batch"), callbacks.payload(D.responses(rows), settings, "search"))

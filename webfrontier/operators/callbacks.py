@@ -52,15 +52,31 @@ def finished_pages(responses: DataFrame) -> DataFrame:
     return marked.select("tag", "url", page_title(html).alias("title"), html.alias("html"))
 
 
-def payload(responses: DataFrame, sites: DataFrame, callback: str = "search") -> DataFrame:
-    return REGISTRY[callback].project(finished_pages(responses), sites)
+def payload(
+    responses: DataFrame, sites: DataFrame, callback: str, processed: DataFrame | None = None
+) -> DataFrame:
+    """What one callback makes of the finished pages of the sites that name it in their ``callback`` setting.
+
+    Sites without a callback, or with one that is not registered, get nothing. ``processed`` is
+    ``(tag, key)`` of the pages a run has processed, as ``crawl`` returns them in the state done; pages it
+    never reached, or that its cap stopped, are left out. Without it all responses count as processed.
+    """
+    if processed is not None:
+        keys = processed.select("tag", F.col("key").alias("url")).distinct()
+        responses = responses.join(keys, ["tag", "url"], "left_semi")
+    chosen = sites.where(F.col("callback") == callback)
+    named = chosen.select("tag").distinct()
+    pages = spread_join(finished_pages(responses), named, ["tag"], "left_semi", ["url"])
+    return REGISTRY[callback].project(pages, chosen)
 
 
 def deliver(
-    responses: DataFrame, sites: DataFrame, path: str, callback: str = "search", mode: str = "append"
+    responses: DataFrame, sites: DataFrame, path: str, processed: DataFrame | None = None, mode: str = "append"
 ) -> None:
-    """Writes the payload of all finished pages."""
-    payload(responses, sites, callback).write.mode(mode).parquet(path)
+    """Writes the payload of every registered callback to a folder of its name."""
+    for name in sorted(REGISTRY):
+        rows = payload(responses, sites, name, processed)
+        rows.write.mode(mode).parquet(f"{path.rstrip('/')}/callback={name}")
 
 
 def with_form_body(rows: DataFrame, out: str = "form") -> DataFrame:

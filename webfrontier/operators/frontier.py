@@ -25,9 +25,10 @@ def tag_group(tag: Column) -> Column:
 
 
 def as_events(rows: DataFrame, event_time: str, event_no: int = 0, deleted: bool = False) -> DataFrame:
-    """Row versions as of one moment; with ``deleted`` they are tombstones."""
+    """Row versions as of one moment, or tombstones with ``deleted``. A row without an id gets its stable one."""
     return rows.select(
-        *FRONTIER.fieldNames(),
+        _id_or_own().alias("id"),
+        *[name for name in FRONTIER.fieldNames() if name != "id"],
         F.to_timestamp(F.lit(event_time)).alias("event_time"),
         F.lit(event_no).cast("bigint").alias("event_no"),
         F.lit(deleted).alias("deleted"),
@@ -35,7 +36,11 @@ def as_events(rows: DataFrame, event_time: str, event_no: int = 0, deleted: bool
 
 
 def append_events(log: DataFrame, events: DataFrame) -> DataFrame:
-    return log.unionByName(events, allowMissingColumns=True)
+    return log.unionByName(events.withColumn("id", _id_or_own()), allowMissingColumns=True)
+
+
+def _id_or_own() -> Column:
+    return F.coalesce("id", row_id(F.col("tag"), F.col("key")))
 
 
 def set_flag(rows: DataFrame, flag: int, event_time: str, event_no: int = 0) -> DataFrame:

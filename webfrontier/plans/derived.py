@@ -150,6 +150,8 @@ def config_texts(pages: DataFrame) -> DataFrame:
         field(n % 6 == 0, ',"datasourceId":""'),
         field(n % 6 != 0, ',"datasourceId":"ds ', n.cast("string"), '"'),
         field(n % 2 == 0, ',"callbackUrl":"http://sink.example/', F.col("host"), '"'),
+        field(n % 4 == 0, ',"callback":"search"'),
+        field(n % 4 == 2, ',"callback":"other"'),
         F.lit("}"),
     )
     return hosts(pages).select(config.alias("config"))

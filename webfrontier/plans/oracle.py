@@ -121,6 +121,8 @@ STEPS: dict[str, str] = {
             || CASE WHEN first_id % 6 = 0 THEN ',"datasourceId":""' ELSE '' END
             || CASE WHEN first_id % 6 <> 0 THEN ',"datasourceId":"ds ' || first_id || '"' ELSE '' END
             || CASE WHEN first_id % 2 = 0 THEN ',"callbackUrl":"http://sink.example/' || host || '"' ELSE '' END
+            || CASE WHEN first_id % 4 = 0 THEN ',"callback":"search"'
+                    WHEN first_id % 4 = 2 THEN ',"callback":"other"' ELSE '' END
             || '}' AS config
         FROM hosts""",
     "sites": """
@@ -130,7 +132,8 @@ STEPS: dict[str, str] = {
                first_id % 5 = 0 AS no_discovery, first_id % 4 = 0 AS ignore_sitemap,
                CAST(CASE first_id % 3 WHEN 0 THEN -1 WHEN 1 THEN 259200 ELSE 864000 END AS BIGINT) AS max_age,
                CASE WHEN first_id % 6 = 0 THEN '' ELSE 'ds ' || first_id END AS datasource_id,
-               CASE WHEN first_id % 2 = 0 THEN 'http://sink.example/' || host END AS callback_url
+               CASE WHEN first_id % 2 = 0 THEN 'http://sink.example/' || host END AS callback_url,
+               CASE first_id % 4 WHEN 0 THEN 'search' WHEN 2 THEN 'other' END AS callback
         FROM configs WHERE first_id % 11 <> 0""",
     "chunks": f"""
         SELECT host, page_id // {D.CHUNK} AS chunk, min(page_id) % 2 = 0 AS nested,
@@ -238,7 +241,7 @@ STEPS: dict[str, str] = {
                CASE WHEN crawlable THEN nullif(trim({_decode("regexp_extract(body, '<title>(.*?)</title>', 1)")}), '') END
                    AS title,
                CASE WHEN crawlable THEN body END AS html, url
-        FROM resp r JOIN sites s ON s.tag = r.tag WHERE callback_url IS NOT NULL""",
+        FROM resp r JOIN sites s ON s.tag = r.tag WHERE callback_url IS NOT NULL AND callback = 'search'""",
     "nodes": "SELECT count(*) AS n, min(page_id) AS low, max(page_id) AS high FROM pages",
     "edges": """
         SELECT page_id AS src, unnest([(page_id * 7 + 3) % n, (page_id * 5 + 1) % n]) AS dst FROM pages, nodes""",
@@ -247,8 +250,9 @@ STEPS: dict[str, str] = {
     "walk": """
         SELECT tag, node, 0 AS depth FROM starts
         UNION
-        SELECT w.tag, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node
-        WHERE w.depth < 100""",
+        SELECT w.tag, e.dst, min(w.depth) + 1 FROM walk w JOIN edges e ON e.src = w.node
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.walk k WHERE k.tag = w.tag AND k.node = e.dst)
+        GROUP BY w.tag, e.dst""",
     "levels": "SELECT tag, node, min(depth) AS depth FROM walk GROUP BY tag, node",
     "seen": """
         SELECT l.tag, l.node, l.depth,
@@ -279,7 +283,8 @@ def _sql(body: str) -> str:
     if not steps:
         return body.strip()
     recursive = "RECURSIVE " if "walk" in steps else ""
-    parts = [f"{name} AS ({STEPS[name].strip()})" for name in steps]
+    keys = {"walk": "(tag, node, depth) USING KEY (tag, node)"}
+    parts = [f"{name}{keys.get(name, '')} AS ({STEPS[name].strip()})" for name in steps]
     return f"WITH {recursive}" + ",\n".join(parts) + "\n" + body.strip()
 
 
@@ -410,7 +415,7 @@ _BODIES: dict[str, str] = {
         SELECT s.tag, 'Crawler for domain ' || domain AS label, '{D.NOW}' AS started, domain, scheme,
                CASE WHEN has_domains THEN 'cdn.net, other.org' ELSE '' END AS authorized_domains,
                CASE WHEN max_pages > -1 THEN CAST(max_pages AS VARCHAR) ELSE 'Unlimited' END AS max_pages,
-               CAST(NULL AS VARCHAR) AS callback, callback_url, datasource_id, NOT no_discovery AS discovery,
+               callback, callback_url, datasource_id, NOT no_discovery AS discovery,
                NOT ignore_sitemap AS sitemap, coalesce(done, 0) AS done, coalesce(processing, 0) AS processing,
                coalesce(new, 0) AS new, coalesce(total, 0) AS total,
                coalesce(round(CAST(100.0 * done AS DOUBLE) / nullif(total, 0), 2), 0) AS progress

@@ -358,7 +358,7 @@ def frontier_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def frontier_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = frontier.next_batch(_state(spark, sf_dir), 3)
-    return batch.select("tag", "key", F.col("position").cast("bigint").alias("position"))
+    return batch.select("tag", "key", "position")
 
 
 @query
@@ -462,13 +462,13 @@ def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def callback_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = callbacks.payload(_responses(spark, sf_dir), _sites(spark, sf_dir))
+    rows = callbacks.payload(_responses(spark, sf_dir), _sites(spark, sf_dir), "search")
     return rows.withColumnRenamed("datasourceId", "datasource_id")
 
 
 @query
 def callback_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = callbacks.payload(_responses(spark, sf_dir), _sites(spark, sf_dir))
+    rows = callbacks.payload(_responses(spark, sf_dir), _sites(spark, sf_dir), "search")
     return callbacks.with_form_body(rows).select("url", "form")
 
 

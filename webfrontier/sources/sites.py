@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webfrontier.functions.binding import let
@@ -21,7 +21,7 @@ def read_site_configs(spark: SparkSession, path: str, prefix: str) -> tuple[Data
 
 
 def site_configs(configs: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """``config`` JSON text to one typed row per site; rows without domain or scheme are rejected."""
+    """``config`` JSON text to one typed row per site; and what is rejected, with a reason."""
     parsed = configs.withColumn("_site", F.from_json("config", SITE))
     complete = F.coalesce(
         F.col("_site.domain").isNotNull() & F.col("_site.scheme").isNotNull(), F.lit(False)
@@ -44,7 +44,13 @@ def site_configs(configs: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]
     rejected = parsed.where(~complete).select(
         "config", F.lit("domain and scheme are required").alias("reason")
     )
-    return accepted, rejected
+    # Settings of one domain would share a tag, and with it their rows: the first by text is kept.
+    order = F.row_number().over(Window.partitionBy("tag").orderBy("data"))
+    placed = accepted.withColumn("_place", order)
+    repeated = placed.where(F.col("_place") > 1).select(
+        F.col("data").alias("config"), F.lit("the domain has other settings in this run").alias("reason")
+    )
+    return placed.where(F.col("_place") == 1).drop("_place"), rejected.unionByName(repeated)
 
 
 def _is_set(value: Column) -> Column:

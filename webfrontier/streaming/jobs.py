@@ -27,6 +27,7 @@ def stream_discover(
     path: str,
     checkpoint: str,
     now: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Appends a frontier row for every new URL in a stream of responses ``(tag, url, ...)``.
 
@@ -42,10 +43,12 @@ def stream_discover(
         urls = new_urls(links, keys.unionByName(earlier), policy, heavy_keys(batch, ["tag"]))
         _write(discovered_rows(urls, now), path, batch_id)
 
-    return _start(responses, absorb, checkpoint)
+    return _start(responses, absorb, checkpoint, trigger)
 
 
-def stream_stats(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_stats(
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Keeps the counts per tag and flag for a stream of frontier events.
 
     A row that changes its state must leave its old count. So a batch is reduced to the last event
@@ -76,7 +79,7 @@ def stream_stats(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         moved = written.select(F.inline(F.array(plus, minus))).where(F.col("flag").isNotNull())
         _write(moved.groupBy("tag", "flag").agg(F.sum("n").alias("n")), deltas, batch_id)
 
-    return _start(events, absorb, checkpoint)
+    return _start(events, absorb, checkpoint, trigger)
 
 
 def streamed_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -95,14 +98,19 @@ def streamed_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_payload(
-    responses: DataFrame, sites: DataFrame, path: str, checkpoint: str, callback: str = "search"
+    responses: DataFrame,
+    sites: DataFrame,
+    path: str,
+    checkpoint: str,
+    callback: str = "search",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Writes the callback's payload once for every finished page, failed ones included."""
+    """Writes the payload once for every finished page, failed ones included, of the sites that name the callback."""
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         _write(payload(batch, sites, callback), path, batch_id)
 
-    return _start(responses, deliver, checkpoint)
+    return _start(responses, deliver, checkpoint, trigger)
 
 
 def _last_per_id(events: DataFrame, order) -> DataFrame:
@@ -130,10 +138,12 @@ def _earlier(like: DataFrame, path: str, batch_id: int) -> DataFrame:
     return table.where(F.col(_BATCH) < batch_id).drop(_BATCH)
 
 
-def _start(stream: DataFrame, absorb, checkpoint: str) -> StreamingQuery:
+def _start(stream: DataFrame, absorb, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    """``trigger`` has the arguments of Spark's trigger(), such as a processing time for a job that goes on;
+    by default the job takes what is there and ends."""
     return (
         stream.writeStream.foreachBatch(absorb)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
