@@ -16,10 +16,17 @@ from webfrontier.session import scratch_table
 PACKAGE = Path(__file__).resolve().parent.parent
 #: Stands for a missing doc_id while rows travel: it orders before every other id and comes out as null again.
 NO_ID = -(2**63)
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python workers can import it."""
+    """Makes the session ready for Python workers: they get this package, and texts in batches of few rows.
+
+    Texts are long, and both sides of the Arrow exchange hold a batch, and more while its buffers grow.
+    """
+    if int(spark.conf.get(_BATCH_ROWS)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_webfrontier_shipped", False):
         return

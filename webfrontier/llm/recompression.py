@@ -10,6 +10,7 @@ so two equal windows always meet at one symbol.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -58,8 +59,9 @@ def name_pairs(text: Symbols, words: int, most: int, number: int) -> Symbols:
     """A left symbol and a right one behind it become one, unless they have over ``most`` words."""
     right = (mixed(text.name + np.uint64(number * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(63)).astype(bool)
     size = text.end - text.first
+    bar = (text.low < 0) & (text.high > words)  # ends of texts, and what hangs on both ends of its own, stay alone
     pair = np.zeros(len(right), bool)
-    pair[:-1] = ~right[:-1] & right[1:] & (size[:-1] + size[1:] <= most)
+    pair[:-1] = ~right[:-1] & right[1:] & (size[:-1] + size[1:] <= most) & ~bar[:-1] & ~bar[1:]
     second = np.concatenate([[False], pair[:-1]])
     name = text.name.copy()
     a, b = text.name[:-1][pair[:-1]], text.name[1:][pair[:-1]]
@@ -71,29 +73,35 @@ def name_pairs(text: Symbols, words: int, most: int, number: int) -> Symbols:
     return text.joined(~second, name, low, high)
 
 
-def levels(words: np.ndarray) -> list[Symbols]:
-    """The text before and after every round."""
+def levels(words: np.ndarray, ends: np.ndarray) -> Iterator[Symbols]:
+    """The texts before and after every round. ``ends`` are the places of symbols that stand between texts."""
     place = np.arange(len(words))
-    out = [Symbols(words, place, place + 1, place, place + 1)]
+    low, high = place.copy(), place + 1
+    low[ends], high[ends] = -1, len(words) + 1  # no window has them in it
+    text = Symbols(words, place, place + 1, low, high)
+    yield text
     for number, most in enumerate(ROUNDS):
-        out.append(name_pairs(name_runs(out[-1], len(words), most), len(words), most, number))
-    return out
+        text = name_pairs(name_runs(text, len(words), most), len(words), most, number)
+        yield text
 
 
-def window_symbols(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Name and first word of the symbol by which every window is known: of the symbols that its words decide, those
-    of the highest level, of these the smallest by a hash, of equal ones the first."""
+def window_symbols(words: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Name and first word of the symbol by which every wanted window is known: of the symbols that its words
+    decide, those of the highest level, of these the smallest by a hash, of equal ones the first."""
     count = len(words) - WINDOW + 1
-    names, firsts = np.zeros(count, np.uint64), np.full(count, -1, np.int64)
-    for number, text in reversed(list(enumerate(levels(words)))):
+    names, firsts = np.zeros(count, np.uint64), np.where(wanted, -1, 0)
+    for number, text in reversed(list(enumerate(levels(words, ends)))):
         order = mixed(text.name ^ np.uint64(0x5851F42D4C957F2D))
         begin, last = np.maximum(text.high - WINDOW, 0), np.minimum(text.low, count - 1)
+        # only symbols of windows that no higher level has told are looked at
+        missing = np.concatenate([[0], np.cumsum(firsts < 0)])
         fits = np.flatnonzero((last >= begin) & (text.low >= 0) & (text.high <= len(words)))
+        fits = fits[missing[last[fits] + 1] > missing[begin[fits]]]
         chosen = np.full(count, -1)
         ranked = fits[np.lexsort((-text.first[fits], ~order[fits]))]  # the last one painted stays
         for symbol, a, b in zip(ranked.tolist(), begin[ranked].tolist(), (last[ranked] + 1).tolist()):
             chosen[a:b] = symbol
-        new = (firsts < 0) & (chosen >= 0)
+        new = np.flatnonzero((firsts < 0) & (chosen >= 0))
         names[new] = mixed(text.name[chosen[new]] + np.uint64(number))
         firsts[new] = text.first[chosen[new]]
         if (firsts >= 0).all():
@@ -108,14 +116,32 @@ def text_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends, fold_case=False), starts, ends
 
 
-def runs(text: str) -> tuple[np.ndarray, ...]:
-    words = text_words(text)[0]
-    if len(words) < WINDOW:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    names, firsts = window_symbols(words)
-    start, count = runs_of(firsts)
+def runs(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Number of the text, key, content, first window and number of windows of all runs of some texts.
+
+    The texts are laid one behind another, with a symbol between them that is like no word.
+    """
+    own = [text_words(x)[0] for x in texts]
+    parts = [np.zeros(1, np.uint64)]
+    for number, words in enumerate(own):
+        parts += [words, mixed(np.array([~number], np.int64).view(np.uint64))]
+    words = np.concatenate(parts)
+    sizes = np.array([len(x) for x in own])
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+    if len(words) < WINDOW or sizes.max() < WINDOW:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    place = np.arange(len(words) - WINDOW + 1)
+    borders = np.zeros(len(words) + 1, np.int64)
+    borders[ends + 1] = 1
+    borders = np.cumsum(borders)
+    wanted = borders[place] == borders[place + WINDOW]  # no symbol between texts is inside
+    names, firsts = window_symbols(words, ends, wanted)
+    start, count = runs_of(np.where(wanted, firsts, -1 - place))
+    kept = wanted[start]
+    start, count = start[kept], count[kept]
     content = Rolling(words).stretch(start, start + count - 1 + WINDOW)
-    return names[start].view(np.int64), content, start, count
+    number = np.searchsorted(ends, start, side="right") - 1
+    return number, names[start].view(np.int64), content, start - ends[number] - 1, count
 
 
 def hashes(text: str, starts: np.ndarray) -> np.ndarray:
@@ -140,6 +166,6 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     words; a null doc_id is the smallest. Rows with one doc_id count as one document: their spans are shared and cut to each text.
     """
     rows = docs.select(id_column().alias("doc_id"), whole_text().alias("text"))
-    spans = earlier_windows(rows, runs, hashes, WINDOW, within=False)
+    spans = earlier_windows(rows, runs, hashes, WINDOW, within=False, store=True)
     found = map_spans(rows, spans, without_spans, "n_words long, n_removed long, kept_sha256 string")
     return found.select(id_back(), "n_words", "n_removed", "kept_sha256")

@@ -62,11 +62,13 @@ def with_first(rows: DataFrame, key: list[str], value: Column) -> DataFrame:
     return rows.join(written(firsts.drop("_n"), "firsts"), key, "left")
 
 
-def earlier_windows(docs: DataFrame, runs: Callable, hashes: Callable, width: int, within: bool) -> DataFrame:
+def earlier_windows(
+    docs: DataFrame, runs: Callable, hashes: Callable, width: int, within: bool, store: bool
+) -> DataFrame:
     """(doc_id, spans) of documents with windows that also start earlier; spans are arrays of (start, end) of such windows.
 
-    ``runs(text)`` gives the arrays key, content, start and count of the runs of a text, ``hashes(text, starts)`` the hashes
-    of windows. Earlier means in a document of smaller doc_id and, if ``within``, also at a smaller start of the same one.
+    ``runs(texts)`` gives the arrays text number, key, content, start and count of the runs of some texts,
+    ``hashes(text, starts)`` the hashes of windows. Earlier means in a document of smaller doc_id and, if ``within``, also at a smaller start of the same one.
     ``docs`` has doc_id (not null) and text. Windows are compared by 64-bit hashes of their whole content.
     """
     ship(docs.sparkSession)
@@ -76,16 +78,13 @@ def earlier_windows(docs: DataFrame, runs: Callable, hashes: Callable, width: in
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 ids = np.array(part.column(0).to_pylist(), np.int64)
-                found = [runs(x) for x in part.column(1).to_pylist()]
-                sizes = [len(x[0]) for x in found]
-                kinds = (np.int64, np.int64, np.int32, np.int32)
-                columns = [np.concatenate([x[k] for x in found]).astype(kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, sizes)), *map(pa.array, columns)], names=["doc_id", "key", "content", "start", "n"]
-                )
+                number, key, content, start, count = runs(part.column(1).to_pylist())
+                data = (ids[number], key, content, start.astype(np.int32), count.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, data)], names=["doc_id", "key", "content", "start", "n"])
 
     place = F.struct("doc_id", "start") if within else F.col("doc_id")
     rows = map_texts(docs, cut, "doc_id long, key long, content long, start int, n int")
+    rows = written(rows, "runs") if store else rows
     shared = written(shared_rows(rows, "key"), "shared-runs")
     shared = written(with_first(shared, ["key", "content"], place), "first-runs")
     copies = shared.filter(place != F.col("first"))
