@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -46,6 +47,13 @@ def id_back(name: str = "doc_id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias("doc_id")
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that the rows don't have."""
+    while name in rows.columns:
+        name += "_"
+    return name
+
+
 def whole_text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -61,6 +69,17 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """``written``, after which the shuffle files of the jobs before are let go.
+
+    Spark removes them when the driver collects its garbage, which a driver with little to do may put off for long.
+    """
+    table = written(rows, name)
+    gc.collect()
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webfrontier.llm.common import NO_ID, id_back, id_column, partitions, whole_text
+from webfrontier.llm.common import NO_ID, free_name, id_back, id_column, partitions, whole_text
 from webfrontier.session import cut_lineage
 
 #: A partition takes in the runs of so many others in one round.
@@ -76,7 +76,9 @@ def exact_groups(docs: DataFrame, runs: int | None = None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents of which exact_groups says that they stay, each once, with all their columns."""
-    marks = exact_groups(docs).filter("kept").select(id_column().alias("_id")).distinct()
-    tagged = docs.withColumn("_id", id_column())
-    return tagged.join(marks, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    """The documents of which exact_groups says that they stay, with all their columns; of repeated rows one stays."""
+    own, digest = free_name(docs, "_own"), free_name(docs, "_digest")
+    marks = exact_groups(docs).filter("kept OR keep_id IS NULL")
+    marks = marks.select(id_column().alias(own), F.col("text_sha256").alias(digest)).distinct()
+    tagged = docs.withColumn(own, id_column()).withColumn(digest, F.sha2(whole_text().cast("binary"), 256))
+    return tagged.join(marks, [own, digest], "left_semi").dropDuplicates([own, digest]).drop(own, digest)
