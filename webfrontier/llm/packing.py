@@ -12,9 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webfrontier.llm.common import map_texts, ship, texts
+from webfrontier.llm.common import map_texts, ship, texts, written
 from webfrontier.llm.word_tokens import chunk_encoder
-from webfrontier.session import cut_and_count, cut_lineage
 
 #: Bins of a bucket are numbered in so many bits, so a bucket must not have more pieces.
 BIN_BITS = 16
@@ -162,7 +161,7 @@ def _pack_round(pieces: DataFrame, buckets: int, number: int, capacity: int, sea
         F.lit(False).alias("elite"),
     )
     for epoch in range(search.epochs):
-        state = cut_lineage(state.groupBy("bucket", "island").applyInPandas(step(epoch), schema))
+        state = written(state.groupBy("bucket", "island").applyInPandas(step(epoch), schema), "island-plans")
         if epoch + 1 < search.epochs:
             guests = state.select(
                 "bucket",
@@ -190,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int, search: Search | None = None) -> Data
     """
     search = search or Search()
     ship(pieces.sparkSession)
-    numbered = cut_lineage(pieces.withColumn("piece_no", F.monotonically_increasing_id()))
+    numbered = written(pieces.withColumn("piece_no", F.monotonically_increasing_id()), "pieces")
     placed = numbered.filter(F.col("length") >= capacity).select("piece_no", F.col("piece_no").alias("sequence_id"))
     left = numbered.filter(F.col("length") < capacity).select("piece_no", "length")
     count, number, last = left.count(), 0, False
@@ -200,7 +199,8 @@ def pack(pieces: DataFrame, capacity: int, search: Search | None = None) -> Data
         code = F.shiftleft(F.lit(number).cast("long"), 56) + F.shiftleft(F.col("bucket"), BIN_BITS) + F.col("bin")
         final = F.lit(True) if last or buckets == 1 else F.col("fill") >= search.well_filled * capacity
         found = found.withColumn("final", final).withColumn("sequence_id", -1 - code)
-        found, rest = cut_and_count(found, ~F.col("final"))
+        found = written(found, "packed-bins")
+        rest = found.filter("NOT final").count()
         placed = placed.unionByName(found.filter("final").select("piece_no", "sequence_id"))
         left = found.filter(~F.col("final")).select("piece_no", "length")
         last, count, number = rest * 2 > count, rest, number + 1

@@ -12,8 +12,8 @@ from typing import Any
 
 import numpy as np
 
-#: A worker forgets its chunks when it holds so many; ids do not depend on that.
-KEPT_CHUNKS = 1_000_000
+#: A worker forgets chunks, or words, when it holds so many; ids do not depend on that.
+KEPT = 700_000
 #: Chunks of letters that normalisation only lower-cases, with punctuation behind: their letters and their
 #: punctuation are separate words of the vocabulary. Everything else goes through the library as it is.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;=?@^_|-]*)")
@@ -37,24 +37,21 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             spelled = "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.words[word] = [x.id for x in self.model.tokenize(spelled)]
+            ids = self.words[word] = _pack([x.id for x in self.model.tokenize(spelled)])
         return ids
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> bytes:
         if plain := _PLAIN.fullmatch(chunk):
             letters, marks = plain.groups()
-            return self.word(letters.lower()) + (self.word(marks) if marks else [])
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            return self.word(letters.lower()) + (self.word(marks) if marks else b"")
+        return _pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text as uint32."""
@@ -63,12 +60,12 @@ class ChunkEncoder:
         try:
             data = b"".join(map(kept.__getitem__, chunks))
         except KeyError:
-            if len(kept) > KEPT_CHUNKS:
-                self.forget()
-                kept = self.chunks
+            for known in (self.chunks, self.words):
+                if len(known) > KEPT:
+                    known.clear()
             for chunk in chunks:
                 if chunk not in kept:
-                    kept[chunk] = _pack(self.chunk(chunk))
+                    kept[chunk] = self.chunk(chunk)
             data = b"".join(map(kept.__getitem__, chunks))
         return np.frombuffer(data, np.uint32)
 
