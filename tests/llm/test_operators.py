@@ -139,7 +139,7 @@ def test_equal_windows_have_equal_symbols():
             behind = " ".join(f"w{x}" for x in rng.integers(0, alphabet, rng.integers(0, 40)))
             text = f"{before} {window} {behind}"
             at = len(before.split()) + 5
-            number, key, _, start, count = recompression.runs(["x y", text, window])
+            number, key, _, start, count, _ = recompression.runs(["x y", text, window])
             found |= {int(k) for t, k, s, n in zip(number, key, start, count) if t == 1 and s <= at < s + n}
         assert len(found) == 1
 

@@ -117,7 +117,7 @@ def text_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Number of the text, key, content, first window and number of windows of all runs of some texts.
+    """Number of the text, key, content, first window, number of windows and anchor of all runs of some texts.
 
     The texts are laid one behind another, with a symbol between them that is like no word.
     """
@@ -129,7 +129,7 @@ def runs(texts: list[str]) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(x) for x in own])
     ends = np.concatenate([[0], np.cumsum(sizes + 1)])
     if len(words) < WINDOW or sizes.max() < WINDOW:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     place = np.arange(len(words) - WINDOW + 1)
     borders = np.zeros(len(words) + 1, np.int64)
     borders[ends + 1] = 1
@@ -141,11 +141,12 @@ def runs(texts: list[str]) -> tuple[np.ndarray, ...]:
     start, count = start[kept], count[kept]
     content = Rolling(words).stretch(start, start + count - 1 + WINDOW)
     number = np.searchsorted(ends, start, side="right") - 1
-    return number, names[start].view(np.int64), content, start - ends[number] - 1, count
+    origin = ends[number] + 1
+    return number, names[start].view(np.int64), content, start - origin, count, firsts[start] - origin
 
 
-def hashes(text: str, starts: np.ndarray) -> np.ndarray:
-    return Rolling(text_words(text)[0]).stretch(starts, starts + WINDOW)
+def values(text: str) -> np.ndarray:
+    return text_words(text)[0]
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -166,6 +167,6 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     words; a null doc_id is the smallest. Rows with one doc_id count as one document: their spans are shared and cut to each text.
     """
     rows = docs.select(id_column().alias("doc_id"), whole_text().alias("text"))
-    spans = earlier_windows(rows, runs, hashes, WINDOW, within=False, store=True)
+    spans = earlier_windows(rows, runs, values, WINDOW, within=False, block=6, store=True)
     found = map_spans(rows, spans, without_spans, "n_words long, n_removed long, kept_sha256 string")
     return found.select(id_back(), "n_words", "n_removed", "kept_sha256")

@@ -2,8 +2,8 @@
 
 Both substring operators cut the windows of a document into runs of neighbours that have the same anchor, a place
 picked by the content of the window alone. Equal windows then have equal anchors (``key``), and runs with equal
-content (``content``) have the same windows. So most work is done on runs: windows are looked at one by one only in the first
-of equal runs, and only where one anchor has runs of different content.
+content (``content``) have the same windows. So most work is done on runs and on blocks of them: windows are looked at one by one only
+where one anchor, and one middle part of a block, has different content around it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webfrontier.llm.common import map_texts, ship, whole_text, written
+from webfrontier.llm.common import map_texts, settled, ship, whole_text, written
 from webfrontier.llm.shingles import mixed
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,63 +53,104 @@ def shared_rows(rows: DataFrame, key: str) -> DataFrame:
     both sides and adaptive execution can split a key that a third of all rows have.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return rows.join(written(counts.select(key), "shared-keys"), key)
+    return rows.join(settled(counts.select(key), "shared-keys"), key)
 
 
-def with_first(rows: DataFrame, key: list[str], value: Column) -> DataFrame:
+def with_first(rows: DataFrame, key: list[str], value: Column, how: str = "left") -> DataFrame:
     """The rows with ``first``, the smallest value of their key, joined as in shared_rows; a key of one row has none."""
     firsts = rows.groupBy(*key).agg(F.min(value).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return rows.join(written(firsts.drop("_n"), "firsts"), key, "left")
+    return rows.join(settled(firsts.drop("_n"), "firsts"), key, how)
+
+
+def _folded(rows: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, key, content, start, n, at): those whose content starts earlier too, and those to be looked at closer.
+
+    Rows of a key that occurs once, and first rows of a key with one content only, have no window that others have.
+    """
+    shared = settled(shared_rows(rows, "key"), "shared-runs")
+    shared = settled(with_first(shared, ["key", "content"], place), "first-runs")
+    firsts = shared.filter(F.col("first").isNull() | (place == F.col("first")))
+    kinds = firsts.groupBy("key").agg(F.min("content").alias("_a"), F.max("content").alias("_b")).filter("_a != _b")
+    closer = firsts.join(settled(kinds.select("key"), "mixed-keys"), "key", "left_semi")
+    return shared.filter(place != F.col("first")), closer
 
 
 def earlier_windows(
-    docs: DataFrame, runs: Callable, hashes: Callable, width: int, within: bool, store: bool
+    docs: DataFrame, runs: Callable, values: Callable, width: int, within: bool, block: int, store: bool
 ) -> DataFrame:
     """(doc_id, spans) of documents with windows that also start earlier; spans are arrays of (start, end) of such windows.
 
-    ``runs(texts)`` gives the arrays text number, key, content, start and count of the runs of some texts,
-    ``hashes(text, starts)`` the hashes of windows. Earlier means in a document of smaller doc_id and, if ``within``, also at a smaller start of the same one.
-    ``docs`` has doc_id (not null) and text. Windows are compared by 64-bit hashes of their whole content.
+    ``runs(texts)`` gives the arrays text number, key, content, start, count and anchor place of the runs of some texts,
+    ``values(text)`` the 64-bit values that windows are made of. Runs are folded first. What is left of them is cut
+    into blocks of ``block`` windows, counted from the anchor, and a block is known by what all its windows have
+    in common, so a block around a changed place drops out as a whole. Blocks are folded like runs,
+    and only what is left of them is looked at window by window. Equal windows have equal anchors and so lie in
+    blocks of one key. Earlier means in a document of smaller doc_id and, if ``within``, also at a smaller start of
+    the same one. ``docs`` has doc_id (not null) and text. Windows are compared by 64-bit hashes of their whole
+    content. Runs are read twice; ``store`` writes them in between, otherwise they are made anew, which pays where they
+    are quickly made and many.
     """
     ship(docs.sparkSession)
+    names = ["doc_id", "key", "content", "start", "n", "at"]
+    schema = "doc_id long, key long, content long, start int, n int, at int"
+
+    def batch_of(ids, key, content, start, count, at) -> pa.RecordBatch:
+        small = [x.astype(np.int32) for x in (start, count, at)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (ids, key, content, *small))], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
                 ids = np.array(part.column(0).to_pylist(), np.int64)
-                number, key, content, start, count = runs(part.column(1).to_pylist())
-                data = (ids[number], key, content, start.astype(np.int32), count.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, data)], names=["doc_id", "key", "content", "start", "n"])
+                number, *columns = runs(part.column(1).to_pylist())
+                yield batch_of(ids[number], *columns)
 
-    place = F.struct("doc_id", "start") if within else F.col("doc_id")
-    rows = map_texts(docs, cut, "doc_id long, key long, content long, start int, n int")
-    rows = written(rows, "runs") if store else rows
-    shared = written(shared_rows(rows, "key"), "shared-runs")
-    shared = written(with_first(shared, ["key", "content"], place), "first-runs")
-    copies = shared.filter(place != F.col("first"))
-    firsts = shared.filter(F.col("first").isNull() | (place == F.col("first"))).drop("first")
-    # anchors with one content only need no look at their windows
-    kinds = firsts.groupBy("key").agg(F.min("content").alias("_a"), F.max("content").alias("_b")).filter("_a != _b")
-    mixed_keys = written(kinds.select("key"), "mixed-keys")
-    edges = firsts.join(mixed_keys, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    read = docs.select("doc_id", whole_text().alias("text")).join(edges, "doc_id")
+    def read(rows: DataFrame) -> DataFrame:
+        """The texts that the rows lie in, each with its rows."""
+        own = rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
+        return docs.select("doc_id", whole_text().alias("text")).join(own, "doc_id")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Rolling, np.ndarray, np.ndarray]]:
+        """Id, values, and start and anchor of every window of a text's rows."""
         for batch in batches:
             for row in range(batch.num_rows):
                 doc_id, text, found = (batch.column(k)[row].as_py() for k in range(3))
-                starts = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in found])
-                ids = np.full(len(starts), doc_id, np.int64)
-                data = [pa.array(ids), pa.array(hashes(text, starts)), pa.array(starts.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(data, names=["doc_id", "window", "start"])
-
-    single = written(read.mapInArrow(windows, "doc_id long, window long, start int"), "windows")
-    later = with_first(single, ["window"], place).filter(place != F.col("first"))
-    spans = copies.select("doc_id", "start", (F.col("start") + F.col("n") - 1 + width).alias("end")).unionByName(
-        later.select("doc_id", "start", (F.col("start") + width).alias("end"))
-    )
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+                count = np.array([x["n"] for x in found])
+                first = np.repeat([x["start"] for x in found], count)
+                inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                yield doc_id, Rolling(values(text)), first + inside, np.repeat([x["at"] for x in found], count)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, text, window, at in parts(batches):
+            number = np.floor_divide(window - at, block)
+            fresh = np.concatenate([[True], (np.diff(window) != 1) | (np.diff(at) != 0) | (np.diff(number) != 0)])
+            begin = np.flatnonzero(fresh)
+            count = np.diff(np.append(begin, len(window)))
+            start, at, number = window[begin], at[begin], number[begin]
+            common = text.stretch(at + number * block + block - 1, at + number * block + width)
+            key = mixed(common.view(np.uint64) + number.astype(np.uint64)).view(np.int64)
+            content = text.stretch(start, start + count - 1 + width)
+            yield batch_of(np.full(len(start), doc_id, np.int64), key, content, start, count, at)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, text, window, _ in parts(batches):
+            data = (np.full(len(window), doc_id, np.int64), text.stretch(window, window + width), window.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, data)], names=["doc_id", "window", "start"])
+
+    place = F.struct("doc_id", "start") if within else F.col("doc_id")
+    rows = map_texts(docs, cut, schema)
+    copied, left = _folded(written(rows, "runs") if store else rows, place)
+    del rows
+    again, left = _folded(settled(read(left).mapInArrow(blocks, schema), "blocks"), place)
+    single = settled(read(left).mapInArrow(windows, "doc_id long, window long, start int"), "windows")
+    del left
+    later = with_first(single, ["window"], place, "inner").filter(place != F.col("first")).withColumn("n", F.lit(1))
+    spans = copied.select("doc_id", "start", "n")
+    for more in (again, later):
+        spans = spans.unionByName(more.select("doc_id", "start", "n"))
+    ends = F.struct("start", (F.col("start") + F.col("n") - 1 + width).alias("end"))
+    return settled(spans.groupBy("doc_id").agg(F.collect_list(ends).alias("spans")), "spans")
 
 
 def merged_spans(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:

@@ -44,21 +44,20 @@ def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Number of the text, key, content, first window and number of windows of all runs of some texts."""
-    found = [tuple(np.zeros(0, np.int64) for _ in range(5))]
+    """Number of the text, key, content, first window, number of windows and anchor of all runs of some texts."""
+    found = [tuple(np.zeros(0, np.int64) for _ in range(6))]
     for number, text in enumerate(texts):
         data = np.frombuffer(text.encode(), np.uint8)
         if len(data) >= WINDOW:
             names, places = window_anchors(data)
             start, count = runs_of(places)
             content = Rolling(_LETTER[data]).stretch(start, start + count - 1 + WINDOW)
-            found.append((np.full(len(start), number), names[start].view(np.int64), content, start, count))
+            found.append((np.full(len(start), number), names[start].view(np.int64), content, start, count, places[start]))
     return tuple(map(np.concatenate, zip(*found)))
 
 
-def hashes(text: str, starts: np.ndarray) -> np.ndarray:
-    data = np.frombuffer(text.encode(), np.uint8)
-    return Rolling(_LETTER[data]).stretch(starts, starts + WINDOW)
+def values(text: str) -> np.ndarray:
+    return _LETTER[np.frombuffer(text.encode(), np.uint8)]
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
@@ -81,7 +80,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     doc_id count as one document: their spans are shared and cut to each text.
     """
     rows = docs.select(id_column().alias("doc_id"), whole_text().alias("text"))
-    spans = earlier_windows(rows, runs, hashes, WINDOW, within=True, store=False)
+    spans = earlier_windows(rows, runs, values, WINDOW, within=True, block=12, store=False)
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     found = map_spans(rows, spans, without_spans, schema)
     return found.select(id_back(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
