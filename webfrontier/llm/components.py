@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webfrontier.session import cut_and_count, cut_lineage
+from webfrontier.llm.common import written
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -16,24 +16,24 @@ def connected(links: DataFrame) -> DataFrame:
     a round, so their number falls at least by half and there are as many rounds as its logarithm.
     """
     pairs = links.select("a", "b").filter("a != b")
-    pairs, count = cut_and_count(pairs.union(pairs.select("b", "a")).distinct())
+    pairs = written(pairs.union(pairs.select("b", "a")).distinct(), "links")
+    count = pairs.count()
     labels = pairs.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     while count:
         hooks = pairs.groupBy(F.col("a").alias("old")).agg(F.min("b").alias("_low"))
-        hooks = cut_lineage(hooks.select("old", F.least("old", "_low").alias("new")))
+        hooks = written(hooks.select("old", F.least("old", "_low").alias("new")), "hooks")
         moved = 1
         while moved:
             above = hooks.select(F.col("old").alias("new"), F.col("new").alias("_up"))
             jumped = hooks.join(above, "new", "left").select("old", "new", F.coalesce("_up", "new").alias("_to"))
-            jumped, moved = cut_and_count(jumped, F.col("_to") != F.col("new"))
+            jumped = written(jumped, "hooks")
+            moved = jumped.filter("_to != new").count()
             hooks = jumped.select("old", F.col("_to").alias("new"))
-        labels = cut_lineage(
-            labels.join(hooks.withColumnRenamed("old", "component"), "component", "left").select(
-                "node", F.coalesce("new", "component").alias("component")
-            )
-        )
+        labels = labels.join(hooks.withColumnRenamed("old", "component"), "component", "left")
+        labels = written(labels.select("node", F.coalesce("new", "component").alias("component")), "labels")
         left = hooks.select(F.col("old").alias("a"), F.col("new").alias("_a"))
         right = hooks.select(F.col("old").alias("b"), F.col("new").alias("_b"))
         pairs = pairs.join(left, "a").join(right, "b").filter("_a != _b")
-        pairs, count = cut_and_count(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        pairs = written(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "links")
+        count = pairs.count()
     return labels

@@ -12,27 +12,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webfrontier.llm.common import NO_ID, id_back, id_column, map_texts, ship, texts, whole_text
+from webfrontier.llm.common import NO_ID, free_name, id_back, id_column, map_texts, settled, ship, texts, whole_text, written
 from webfrontier.llm.components import connected
 from webfrontier.llm.shingles import shingle_set
-from webfrontier.session import cut_and_count, cut_lineage, scratch_table
 
 #: Columns are counted in so many buckets to put frequent ones last. The counts only order the columns.
 _BUCKET_BITS = 22
 _HEAVY_IN_TASK = 16
 _HEAVY_KEPT = 200_000
-#: A frequent column's rows are met in so many parts before they are met as a whole.
+#: Rows of a frequent set are met in so many parts before they are met as a whole.
 _PARTS = 16
 #: Rounds that compare with one leader per column, before all that is left is multiplied out.
-_LEADER_ROUNDS = 6
+_LEADER_ROUNDS = 4
 
 
 def needed_columns(n: Column | int):
     """How many of the rarest columns two similar documents must share, by the smaller one's size (see _prefix)."""
-    return (F.floor(n / 20) + 1).cast("int") if isinstance(n, Column) else n // 20 + 1
+    return (F.floor(n / 40) + 1).cast("int") if isinstance(n, Column) else n // 40 + 1
 
 
 def _prefix(n: int) -> int:
@@ -41,11 +40,6 @@ def _prefix(n: int) -> int:
     return min(n, n - -(-8 * n // 10) + needed_columns(n))
 
 
-def _enough(shared: Column, a: Column, b: Column) -> Column:
-    """100 * shared >= 80 * union."""
-    return 9 * shared >= 4 * (a + b)
-
-
 def _heavy_buckets(docs: DataFrame) -> np.ndarray:
     """Logarithm of the frequency of frequent buckets, 0 for all others: 2**22 bytes, whatever the input."""
 
@@ -71,62 +65,66 @@ def _heavy_buckets(docs: DataFrame) -> np.ndarray:
     return table
 
 
-def _incidence(docs: DataFrame, path: str) -> None:
-    """Writes per document: doc_id, set_key (equal for equal sets), n, columns (the rarest ones, in order).
+def _incidence(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, set_key (equal for equal sets), n, node, columns (the rarest ones, in order).
 
-    Of documents with equal sets only the first of a task has columns, the others are found by their key.
+    Of documents with equal sets only the first of a task is a node and has columns, the others are found by their key.
     """
     table = _heavy_buckets(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for ids, group in texts(batches):
-            keys, sizes, columns = [], [], []
+            keys, sizes, nodes, columns = [], [], [], []
             for text in group:
                 found = shingle_set(text)
                 key = hashlib.sha256(found.tobytes()).digest()[:16]
                 keys.append(key)
                 sizes.append(len(found))
-                if key in seen or not len(found):
+                nodes.append(key not in seen and len(found) > 0)
+                if not nodes[-1]:
                     columns.append([])
                     continue
                 seen.add(key)
                 order = np.lexsort((found, table[found >> np.uint64(64 - _BUCKET_BITS)]))
                 columns.append(found[order[: _prefix(len(found))]].view(np.int64))
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
-            data = [pa.array(x, k) for x, k in zip((ids, keys, sizes, columns), kinds)]
-            yield pa.RecordBatch.from_arrays(data, names=["doc_id", "set_key", "n", "columns"])
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+            data = [pa.array(x, k) for x, k in zip((ids, keys, sizes, nodes, columns), kinds)]
+            yield pa.RecordBatch.from_arrays(data, names=["doc_id", "set_key", "n", "node", "columns"])
 
     plain = docs.select(id_column().alias("doc_id"), "text")
-    map_texts(plain, run, "doc_id long, set_key binary, n int, columns array<long>").write.parquet(path)
+    schema = "doc_id long, set_key binary, n int, node boolean, columns array<long>"
+    return written(map_texts(plain, run, schema), "shingle-columns")
 
 
 def _shared_columns(table: DataFrame) -> DataFrame:
-    """(column, node, n, place) of the columns that two or more nodes have, for nodes that share enough of theirs."""
-    rows = table.filter("size(columns) > 0").select(
-        F.col("doc_id").alias("node"), "n", F.posexplode("columns").alias("place", "column")
-    )
-    # a frequent column is first met in parts, so no task gathers all its rows
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(_PARTS))).repartition("column", "part")
-    parts = rows.groupBy("column", "part").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    whole = parts.groupBy("column").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
-    wanted = parts.select("column", "part").join(whole.select("column"), "column")
-    shared = cut_lineage(rows.join(wanted, ["column", "part"]).select("column", "node", "n", "place"))
+    """(column, node, n) of the columns that two or more nodes have, for nodes that share enough of theirs.
+
+    Most columns belong to one document. Their rows stay narrow, and the table of shared columns is written, so
+    the join has a plain exchange on both sides and adaptive execution can split a frequent column.
+    """
+    rows = table.filter("node").select(F.col("doc_id").alias("node"), F.explode("columns").alias("column"))
+    counts = rows.groupBy("column").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    shared = settled(rows.join(settled(counts.select("column"), "shared-columns"), "column"), "shared-cells")
+    sizes = table.filter("node").select(F.col("doc_id").alias("node"), "n")
+    rich = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_k")).join(sizes, "node")
     partner = needed_columns(F.floor(F.col("n") * 4 / 5))  # the smallest partner asks for no less
-    rich = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_k"), F.max("n").alias("n")).filter(F.col("_k") >= partner)
-    return cut_lineage(shared.join(rich.select("node"), "node"))
+    rich = written(rich.filter(F.col("_k") >= partner).select("node", "n"), "rich-nodes")
+    return shared.join(rich, "node")
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that can be similar, from their shared columns: sizes, number and places of these."""
+    """Pairs (a, b, k) that can be similar: by their sizes, and by the number k of columns they were found to share.
+
+    Of two documents, the one whose rarest columns end first in the common order shares those with the other one
+    only among the other's rarest columns. So both share at most k and what it has besides.
+    """
     smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
     pairs = pairs.filter(5 * smaller >= 4 * larger)
-    summed = pairs.groupBy("a", "b", "na", "nb").agg(
-        F.count(F.lit(1)).alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb")
-    )
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    possible = _enough(F.col("k") + rest, F.col("na"), F.col("nb"))
-    return summed.filter((F.col("k") >= needed_columns(smaller)) & possible).select("a", "b")
+    summed = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+    rest = F.greatest(*[n - F.least(n, n - F.floor((8 * n + 9) / 10) + needed_columns(n)) for n in map(F.col, ("na", "nb"))])
+    possible = (F.col("k") >= needed_columns(smaller)) & (9 * (F.col("k") + rest) >= 4 * (F.col("na") + F.col("nb")))
+    return summed.filter(possible).select("a", "b", "k")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -146,7 +144,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Whole shingle sets of the nodes as sorted bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +153,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(data, names=["node", "shingles"])
 
     plain = docs.select(id_column().alias("node"), whole_text().alias("text")).join(nodes, "node", "left_semi")
-    plain.mapInArrow(run, "node long, shingles binary").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return settled(plain.mapInArrow(run, "node long, shingles binary"), "shingle-sets")
 
 
 def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected(links)
-    return cut_lineage(
-        shared.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    )
+    labelled = shared.select("column", "node", "n").join(connected(links), "node", "left")
+    return settled(labelled.withColumn("component", F.coalesce("component", "node")), "labelled-cells")
 
 
 def _open_pairs(shared: DataFrame) -> int:
@@ -177,43 +172,39 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that join all similar documents: not every pair, but every component.
 
     A column of one large group of near copies would give the square of its size in pairs. So each round first
-    compares every node of a column with one leader, the same for all columns of a group, and what is linked
-    becomes one component. When few pairs of different components are left, or after some rounds, all of
-    these are multiplied out; pairs inside a component need no comparison, as they can't change it.
+    compares every node with one leader: each column has one, and of those of its columns a node takes the one with
+    which it shares most. What is linked becomes one component. When few pairs of different components are left,
+    or after some rounds, all of these are multiplied out; pairs inside a component need no comparison, as they
+    can't change it.
     """
-    spark = docs.sparkSession
     shared = _shared_columns(table)
     # documents of equal sets met in different tasks are linked at once
-    same = table.filter("size(columns) > 0").select("set_key", F.col("doc_id").alias("a"))
+    same = table.filter("node").select("set_key", F.col("doc_id").alias("a"))
     first = same.groupBy("set_key").agg(F.min("a").alias("b"))
-    links = cut_lineage(same.join(first, "set_key").filter("a != b").select("a", "b"))
-    nodes = shared.select("node").distinct()
-    sets = _sets(docs, nodes, scratch_table(spark, "shingle-sets"))
+    links = written(same.join(first, "set_key").filter("a != b").select("a", "b"), "equal-sets")
     shared = _with_components(shared, links)
+    sets = _sets(docs, shared.select("node").distinct())
     rows = shared.count()
     for number in range(_LEADER_ROUNDS):
-        if _open_pairs(shared) <= 2 * rows:
+        if _open_pairs(shared) <= (2 * rows if number else 0):
             break
-        leaders = shared.groupBy("column").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "n", "place", "component")).alias("lead")
+        order = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "n", "component")
+        leaders = written(shared.groupBy("column").agg(F.min(order).alias("lead")), "leaders")
+        met = shared.join(leaders, "column").filter("component != lead.component")
+        pairs = met.select(
+            F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb")
         )
-        met = shared.join(cut_lineage(leaders), "column").filter("component != lead.component")
-        pairs = _bounded(
-            met.select(
-                F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("na"),
-                F.col("lead.n").alias("nb"), F.col("place").alias("pa"), F.col("lead.place").alias("pb"),
-            )
-        )
-        more, count = cut_and_count(_similar(pairs, sets))
-        if count:
-            links = cut_lineage(links.union(more))
+        best = _bounded(pairs).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        more = settled(_similar(best, sets), "leader-links")
+        if not more.isEmpty():
+            links = links.union(more)
             shared = _with_components(shared, links)
-    left = shared.select("column", *[F.col(x).alias(y) for x, y in zip(("node", "n", "place", "component"), ("a", "na", "pa", "ca"))])
-    right = shared.select("column", *[F.col(x).alias(y) for x, y in zip(("node", "n", "place", "component"), ("b", "nb", "pb", "cb"))])
+    left = shared.select("column", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = shared.select("column", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     close = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
-    met = left.join(right, (left["column"] == right["column"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close)
-    pairs = _bounded(met.select("a", "b", "na", "nb", "pa", "pb"))
-    return cut_lineage(links.union(_similar(pairs, sets)))
+    open_ = (left["column"] == right["column"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    pairs = _bounded(left.join(right, open_ & close).select("a", "b", "na", "nb"))
+    return links.union(settled(_similar(pairs, sets), "last-links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -224,24 +215,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     without words, and null texts, have no shingles and stand alone. A null doc_id counts as the smallest and
     comes out as null; repeated rows give repeated results.
     """
-    spark: SparkSession = docs.sparkSession
-    ship(spark)
-    path = scratch_table(spark, "shingle-columns")
-    _incidence(docs, path)
-    table = spark.read.parquet(path)
+    ship(docs.sparkSession)
+    table = _incidence(docs)
     found = connected(similar_links(docs, table)).withColumnRenamed("node", "doc_id")
     # equal sets have one component, found by any node that has their columns; leaves meet in parts first
-    base = table.select("doc_id", "set_key", "n").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)))
-    labelled = base.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    base = table.select("doc_id", "set_key", "n", "node").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)))
+    own = F.when(F.col("node"), F.coalesce("component", "doc_id"))
+    labelled = base.join(found, "doc_id", "left").withColumn("component", own)
     parts = labelled.groupBy("set_key", "part").agg(F.min("component").alias("component"))
     whole = parts.groupBy("set_key").agg(F.min("component").alias("component"))
-    answers = cut_lineage(parts.select("set_key", "part").join(whole, "set_key"))
+    answers = written(parts.select("set_key", "part").join(whole, "set_key"), "set-components")
     # a component's smallest document may be a copy without columns: its label is the smallest over its sets
     low = labelled.join(answers.withColumnRenamed("component", "_c"), ["set_key", "part"])
     low = low.filter("n > 0").groupBy("_c").agg(F.min("doc_id").alias("_low"))
-    answers = answers.withColumnRenamed("component", "_c").join(cut_lineage(low), "_c", "left")
-    answers = cut_lineage(answers.select("set_key", "part", "_low"))
-    found = base.join(answers, ["set_key", "part"])
+    answers = answers.withColumnRenamed("component", "_c").join(written(low, "smallest-documents"), "_c", "left")
+    found = base.join(written(answers.select("set_key", "part", "_low"), "set-labels"), ["set_key", "part"])
     label = F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id"))
     return found.select(
         id_back(),
@@ -251,7 +239,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id, each once."""
-    marks = near_duplicates(docs).filter("doc_id <=> component_id").select(id_column().alias("_id")).distinct()
-    tagged = docs.withColumn("_id", id_column())
-    return tagged.join(marks, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    """``docs`` with one document of each component, the one with the smallest doc_id; of repeated rows one stays.
+
+    Rows without a doc_id count as one document, and their different texts stay.
+    """
+    own, text = free_name(docs, "_own"), free_name(docs, "_hash")
+    marks = near_duplicates(docs).filter("doc_id <=> component_id").select(id_column().alias(own)).distinct()
+    tagged = docs.withColumn(own, id_column()).withColumn(text, F.xxhash64(whole_text()))
+    return tagged.join(marks, own, "left_semi").dropDuplicates([own, text]).drop(own, text)
