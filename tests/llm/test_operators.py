@@ -144,6 +144,27 @@ def test_equal_windows_have_equal_symbols():
         assert len(found) == 1
 
 
+def test_every_window_has_one_key_in_all_contexts():
+    """A run ends where the symbol changes, also where the next one begins at the same word."""
+    rng = np.random.default_rng(8)
+
+    def words(alphabet, low, high):
+        return [f"w{x}" for x in rng.integers(0, alphabet, rng.integers(low, high))]
+
+    for alphabet in (1, 2, 3, 5, 500):
+        for _ in range(60):
+            passage, keys = words(alphabet, 50, 61), defaultdict(set)
+            for _ in range(10):
+                before, behind = words(alphabet, 0, 40), words(alphabet, 0, 40)
+                found = recompression.runs(["x y", " ".join(before + passage + behind), " ".join(passage)])
+                for text, key, _, start, count, anchor in zip(*found):
+                    for at in range(start, start + count):
+                        place = at - len(before) * (text == 1)
+                        if 0 <= place <= len(passage) - 50:
+                            keys[place].add((int(key), int(anchor - at)))
+            assert len(keys) == len(passage) - 49 and all(len(x) == 1 for x in keys.values())
+
+
 def components_of(rows):
     sets = []
     for _, text in rows:

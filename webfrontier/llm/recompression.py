@@ -136,7 +136,8 @@ def runs(texts: list[str]) -> tuple[np.ndarray, ...]:
     borders = np.cumsum(borders)
     wanted = borders[place] == borders[place + WINDOW]  # no symbol between texts is inside
     names, firsts = window_symbols(words, ends, wanted)
-    start, count = runs_of(np.where(wanted, firsts, -1 - place))
+    # symbols of two levels may begin at one word, so the name counts besides the place
+    start, count = runs_of(np.where(wanted, firsts, -1 - place), names)
     kept = wanted[start]
     start, count = start[kept], count[kept]
     content = Rolling(words).stretch(start, start + count - 1 + WINDOW)

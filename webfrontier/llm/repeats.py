@@ -40,10 +40,11 @@ class Rolling:
         return mixed(whole + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def runs_of(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of every run of equal anchors."""
-    first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-    return first, np.diff(np.append(first, len(anchors)))
+def runs_of(*anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of every run of neighbours that are equal in all of ``anchors``."""
+    fresh = np.any([x[1:] != x[:-1] for x in anchors], axis=0)
+    first = np.flatnonzero(np.concatenate([[True], fresh]))
+    return first, np.diff(np.append(first, len(anchors[0])))
 
 
 def shared_rows(rows: DataFrame, key: str) -> DataFrame:
