@@ -393,6 +393,29 @@ def test_novel_secrets():
     assert secret_scan.redact("abcdef", [(0, 0, 3), (2, 2, 4)]) == "[secret]ef"
 
 
+def test_novel_secrets_on_both_sides_of_a_word():
+    """Everywhere within reach of a sensitive word, and also without a digit."""
+    scanner, rng = secret_scan.SecretScanner(secret_scan.Novelty()), random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def found(text):
+        return [text[a:b] for a, kind, b in scanner.scan(text)[1] if kind == 3]
+
+    for alphabet in (letters, letters + "0123456789"):
+        for size in (16, 24, 40):
+            for gap in range(1, 51):
+                key = "".join(rng.choice(alphabet) for _ in range(size))
+                for word in ("password", "Bearer"):
+                    between = " " if gap == 1 else f" {('was set to ' * 5)[: gap - 2]} "
+                    within = [key] if gap <= 48 else []
+                    assert found(f"the {word}{between}{key} today") == within
+                    assert found(f"use {key}{between[::-1]}{word} today") == within
+    key = "".join(rng.choice(letters) for _ in range(24))
+    assert found(f"my_passphrase_{key} today") == [f"_{key}"]
+    assert found(f"my {key}_passphrase today") == [f"{key}_"]
+    assert found(f"the passphrase {key[:12]}pwd{key[12:]} today") == [f"{key[:12]}pwd{key[12:]}"]
+
+
 def test_line_field(spark, odd, empty):
     docs = documents(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,14 +39,15 @@ IDENTIFIERS = (
     "getUserName setPassword handleRequest database_connection max_retry_count request_timeout_seconds test_case "
     "create_session_token validate_password user_id account_number file_name error_message response_status index_name "
 )
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+LEAST_LETTERS = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_LETTERS, re.ASCII)
 
 
 @dataclass(frozen=True)
 class Novelty:
-    """A candidate of 16 or more letters, with a digit, is reported when it begins at most ``reach`` code points behind
-    a sensitive word and adds at least ``least`` compressed bytes for each of its own to the text around it
-    (``around`` code points on either side) in a frame primed with the dictionaries."""
+    """A candidate of 16 or more letters is reported when it begins at most ``reach`` code points behind a sensitive
+    word, or ends at most as many in front of one, and adds at least ``least`` compressed bytes for each of its own
+    to the text around it (``around`` code points on either side) in a frame primed with the dictionaries."""
 
     reach: int = 48
     around: int = 256
@@ -67,6 +69,22 @@ def _hex_spans(text: str, data: bytes) -> list[tuple[int, int]]:
     return spans
 
 
+def _near(text: str, places: set[tuple[int, int]], reach: int) -> set[tuple[int, int]]:
+    """Candidates whose start lies near behind, or whose end near in front of, one of the ``places`` of words.
+
+    A candidate that a word lies in gives what stands behind the word, and what in front of it.
+    """
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    starts, ends = [x[0] for x in runs], [x[1] for x in runs]
+    found = set()
+    for start, end in places:
+        found.update(runs[bisect_left(starts, end) : bisect_right(starts, end + reach)])
+        found.update(runs[bisect_left(ends, start - reach) : bisect_right(ends, start)])
+        for a, b in runs[bisect_right(ends, start) : bisect_left(starts, end)]:
+            found.update(x for x in ((a, start), (end, b)) if x[1] - x[0] >= LEAST_LETTERS)
+    return found
+
+
 class SecretScanner:
     def __init__(self, rule: Novelty) -> None:
         primed = zstandard.ZstdCompressionDict((CODE + IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -94,19 +112,13 @@ class SecretScanner:
         """Candidates near sensitive words that no fixed pattern touches and that do not compress."""
         if len(low) != len(text):  # a letter whose small form is longer: keep the places of the text
             low = "".join(c.lower() if c.isascii() else c for c in text)
-        ends = sorted({m.end() for word in SENSITIVE if word in low for m in re.finditer(word, low)})
+        places = {m.span() for word in SENSITIVE if word in low for m in re.finditer(word, low)}
         found, done = [], 0
-        for end in ends:
-            for m in _CANDIDATE.finditer(text, max(end, done), min(len(text), end + self.rule.reach + 1)):
-                # the match may be cut by the reach: take the whole string from its start
-                whole = _CANDIDATE.match(text, m.start())
-                a, b = whole.span()
-                if b <= done:
-                    continue
+        for a, b in sorted(_near(text, places, self.rule.reach), key=lambda x: (x[0], -x[1])):
+            fresh = a >= done and not any(s < b and a < e for s, _, e in taken)
+            if fresh and self.novelty(text, a, b) >= self.rule.least:
+                found.append((a, 3, b))
                 done = b
-                fresh = any(c.isdigit() for c in whole[0]) and not any(s < b and a < e for s, _, e in taken)
-                if fresh and self.novelty(text, a, b) >= self.rule.least:
-                    found.append((a, 3, b))
         return found
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
