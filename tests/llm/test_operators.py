@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webfrontier.llm import (
     components, exact_dedup, line_crf, ngram_join, packing, piece_codec, quality_rules, recompression, repeats, secret_scan,
-    simple8b, suffix_dedup, token_output,
+    shingle_product, simple8b, suffix_dedup, token_output,
 )
 from webfrontier.llm.common import documents
 from webfrontier.llm.queries import vocabulary
@@ -165,6 +165,36 @@ def test_every_window_has_one_key_in_all_contexts():
             assert len(keys) == len(passage) - 49 and all(len(x) == 1 for x in keys.values())
 
 
+def shingles_of(text):
+    words = text.translate(FOLD).encode().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] * bool(words))
+
+
+def links_of(rows):
+    """Every two different sets that are similar, by comparing all that share a shingle."""
+    copies, met = defaultdict(list), defaultdict(list)
+    for doc_id, text in rows:
+        copies[shingles_of(text)].append(doc_id)
+    sets = list(copies)
+    for n, grams in enumerate(sets):
+        for gram in grams:
+            met[gram].append(n)
+    own = {grams: (low(doc), doc, len(grams), len(ids)) for grams, ids in copies.items() for doc in [min(ids, key=low)]}
+    found = {(x, y) for group in met.values() for x in group for y in group if x < y}
+    out = []
+    for x, y in ((sets[x], sets[y]) for x, y in found):
+        shared = len(x & y)
+        if 100 * shared >= 80 * (len(x) + len(y) - shared):
+            (_, a, n_a, copies_a), (_, b, n_b, copies_b) = sorted((own[x], own[y]))
+            out.append((a, b, n_a, n_b, shared, copies_a, copies_b))
+    return out
+
+
+def test_ngram_links(case):
+    docs, rows = case
+    same(shingle_product.similar_sets(docs), links_of(rows))
+
+
 def components_of(rows):
     sets = []
     for _, text in rows:
@@ -209,6 +239,22 @@ def test_a_large_group_of_near_copies(spark):
     same(ngram_join.near_duplicates(docs), components_of(rows))
 
 
+def test_all_links_of_a_large_group(spark):
+    """Columns that more rows have than one tile takes, and links inside a component."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 320)]
+    rows = []
+    for n in range(160):
+        words = list(base)
+        for at in rng.integers(0, 320, 3):
+            words[at] = f"v{n}"
+        rows.append((n, " ".join(words)))
+    docs = spark.createDataFrame([*rows, rows[5], (400, rows[5][1])], "doc_id long, text string").repartition(6)
+    expected = links_of([*rows, rows[5], (400, rows[5][1])])
+    assert len(expected) > 5 * len(rows)
+    same(shingle_product.similar_sets(docs), expected)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(a) + 1) for a in range(60)] + [tuple(map(int, x)) for x in rng.integers(100, 400, (150, 2))]

@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: documents whose sets of five-word shingles are similar, and their components.
+"""N-gram Jaccard join: the components of documents whose sets of five-word shingles are similar.
 
-The sparse matrix of documents by shingles is multiplied with itself block by block of columns, accumulating how many
-columns two documents share, and pairs below bounds that follow from their sizes are discarded. Only the
-part of the matrix that can tell similar documents apart is multiplied: the rarest columns of each row.
+Only the part of the matrix of documents by shingles that can tell similar documents apart is looked at: the rarest
+columns of each row. Pairs that share too few of them by their sizes are discarded, the others checked on whole sets. Links
+that can't change a component are not looked for here: ``shingle_product`` finds them all.
 """
 
 from __future__ import annotations
@@ -65,7 +65,12 @@ def _heavy_buckets(docs: DataFrame) -> np.ndarray:
     return table
 
 
-def _incidence(docs: DataFrame) -> DataFrame:
+def set_key(shingles: np.ndarray) -> bytes:
+    """Equal for equal sets."""
+    return hashlib.sha256(shingles.tobytes()).digest()[:16]
+
+
+def incidence(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, set_key (equal for equal sets), n, node, columns (the rarest ones, in order).
 
     Of documents with equal sets only the first of a task is a node and has columns, the others are found by their key.
@@ -78,7 +83,7 @@ def _incidence(docs: DataFrame) -> DataFrame:
             keys, sizes, nodes, columns = [], [], [], []
             for text in group:
                 found = shingle_set(text)
-                key = hashlib.sha256(found.tobytes()).digest()[:16]
+                key = set_key(found)
                 keys.append(key)
                 sizes.append(len(found))
                 nodes.append(key not in seen and len(found) > 0)
@@ -114,17 +119,22 @@ def _shared_columns(table: DataFrame) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, k) that can be similar: by their sizes, and by the number k of columns they were found to share.
+    """Pairs (a, b, k) that can be similar: by their sizes, and by the number k of columns they were found to share."""
+    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
+    pairs = pairs.filter(5 * smaller >= 4 * larger)
+    return possible(pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))).select("a", "b", "k")
+
+
+def possible(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb, k) that can be similar.
 
     Of two documents, the one whose rarest columns end first in the common order shares those with the other one
     only among the other's rarest columns. So both share at most k and what it has besides.
     """
-    smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
-    pairs = pairs.filter(5 * smaller >= 4 * larger)
-    summed = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+    smaller = F.least("na", "nb")
     rest = F.greatest(*[n - F.least(n, n - F.floor((8 * n + 9) / 10) + needed_columns(n)) for n in map(F.col, ("na", "nb"))])
-    possible = (F.col("k") >= needed_columns(smaller)) & (9 * (F.col("k") + rest) >= 4 * (F.col("na") + F.col("nb")))
-    return summed.filter(possible).select("a", "b", "k")
+    enough = (F.col("k") >= needed_columns(smaller)) & (9 * (F.col("k") + rest) >= 4 * (F.col("na") + F.col("nb")))
+    return pairs.filter(enough)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comes out as null; repeated rows give repeated results.
     """
     ship(docs.sparkSession)
-    table = _incidence(docs)
+    table = incidence(docs)
     found = connected(similar_links(docs, table)).withColumnRenamed("node", "doc_id")
     # equal sets have one component, found by any node that has their columns; leaves meet in parts first
     base = table.select("doc_id", "set_key", "n", "node").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)))

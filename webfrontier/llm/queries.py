@@ -15,6 +15,7 @@ from webfrontier.llm.piece_codec import round_trip
 from webfrontier.llm.quality_rules import quality_rules
 from webfrontier.llm.recompression import substring_dedup
 from webfrontier.llm.secret_scan import scan_secrets
+from webfrontier.llm.shingle_product import similar_sets
 from webfrontier.llm.suffix_dedup import suffix_dedup
 from webfrontier.llm.token_output import read_token_blocks, token_report, write_token_blocks
 from webfrontier.session import scratch_table
@@ -44,6 +45,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_ngram_join": op4_ngram_join,
+    "op4_ngram_links": op4_ngram_links,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_output": op6_token_output,
     "op7_substring_dedup": op7_substring_dedup,
