@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webfrontier.llm import url_filter
 from webfrontier.llm.common import documents
 from webfrontier.llm.exact_dedup import exact_groups
 from webfrontier.llm.line_crf import score_documents, train
@@ -76,6 +77,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, capacity=4096)
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model).drop("score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -88,9 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_url_filter": op11_url_filter,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_url_filter": url_filter.oracle_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
