@@ -17,6 +17,7 @@ from webfrontier.llm.quality_rules import quality_rules
 from webfrontier.llm.recompression import substring_dedup
 from webfrontier.llm.secret_scan import scan_secrets
 from webfrontier.llm.shingle_product import similar_sets
+from webfrontier.llm.spelling import spelling_variants
 from webfrontier.llm.suffix_dedup import suffix_dedup
 from webfrontier.llm.token_output import read_token_blocks, token_report, write_token_blocks
 from webfrontier.session import scratch_table
@@ -82,6 +83,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model).drop("score")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_url_filter": op11_url_filter,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
