@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webfrontier.llm import url_filter
+from webfrontier.llm import collocations, url_filter
 from webfrontier.llm.common import documents
 from webfrontier.llm.exact_dedup import exact_groups
 from webfrontier.llm.line_crf import score_documents, train
@@ -83,6 +83,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model).drop("score")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
@@ -100,11 +104,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_url_filter": op11_url_filter,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
     "op11_url_filter": url_filter.oracle_sql(),
+    "op12_phrase_mining": collocations.ORACLE,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
