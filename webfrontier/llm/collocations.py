@@ -131,14 +131,14 @@ def _windows(full):
         bits, words, alone = full.value, Words(), {}
 
         def texts_of(names: pa.Array, numbers: np.ndarray) -> pa.Array:
-            return names.take(pa.array(numbers))
+            return names.take(pa.array(numbers, pa.int64()))
 
         def singles(names: pa.Array) -> Iterator[pa.RecordBatch]:
             for lang, n in alone.items():
                 there = np.flatnonzero(n)
                 there = there[there > 0]
-                none = pa.array([""] * len(there))
-                columns = [pa.array([lang] * len(there)), texts_of(names, there), none, none, none, pa.array(n[there])]
+                none = pa.array([""] * len(there), pa.string())
+                columns = [pa.array([lang] * len(there), pa.string()), texts_of(names, there), none, none, none, pa.array(n[there], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", *WORDS, "n"])
 
         def names_of() -> pa.Array:
@@ -170,7 +170,7 @@ def _windows(full):
                 for at in range(0, len(n), 50_000):
                     part = keys[:, at : at + 50_000]
                     numbers = [part[0] >> 32, part[0] & 0xFFFFFFFF, part[1] >> 32, part[1] & 0xFFFFFFFF]
-                    columns = [pa.array([lang] * part.shape[1]), *[texts_of(names, x) for x in numbers], pa.array(n[at : at + 50_000])]
+                    columns = [pa.array([lang] * part.shape[1], pa.string()), *[texts_of(names, x) for x in numbers], pa.array(n[at : at + 50_000], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", *WORDS, "n"])
         yield from singles(names_of())
 
