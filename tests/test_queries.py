@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import subprocess
 import sys
 
 import duckdb
@@ -47,3 +48,12 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("missing", ["zstandard", "webfrontier.llm", "corpus_pipeline"])
+def test_core_queries_without_the_corpus_operators(missing):
+    """The entry imports, and keeps the core queries, when a package or the corpus operators are absent."""
+    script = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.QUERIES))"
+    out = subprocess.run([sys.executable, "-c", script], cwd=ROOT, capture_output=True, text=True, check=True).stdout
+    found, core = map(int, out.split())
+    assert core == len(entry_points.QUERIES) and found >= core

@@ -16,8 +16,12 @@ TAG_GROUPS = 64
 
 
 def row_id(tag: Column, key: Column) -> Column:
-    """Stable id of a frontier row."""
-    return F.sha2(F.concat_ws("|", tag, key), 256)
+    """Stable id of a frontier row: the tag goes in with its length, and a missing part differs from an empty one."""
+    text = F.concat(
+        F.coalesce(F.concat(F.length(tag).cast("string"), F.lit(":"), tag), F.lit("-")),
+        F.coalesce(F.concat(F.lit("|"), key), F.lit("-")),
+    )
+    return F.sha2(text, 256)
 
 
 def tag_group(tag: Column) -> Column:
@@ -36,11 +40,17 @@ def as_events(rows: DataFrame, event_time: str, event_no: int = 0, deleted: bool
 
 
 def append_events(log: DataFrame, events: DataFrame) -> DataFrame:
-    return log.unionByName(events.withColumn("id", _id_or_own()), allowMissingColumns=True)
+    return log.unionByName(with_ids(events), allowMissingColumns=True)
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", _id_or_own())
 
 
 def _id_or_own() -> Column:
-    return F.coalesce("id", row_id(F.col("tag"), F.col("key")))
+    """The given id, else the stable one. Rows without tag and key are rows of their own: nothing says that two are the same."""
+    nameless = F.col("tag").isNull() & F.col("key").isNull()
+    return F.coalesce("id", F.when(nameless, F.uuid()).otherwise(row_id(F.col("tag"), F.col("key"))))
 
 
 def set_flag(rows: DataFrame, flag: int, event_time: str, event_no: int = 0) -> DataFrame:

@@ -376,7 +376,7 @@ _BODIES: dict[str, str] = {
     "sitemap_tree": "SELECT tag, sitemap_url, depth, loc, lastmod FROM resolved",
     "sitemap_recent": "SELECT tag, depth, loc, lastmod FROM recent",
     "seed_urls": f"""
-        SELECT sha256(tag || '|' || key) AS id, '{D.NOW}' AS datetime, key, {_domain('key')} AS domain, tag,
+        SELECT sha256(length(tag) || ':' || tag || '|' || key) AS id, '{D.NOW}' AS datetime, key, {_domain('key')} AS domain, tag,
                CAST(2 AS INTEGER) AS flag, searchable, data FROM seeds""",
     "robots_rules": "SELECT tag, block, agents, kind, pattern FROM rules",
     "robots_filter": "SELECT tag, page, link_type, link FROM robots_ok",
@@ -406,7 +406,7 @@ _BODIES: dict[str, str] = {
         SELECT *, CASE WHEN total = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(100.0 * done AS DOUBLE) / total, 2) END
                   AS progress FROM counts""",
     "active_crawls": f"""
-        SELECT sha256(tag || '|process-1') AS id, tag, 'process-1' AS key,
+        SELECT sha256(length(tag) || ':' || tag || '|process-1') AS id, tag, 'process-1' AS key,
                'Crawler for domain ' || domain AS searchable, '{D.NOW}' AS datetime FROM sites""",
     "crawl_configs": """
         SELECT tag, domain, scheme, CASE WHEN max_pages >= 0 THEN max_pages END AS max_pages, datasource_id
@@ -425,7 +425,7 @@ _BODIES: dict[str, str] = {
         SELECT url, concat_ws('&', 'datasourceId=' || {_form('datasource_id')}, 'title=' || {_form('title')},
                               'html=' || {_form('html')}, 'url=' || {_form('url')}) AS form FROM payload""",
     "discover_round": f"""
-        SELECT sha256(f.tag || '|' || link) AS id, link AS key, {_domain('link')} AS domain, f.tag,
+        SELECT sha256(length(f.tag) || ':' || f.tag || '|' || link) AS id, link AS key, {_domain('link')} AS domain, f.tag,
                CAST(2 AS INTEGER) AS flag, 'Discovered ' || link || ' from ' || min(page) AS searchable,
                any_value(config) AS data
         FROM followed f JOIN sites s ON s.tag = f.tag
@@ -444,12 +444,12 @@ _BODIES: dict[str, str] = {
         WHERE s.depth = 0 OR EXISTS (SELECT 1 FROM edges e JOIN seen p ON p.node = e.src
                                      WHERE e.dst = s.node AND p.tag = s.tag AND p.processed)""",
     "crawl_run": f"""
-        SELECT sha256(tag || '|' || key) AS id, key, {_domain('key')} AS domain, tag,
+        SELECT sha256(length(tag) || ':' || tag || '|' || key) AS id, key, {_domain('key')} AS domain, tag,
                CAST(CASE WHEN processed THEN 0 ELSE 2 END AS INTEGER) AS flag, searchable, data,
                CAST(depth AS BIGINT) AS depth
         FROM run_level0
         UNION ALL
-        SELECT sha256(f.tag || '|' || f.link), f.link, {_domain('f.link')}, f.tag, CAST(2 AS INTEGER),
+        SELECT sha256(length(f.tag) || ':' || f.tag || '|' || f.link), f.link, {_domain('f.link')}, f.tag, CAST(2 AS INTEGER),
                'Discovered ' || f.link || ' from ' || min(f.page), any_value(p.data), CAST(1 AS BIGINT)
         FROM followed f JOIN run_level0 p ON p.tag = f.tag AND p.key = f.page AND p.processed
         WHERE NOT EXISTS (SELECT 1 FROM run_level0 k WHERE k.tag = f.tag AND k.key = f.link)

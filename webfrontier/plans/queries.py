@@ -13,6 +13,7 @@ from webfrontier.functions.urls import url_domain
 from webfrontier.model import DONE, NEW, PROCESSING
 from webfrontier.operators import callbacks, discovery, documents, frontier, links, seeds, stats
 from webfrontier.operators.skew import heavy_keys
+from webfrontier.operators.store import FrontierStore
 from webfrontier.plans import derived as D
 from webfrontier.plans.crawl import crawl
 from webfrontier.session import cut_lineage, scratch_table
@@ -309,9 +310,19 @@ def _shown(rows: DataFrame) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> FrontierStore:
+    """The events as a stored frontier, written in two appends that hold versions of the same rows."""
+    store = FrontierStore(spark, scratch_table(spark, "frontier-store"))
+    for part in (0, 1):
+        store.append(_events(spark, sf_dir).where(F.pmod("event_no", F.lit(2)) == part))
+    return store
+
+
 @query
 def frontier_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_state(spark, sf_dir))
+    store = _stored(spark, sf_dir)
+    store.compact()
+    return _shown(store.state())
 
 
 @query
@@ -332,17 +343,19 @@ def frontier_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def frontier_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(frontier.cleanup(_state(spark, sf_dir), "t1"))
+    store = _stored(spark, sf_dir)
+    store.drop_tag("t1")
+    return _shown(store.state())
 
 
 @query
 def frontier_term_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(frontier.find(_state(spark, sf_dir), tag="t2", searchable="click"))
+    return _shown(_stored(spark, sf_dir).lookup(tag="t2", searchable="click"))
 
 
 @query
 def frontier_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(frontier.by_id(_state(spark, sf_dir), "u8"))
+    return _shown(_stored(spark, sf_dir).lookup(id="u8"))
 
 
 @query
