@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +24,7 @@ from pyspark.sql import types as T
 from webfrontier.functions.text import search_tokens
 from webfrontier.model import FRONTIER
 from webfrontier.operators.frontier import TEXT_COLUMNS, find, latest_state, row_id, tag_group, with_ids
+from webfrontier.sources.folders import Folder
 
 EVENTS = T.StructType(
     [
@@ -68,33 +68,20 @@ class FrontierStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self.folder = Folder(spark, path)
 
     # --- manifest ---
 
-    def _at(self, *parts: str):
-        path = self._hadoop.Path("/".join([self.path, *parts]))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def _numbers(self) -> list[int]:
-        files, path = self._at("manifest")
-        if not files.exists(path):
-            return []
-        names = [status.getPath().getName() for status in files.listStatus(path)]
+        names = self.folder.names("manifest")
         return sorted((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), reverse=True)
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The newest version, or the named one. One that its writer did not finish doesn't count."""
         numbers = self._numbers()
         for number in numbers if version is None else [version]:
-            files, path = self._at("manifest", f"{number:012d}.json")
-            stream = files.open(path)
-            try:
-                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
             try:
-                read = json.loads(text)
+                read = json.loads(self.folder.text("manifest", f"{number:012d}.json"))
             except json.JSONDecodeError:
                 continue
             groups = {int(group): names for group, names in read["groups"].items()}
@@ -102,15 +89,8 @@ class FrontierStore:
         return Manifest(following=max(numbers, default=0) + 1)
 
     def _commit(self, manifest: Manifest) -> int:
-        files, path = self._at("manifest", f"{manifest.following:012d}.json")
-        try:
-            stream = files.create(path, False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" in error.java_exception.getClass().getName():
-                raise Conflict(f"version {manifest.following} of {self.path} was written by another job") from None
-            raise
-        stream.write(manifest.to_json().encode())
-        stream.close()
+        if not self.folder.put(manifest.to_json(), "manifest", f"{manifest.following:012d}.json"):
+            raise Conflict(f"version {manifest.following} of {self.path} was written by another job")
         return manifest.following
 
     # --- writing ---
@@ -126,8 +106,7 @@ class FrontierStore:
             .option("parquet.bloom.filter.enabled#id", "true")
             .parquet(f"{self.path}/data/folder={name}")
         )
-        files, path = self._at("data", f"folder={name}")
-        folders = [status.getPath().getName() for status in files.listStatus(path) if status.isDirectory()]
+        folders = self.folder.names("data", f"folder={name}")
         return name, sorted(int(f.removeprefix("tag_group=")) for f in folders if f.startswith("tag_group="))
 
     def _write_index(self, events: DataFrame) -> str:
@@ -216,15 +195,12 @@ class FrontierStore:
         used = {name for m in kept for names in [*m.groups.values(), m.index] for name in names}
         gone = []
         for part in ("data", "index"):
-            files, path = self._at(part)
-            for status in files.listStatus(path) if files.exists(path) else []:
-                name = status.getPath().getName().removeprefix("folder=")
+            for name in [n.removeprefix("folder=") for n in self.folder.names(part)]:
                 if name not in used:
-                    files.delete(status.getPath(), True)
+                    self.folder.drop(part, f"folder={name}")
                     gone.append(name)
         for number in numbers[keep:]:
-            files, path = self._at("manifest", f"{number:012d}.json")
-            files.delete(path, False)
+            self.folder.drop("manifest", f"{number:012d}.json")
         return gone
 
     # --- reading ---
