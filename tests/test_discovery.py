@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import random
 
 import pytest
@@ -225,11 +227,36 @@ def test_payload(spark, tmp_path):
     assert forms["form"] == "title=x&html=%3Ctitle%3Ex%3C%2Ftitle%3Eb&url=u1"
 
 
+def test_bodies_of_stored_responses_are_not_shuffled(spark, tmp_path):
+    pages = spark.range(40).selectExpr(
+        "concat('t', id % 2) AS tag", "concat('u', id) AS url", "200 AS code",
+        "map('content-type', 'text/html') AS headers", "concat('<title>', id, '</title>') AS body",
+    )
+    rows = [("t0", "d", "http://sink", "search"), ("t1", "d", "http://sink", None)]
+    table = spark.createDataFrame(rows, "tag string, datasourceId string, callbackUrl string, callback string")
+    # A cap stopped the others.
+    done = pages.where("url IN ('u1', 'u2', 'u4', 'u6')").select("tag", F.col("url").alias("key"))
+    stored = callbacks.store_responses(pages, "stored_responses", str(tmp_path / "responses"), 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = callbacks.payload(stored, table, "search", done)
+        assert sorted(r["title"] for r in found.collect()) == ["2", "4", "6"]
+        text = found._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    inputs = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]", text)
+    assert inputs and not any("body" in columns for columns in inputs)
+    spark.sql("DROP TABLE stored_responses")
+
+
 def test_own_callback(spark):
     class Lengths:
         settings_fields: list[str] = []
 
-        def project(self, documents, sites):
+        def project(self, documents):
             return documents.select("url", F.length("html").alias("n"))
 
     callbacks.register("lengths", Lengths())

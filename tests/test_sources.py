@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -42,6 +43,54 @@ def test_sitemap_tree_keeps_repeats_and_ends_on_cycles(spark):
     )
 
 
+def _index(*children):
+    return "<sitemapindex>" + "".join(f"<sitemap><loc>{c}</loc></sitemap>" for c in children) + "</sitemapindex>"
+
+
+def _ways(documents, url, trail=()):
+    """Every way through the index files to the pages, one by one."""
+    for child in documents.get(url, ([], []))[0]:
+        if child not in (*trail, url):
+            yield from _ways(documents, child, (*trail, url))
+    for page in documents.get(url, ([], []))[1]:
+        yield (url, len(trail), page)
+
+
+def test_ways_are_counted_not_listed(spark):
+    """A ladder of 26 documents: 4,096 ways lead to each end, by one open row per document."""
+    steps = {f"{side}{n}": _index(f"a{n + 1}", f"b{n + 1}") for n in range(12) for side in "ab"}
+    ends = {f"{side}12": "<urlset><url><loc>p</loc></url></urlset>" for side in "ab"}
+    documents = spark.createDataFrame(list({**steps, **ends}.items()), "url string, xml string")
+    roots = spark.createDataFrame([("t", "a0"), ("t", "b0")], "tag string, sitemap_url string")
+    walked = sitemaps.walk_sitemaps(roots, documents)
+    assert [tuple(r) for r in walked.orderBy("sitemap_url").collect()] == [
+        ("t", "a12", 12, "p", None, 4096), ("t", "b12", 12, "p", None, 4096),
+    ]
+    assert sitemaps.resolve_sitemaps(roots, documents).count() == 8192
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ways_through_cycles(spark, seed):
+    """Random index files with cycles, loops, repeated and missing children, and documents beyond the cycles."""
+    rng = random.Random(seed)
+    names = [f"d{n}" for n in range(9)]
+    made = {}
+    for n, name in enumerate(names):
+        below = names[:6] + ["absent"] if n < 5 else names[n + 1 :]
+        made[name] = ([rng.choice(below) for _ in range(rng.randint(0, 3)) if below], [f"p{n}"] * rng.randint(0, 2))
+    xml = [
+        (name, "<x>" + "".join(f"<sitemap><loc>{c}</loc></sitemap>" for c in children)
+         + "".join(f"<url><loc>{p}</loc></url>" for p in pages) + "</x>")
+        for name, (children, pages) in made.items()
+    ]
+    roots = [("t", "d0"), ("t", "d0"), ("u", "d1"), ("u", "d5")]
+    found = sitemaps.resolve_sitemaps(
+        spark.createDataFrame(roots, "tag string, sitemap_url string"), spark.createDataFrame(xml, "url string, xml string")
+    )
+    expected = [(tag, *way) for tag, root in roots for way in _ways(made, root)]
+    assert sorted((r["tag"], r["sitemap_url"], r["depth"], r["loc"]) for r in found.collect()) == sorted(expected)
+
+
 def test_sitemap_age(spark):
     urls = spark.createDataFrame(
         [

@@ -236,12 +236,13 @@ STEPS: dict[str, str] = {
                    row_number() OVER (PARTITION BY d.tag, r.url IS NOT NULL ORDER BY d.key) < max_pages) AS processed
         FROM (SELECT DISTINCT * FROM seeds) d JOIN sites s ON s.tag = d.tag
         LEFT JOIN resp r ON r.tag = d.tag AND r.url = d.key""",
-    "payload": f"""
-        SELECT r.tag, nullif(datasource_id, '') AS datasource_id,
+    "any_payload": f"""
+        SELECT r.tag, callback_url, callback, nullif(datasource_id, '') AS datasource_id,
                CASE WHEN crawlable THEN nullif(trim({_decode("regexp_extract(body, '<title>(.*?)</title>', 1)")}), '') END
                    AS title,
                CASE WHEN crawlable THEN body END AS html, url
-        FROM resp r JOIN sites s ON s.tag = r.tag WHERE callback_url IS NOT NULL AND callback = 'search'""",
+        FROM resp r JOIN sites s ON s.tag = r.tag""",
+    "payload": "SELECT * FROM any_payload WHERE callback_url IS NOT NULL AND callback = 'search'",
     "nodes": "SELECT count(*) AS n, min(page_id) AS low, max(page_id) AS high FROM pages",
     "edges": """
         SELECT page_id AS src, unnest([(page_id * 7 + 3) % n, (page_id * 5 + 1) % n]) AS dst FROM pages, nodes""",
@@ -454,6 +455,9 @@ _BODIES: dict[str, str] = {
         FROM followed f JOIN run_level0 p ON p.tag = f.tag AND p.key = f.page AND p.processed
         WHERE NOT EXISTS (SELECT 1 FROM run_level0 k WHERE k.tag = f.tag AND k.key = f.link)
         GROUP BY f.tag, f.link""",
+    "crawl_payload": """
+        SELECT datasource_id, p.tag, title, html, url FROM any_payload p
+        JOIN run_level0 r ON r.tag = p.tag AND r.key = p.url AND r.processed""",
     "page_cap": """
         SELECT tag, key FROM (
             SELECT r.tag, key, max_pages, row_number() OVER (PARTITION BY r.tag ORDER BY key) AS place

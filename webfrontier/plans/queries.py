@@ -516,10 +516,9 @@ def discover_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tag", "key", F.col("depth").cast("bigint").alias("depth"), "flag")
 
 
-@query
-def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, site_rows = _pages(spark, sf_dir), _site_table(spark, sf_dir)
-    rows = crawl(
+def _run(spark: SparkSession, sf_dir: str, site_rows: DataFrame) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return crawl(
         _responses(spark, sf_dir),
         site_rows,
         D.robots(pages),
@@ -527,6 +526,26 @@ def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         D.NOW,
         roots=D.sitemap_roots(pages, site_rows),
     )
+
+
+@query
+def crawl_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run, and what is delivered of the pages it processed, to a sink of all sites; responses lie in buckets and are joined
+    there."""
+    site_rows = _site_table(spark, sf_dir)
+    sinks = site_rows.withColumns({"callback": F.lit("search"), "callbackUrl": F.lit("http://sink.example.org")})
+    done = _run(spark, sf_dir, site_rows).where(F.col("flag") == DONE)
+    path = scratch_table(spark, "responses")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = callbacks.store_responses(_responses(spark, sf_dir), table, path, buckets)
+    rows = callbacks.payload(stored, sinks, "search", done)
+    return rows.select(F.col("datasourceId").alias("datasource_id"), "tag", "title", "html", "url")
+
+
+@query
+def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _run(spark, sf_dir, _site_table(spark, sf_dir))
     return rows.select(
         "id", "key", "domain", "tag", "flag", "searchable", "data", F.col("depth").cast("bigint").alias("depth")
     )
