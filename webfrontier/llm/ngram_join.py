@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webfrontier.llm.common import NO_ID, free_name, id_back, id_column, map_texts, settled, ship, texts, whole_text, written
@@ -20,11 +21,13 @@ from webfrontier.llm.components import connected
 from webfrontier.llm.shingles import shingle_set
 
 #: Columns are counted in so many buckets to put frequent ones last. The counts only order the columns.
-_BUCKET_BITS = 22
-_HEAVY_IN_TASK = 16
-_HEAVY_KEPT = 200_000
+_BUCKET_BITS, _BLOCK = 24, 1 << 15
 #: Rows of a frequent set are met in so many parts before they are met as a whole.
 _PARTS = 16
+#: A pair is not met again in a column if it shares one of so many before it.
+_LOOK_BACK = 4
+#: Words of 64 bits that tell whole sets apart before they are compared.
+_MASK_WORDS = 16
 #: Rounds that compare with one leader per column, before all that is left is multiplied out.
 _LEADER_ROUNDS = 4
 
@@ -40,28 +43,51 @@ def _prefix(n: int) -> int:
     return min(n, n - -(-8 * n // 10) + needed_columns(n))
 
 
-def _heavy_buckets(docs: DataFrame) -> np.ndarray:
-    """Logarithm of the frequency of frequent buckets, 0 for all others: 2**22 bytes, whatever the input."""
+def _column_frequencies(docs: DataFrame) -> np.ndarray:
+    """Logarithm of the frequency of each bucket: 2**_BUCKET_BITS bytes, whatever the input.
+
+    A task counts all its columns; the counts of all tasks are added up block by block, however the documents are dealt.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << _BUCKET_BITS, np.int64)
+        total = np.zeros(1 << _BUCKET_BITS, np.uint8)
         held, size = [], 0
+
+        def add() -> None:
+            buckets, n = np.unique(np.concatenate(held), return_counts=True)
+            total[buckets] = np.minimum(total[buckets] + n, 255)
+
         for _, group in texts(batches):
             for text in group:
                 held.append((shingle_set(text) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64))
                 size += len(held[-1])
-            if size > 1 << 21:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
+            if size > 1 << 20:
+                add()
                 held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        heavy = np.flatnonzero(total >= _HEAVY_IN_TASK)
-        yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(total[heavy])], names=["bucket", "n"])
-
-    rows = map_texts(docs, count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros(1 << _BUCKET_BITS, np.uint8)
-    for row in rows.orderBy(F.desc("n"), "bucket").limit(_HEAVY_KEPT).collect():
-        table[row.bucket] = int(row.n).bit_length()
+            add()
+        blocks = total.reshape(-1, _BLOCK)
+        pack = zstandard.ZstdCompressor(level=1)
+        for block in np.flatnonzero(blocks.any(axis=1)):
+            data = [pa.array([block], pa.int32()), pa.array([pack.compress(blocks[block].tobytes())], pa.binary())]
+            yield pa.RecordBatch.from_arrays(data, names=["block", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, unpack = {}, zstandard.ZstdDecompressor()
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total = totals.setdefault(block, np.zeros(_BLOCK, np.uint32))
+                total += np.frombuffer(unpack.decompress(counts), np.uint8)
+        pack = zstandard.ZstdCompressor(level=1)
+        for block, total in totals.items():
+            logs = np.ceil(np.log2(total + 1.0)).astype(np.uint8)
+            data = [pa.array([block], pa.int32()), pa.array([pack.compress(logs.tobytes())], pa.binary())]
+            yield pa.RecordBatch.from_arrays(data, names=["block", "logs"])
+
+    blocks = map_texts(docs, count, "block int, counts binary").repartition("block")
+    table, unpack = np.zeros(1 << _BUCKET_BITS, np.uint8), zstandard.ZstdDecompressor()
+    for row in blocks.mapInArrow(add_up, "block int, logs binary").toLocalIterator():
+        table[row["block"] * _BLOCK :][:_BLOCK] = np.frombuffer(unpack.decompress(bytes(row["logs"])), np.uint8)
     return table
 
 
@@ -70,17 +96,34 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.sha256(shingles.tobytes()).digest()[:16]
 
 
+def _mask(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * _MASK_WORDS, np.uint8)
+    bits[(shingles >> np.uint64(20)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether two nodes can be similar by their masks: each bit that only one has stands for a column that only it has."""
+
+    def missing(x: str, y: str) -> Column:
+        return F.expr(" + ".join(f"bit_count({x}.mask[{i}] & ~{y}.mask[{i}])" for i in range(_MASK_WORDS)))
+
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return 9 * F.least(n_a - missing(a, b), n_b - missing(b, a)) >= 4 * (n_a + n_b)
+
+
 def incidence(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, set_key (equal for equal sets), n, node, columns (the rarest ones, in order).
+    """Per document: doc_id, set_key (equal for equal sets), n, node, columns (the rarest ones, in order), end (the place of the
+    last of them in the common order), mask (a bit for each value of the first bits of its columns).
 
     Of documents with equal sets only the first of a task is a node and has columns, the others are found by their key.
     """
-    table = _heavy_buckets(docs)
+    frequencies = docs.sparkSession.sparkContext.broadcast(_column_frequencies(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, table = set(), frequencies.value
         for ids, group in texts(batches):
-            keys, sizes, nodes, columns = [], [], [], []
+            keys, sizes, nodes, columns, ends, masks = [], [], [], [], [], []
             for text in group:
                 found = shingle_set(text)
                 key = set_key(found)
@@ -89,33 +132,56 @@ def incidence(docs: DataFrame) -> DataFrame:
                 nodes.append(key not in seen and len(found) > 0)
                 if not nodes[-1]:
                     columns.append([])
+                    ends.append(None)
+                    masks.append(None)
                     continue
                 seen.add(key)
-                order = np.lexsort((found, table[found >> np.uint64(64 - _BUCKET_BITS)]))
-                columns.append(found[order[: _prefix(len(found))]].view(np.int64))
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
-            data = [pa.array(x, k) for x, k in zip((ids, keys, sizes, nodes, columns), kinds)]
-            yield pa.RecordBatch.from_arrays(data, names=["doc_id", "set_key", "n", "node", "columns"])
+                logs = table[found >> np.uint64(64 - _BUCKET_BITS)]
+                order = np.lexsort((found, logs))[: _prefix(len(found))]
+                columns.append(found[order].view(np.int64))
+                ends.append(int(logs[order[-1]]) << 57 | int(found[order[-1]]) >> 7)
+                masks.append(_mask(found))
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+            data = [pa.array(x, k) for x, k in zip((ids, keys, sizes, nodes, columns, ends, masks), kinds)]
+            yield pa.RecordBatch.from_arrays(data, names=["doc_id", "set_key", "n", "node", "columns", "end", "mask"])
 
     plain = docs.select(id_column().alias("doc_id"), "text")
-    schema = "doc_id long, set_key binary, n int, node boolean, columns array<long>"
+    schema = "doc_id long, set_key binary, n int, node boolean, columns array<long>, end long, mask array<long>"
     return written(map_texts(plain, run, schema), "shingle-columns")
 
 
 def _shared_columns(table: DataFrame) -> DataFrame:
-    """(column, node, n) of the columns that two or more nodes have, for nodes that share enough of theirs.
+    """(column, node, n, most, end, behind) of the columns that two or more nodes have, for nodes that share enough of theirs.
+
+    ``behind`` has the _LOOK_BACK columns of the table that come before this one in the node's order.
+    ``most`` is what a node can share with another whose columns end later: all but those of its columns that no other node has.
 
     Most columns belong to one document. Their rows stay narrow, and the table of shared columns is written, so
     the join has a plain exchange on both sides and adaptive execution can split a frequent column.
     """
-    rows = table.filter("node").select(F.col("doc_id").alias("node"), F.explode("columns").alias("column"))
+    rows = table.filter("node").select(F.col("doc_id").alias("node"), F.posexplode("columns").alias("place", "column"))
     counts = rows.groupBy("column").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
     shared = settled(rows.join(settled(counts.select("column"), "shared-columns"), "column"), "shared-cells")
-    sizes = table.filter("node").select(F.col("doc_id").alias("node"), "n")
+    sizes = table.filter("node").select(F.col("doc_id").alias("node"), "n", F.size("columns").alias("_p"), "end")
     rich = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_k")).join(sizes, "node")
     partner = needed_columns(F.floor(F.col("n") * 4 / 5))  # the smallest partner asks for no less
-    rich = written(rich.filter(F.col("_k") >= partner).select("node", "n"), "rich-nodes")
-    return shared.join(rich, "node")
+    most = (F.col("n") - F.col("_p") + F.col("_k")).cast("int").alias("most")
+    rich = written(rich.filter(F.col("_k") >= partner).select("node", "n", most, "end"), "rich-nodes")
+    before = Window.partitionBy("node").orderBy("place").rowsBetween(-_LOOK_BACK, -1)
+    shared = shared.join(rich, "node").withColumn("behind", F.collect_list("column").over(before))
+    return shared.select("column", "node", "n", "most", "end", "behind")
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether two nodes can be similar by their sizes and by what each can share at all.
+
+    Of two documents, the one whose rarest columns end first in the common order has nothing of the other one beyond what both
+    have among these columns: a column of the other one in its range would be among the other's rarest, too.
+    """
+    n_a, n_b, end_a, end_b = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.end", f"{b}.end"))
+    most_a, most_b = F.col(f"{a}.most"), F.col(f"{b}.most")
+    most = F.when(end_a < end_b, most_a).when(end_b < end_a, most_b).otherwise(F.greatest(most_a, most_b))
+    return (5 * n_a >= 4 * n_b) & (5 * n_b >= 4 * n_a) & (9 * most >= 4 * (n_a + n_b))
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
@@ -137,6 +203,15 @@ def possible(pairs: DataFrame) -> DataFrame:
     return pairs.filter(enough)
 
 
+def _counted(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (a, b, k) of (a, b, na, nb) that can be similar, k counted on the rarest columns of both."""
+    own = table.filter("node").select("doc_id", "columns")
+    for name in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("doc_id").alias(name), F.col("columns").alias(f"_{name}")), name)
+    shared = F.size(F.array_intersect("_a", "_b")).alias("k")
+    return possible(pairs.select("a", "b", "na", "nb", shared)).select("a", "b", "k")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
@@ -167,7 +242,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
-    labelled = shared.select("column", "node", "n").join(connected(links), "node", "left")
+    labelled = shared.drop("component").join(connected(links), "node", "left")
     return settled(labelled.withColumn("component", F.coalesce("component", "node")), "labelled-cells")
 
 
@@ -198,22 +273,26 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
     for number in range(_LEADER_ROUNDS):
         if _open_pairs(shared) <= (2 * rows if number else 0):
             break
-        order = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "n", "component")
-        leaders = written(shared.groupBy("column").agg(F.min(order).alias("lead")), "leaders")
-        met = shared.join(leaders, "column").filter("component != lead.component")
-        pairs = met.select(
-            F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb")
-        )
+        # First the leader that has least of its own, the middle of a group of near copies; later others by chance.
+        own = F.lit(0.0) if number else 1 - F.col("most") / F.col("n")
+        order = F.struct(own.alias("own"), F.xxhash64("node", F.lit(number)).alias("h"), "node", "n", "most", "end", "component")
+        leaders = written(shared.groupBy("column").agg(F.min(order).alias("lead")), "leaders").select("column", "lead.*")
+        met = shared.alias("x").join(leaders.alias("y"), F.expr("x.column = y.column AND x.component != y.component") & _close("x", "y"))
+        pairs = met.selectExpr("x.node AS a", "y.node AS b", "x.n AS na", "y.n AS nb")
         best = _bounded(pairs).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
         more = settled(_similar(best, sets), "leader-links")
         if not more.isEmpty():
             links = links.union(more)
             shared = _with_components(shared, links)
-    left = shared.select("column", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = shared.select("column", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    close = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
-    open_ = (left["column"] == right["column"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    pairs = _bounded(left.join(right, open_ & close).select("a", "b", "na", "nb"))
+    # Columns within one component have nothing left to tell.
+    open_ = shared.groupBy("column").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    left = shared.join(written(open_.filter("_low != _high").select("column"), "open-columns"), "column", "left_semi")
+    left = left.join(table.filter("node").select(F.col("doc_id").alias("node"), "mask"), "node")
+    # A pair that shares a column just before this one was met there already, or before.
+    once = "x.column = y.column AND x.node < y.node AND x.component != y.component AND NOT arrays_overlap(x.behind, y.behind)"
+    met = left.alias("x").join(left.alias("y"), F.expr(once) & _close("x", "y") & _alike("x", "y"))
+    met = written(met.selectExpr("x.node AS a", "y.node AS b", "x.n AS na", "y.n AS nb").distinct(), "last-pairs")
+    pairs = _counted(met, table)
     return links.union(settled(_similar(pairs, sets), "last-links"))
 
 
