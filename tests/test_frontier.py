@@ -92,13 +92,14 @@ def test_first_rows_of_each_tag(spark, k):
     assert sorted((r["tag"], r["key"], r["position"]) for r in got.collect()) == sorted(expected)
 
 
-def test_positions_of_a_large_group_are_exact(spark):
+@pytest.mark.parametrize("broadcast_groups", [1000, 0])
+def test_positions_of_a_large_group_are_exact(spark, broadcast_groups):
     rows = spark.range(50_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("big")).otherwise(F.concat(F.lit("t"), F.col("id") % 100)).alias("tag"),
         F.xxhash64("id").alias("at"),
         "id",
     )
-    ranked = ranking.ranked(rows, ["tag"], ["at", "id"])
+    ranked = ranking.ranked(rows, ["tag"], ["at", "id"], broadcast_groups=broadcast_groups)
     assert ranked.count() == 50_000
     data = sorted((r["tag"], r["at"], r["id"], r["position"]) for r in ranked.collect())
     place = {}
@@ -145,3 +146,30 @@ def test_rows_without_an_id_get_their_own(spark):
     log = frontier.as_events(full, "2024-01-01 00:00:00")
     log = frontier.append_events(log, frontier.as_events(full.limit(1), "2024-01-02 00:00:00", deleted=True))
     assert frontier.latest_state(log).count() == 4
+
+
+@pytest.mark.parametrize(("shift", "broadcast_groups"), [(-1, 1000), (0, 1000), (1, 1000), (0, 0)])
+def test_first_rows_by_selection(spark, shift, broadcast_groups):
+    """As many rows of each tag as asked for, cut within ties, at the borders of pieces and around them."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id") % 50)).alias("tag"),
+        (F.col("id") * 7919 % 101).alias("at"),
+        "id",
+    )
+    counts = {r["tag"]: r["count"] for r in rows.groupBy("tag").count().collect()}
+    keeps = {tag: max(0, [n // 2, n, 1, 0, n // 8][i % 5] + shift) for i, (tag, n) in enumerate(sorted(counts.items()))}
+    limits = spark.createDataFrame(list(keeps.items()), "tag string, n long")
+    found = ranking.selected(rows.join(limits, "tag"), ["tag"], ["at"], "n", broadcast_groups).collect()
+    values = {tag: [] for tag in counts}
+    for r in rows.collect():
+        values[r["tag"]].append(r["at"])
+    assert len({r["id"] for r in found}) == len(found)
+    for tag, keep in keeps.items():
+        assert sorted(r["at"] for r in found if r["tag"] == tag) == sorted(values[tag])[:keep]
+
+
+def test_positions_take_one_exchange_of_rows(spark):
+    """Rows are exchanged by range once; what is joined to them afterwards is small and broadcast."""
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("tag"), F.col("id").alias("key"))
+    plan = ranking.ranked(rows, ["tag"], ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "rangepartitioning" not in plan

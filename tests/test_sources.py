@@ -295,3 +295,39 @@ def test_repeated_domains_are_rejected(spark):
     accepted, rejected = sites.site_configs(spark.createDataFrame(texts, "config string"), "p")
     assert [r["maxPages"] for r in accepted.collect()] == [1]
     assert [r["reason"] for r in rejected.collect()] == ["the domain has other settings in this run"]
+
+
+def test_robots_come_from_answers_with_code_200(spark):
+    hosts = spark.createDataFrame(
+        [("a", "http", "a.org"), ("b", "https", "b.org"), ("c", "http", "c.org"), ("d", "http", "d.org")],
+        "tag string, scheme string, domain string",
+    )
+    body = "User-agent: *\nDisallow: /x"
+    answers = [
+        ("a", "http://a.org/robots.txt", 200, body),
+        ("a", "http://a.org/robots.txt", 200, body),
+        ("a", "http://a.org/", 200, "<p>"),
+        ("b", "https://b.org/robots.txt", 404, body),
+        ("c", "https://c.org/robots.txt", 200, body),
+        ("d", "http://d.org/robots.txt", 200, None),
+        ("d", None, 200, body),
+    ]
+    answered = spark.createDataFrame(answers, "tag string, url string, code int, body string")
+    found = robots.robots_from_responses(answered, hosts)
+    assert sorted(map(tuple, found.collect())) == [("a", "a.org", body), ("d", "d.org", "")]
+    assert [r["pattern"] for r in robots.parse_robots(found).collect()] == ["/x"]
+
+
+def test_sitemaps_come_from_answers_with_code_200(spark):
+    listing = "<urlset><url><loc>http://a.org/{}</loc></url></urlset>"
+    answers = [
+        ("http://a.org/sitemap.xml", 200, listing.format(2)),
+        ("http://a.org/sitemap.xml", 200, listing.format(1)),
+        ("http://a.org/gone.xml", 404, listing.format(3)),
+        ("http://a.org/odd.xml", None, listing.format(4)),
+        ("http://a.org/", 200, "<html></html>"),
+        ("http://a.org/none", 200, None),
+    ]
+    answered = spark.createDataFrame(answers, "url string, code int, body string")
+    found = sitemaps.parse_sitemaps(sitemaps.sitemaps_from_responses(answered)).collect()
+    assert [(r["sitemap_url"], r["loc"]) for r in found] == [("http://a.org/sitemap.xml", "http://a.org/1")]

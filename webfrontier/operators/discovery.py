@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webfrontier.model import DONE, NEW
 from webfrontier.operators.links import may_follow
-from webfrontier.operators.ranking import ranked
+from webfrontier.operators.ranking import selected
 from webfrontier.operators.seeds import frontier_row
 from webfrontier.operators.skew import HEAVY_ROWS, MEASURE, heavy_keys, spread_join
 from webfrontier.session import cut_and_count, cut_lineage, scratch_table
@@ -76,8 +76,8 @@ def discovered_rows(urls: DataFrame, now: str) -> DataFrame:
 def cap_pages(rows: DataFrame, caps: DataFrame, order: list[str]) -> DataFrame:
     """Pages processed under each site's page cap: a cap of N lets N - 1 pages through.
 
-    ``caps`` is ``(tag, maxPages)``; a cap of 0 or below is none. Only tags that exceed their cap are
-    ranked, and ranking splits a large tag over many tasks.
+    ``caps`` is ``(tag, maxPages)``; a cap of 0 or below is none. Only rows of tags that exceed their cap are
+    exchanged, and only the piece around a tag's last kept row is sorted.
     """
     sizes = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("_size"))
     limited = (
@@ -93,12 +93,8 @@ def keep_first(rows: DataFrame, limited: DataFrame, order: list[str]) -> DataFra
     """Keeps the first ``_keep`` rows of the tags in ``limited`` and all rows of other tags."""
     marked = cut_lineage(spread_join(rows, limited, ["tag"], "left", order))
     free = marked.where(F.col("_keep").isNull()).drop("_keep")
-    first = (
-        ranked(marked.where(F.col("_keep").isNotNull()), ["tag"], order, "_place")
-        .where(F.col("_place") <= F.col("_keep"))
-        .drop("_keep", "_place")
-    )
-    return free.unionByName(first)
+    first = selected(marked.where(F.col("_keep").isNotNull()), ["tag"], order, "_keep")
+    return free.unionByName(first.drop("_keep"))
 
 
 def _loop_session(spark: SparkSession, edge_rows: int) -> SparkSession:

@@ -10,15 +10,15 @@ from webfrontier.operators.links import allowed_links, extract_links, site_polic
 from webfrontier.operators.seeds import frontier_row, seed_urls
 from webfrontier.operators.skew import heavy_keys, spread_join
 from webfrontier.session import cut_lineage
-from webfrontier.sources.robots import ANY_AGENT
-from webfrontier.sources.sitemaps import recent_urls, resolve_sitemaps, root_sitemaps
+from webfrontier.sources.robots import ANY_AGENT, robots_from_responses
+from webfrontier.sources.sitemaps import recent_urls, resolve_sitemaps, root_sitemaps, sitemaps_from_responses
 
 
 def crawl(
     responses: DataFrame,
     sites: DataFrame,
-    robots: DataFrame,
-    sitemaps: DataFrame,
+    robots: DataFrame | None,
+    sitemaps: DataFrame | None,
     now: str,
     agent: str = ANY_AGENT,
     roots: DataFrame | None = None,
@@ -26,9 +26,14 @@ def crawl(
     """Frontier rows, with their depth, of all URLs the sites lead to.
 
     ``responses`` is ``(tag, url, code, headers, body)``. URLs without a response stay "new": they are
-    what a fetcher has to get next. ``roots`` replaces the sites' default sitemap addresses.
+    what a fetcher has to get next. ``roots`` replaces the sites' default sitemap addresses. Robots files
+    and sitemaps that are not given are those among the responses that came with code 200.
     """
     sites = cut_lineage(sites)
+    if robots is None:
+        robots = robots_from_responses(responses, sites)
+    if sitemaps is None:
+        sitemaps = sitemaps_from_responses(responses)
     if roots is None:
         roots = root_sitemaps(sites)
     listed = recent_urls(resolve_sitemaps(roots, sitemaps), sites, now)

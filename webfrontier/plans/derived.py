@@ -169,6 +169,30 @@ def robots(pages: DataFrame) -> DataFrame:
     return rows.where(F.col("body").isNotNull())
 
 
+def robots_responses(pages: DataFrame) -> DataFrame:
+    """``(tag, url, code, body)``: an answer of every host for its robots file; a third of them, with rules too, has code 404."""
+    n, host = F.col("first_id"), F.col("host")
+    found = n % 3 != 2
+    return hosts(pages).select(
+        crawl_tag(host, PREFIX).alias("tag"),
+        F.concat("scheme", F.lit("://"), host, F.lit("/robots.txt")).alias("url"),
+        F.when(found, F.lit(200)).otherwise(F.lit(404)).alias("code"),
+        F.when(n % 3 == 1, F.lit(ROBOTS_EMPTY)).otherwise(F.lit(ROBOTS_BODY)).alias("body"),
+    )
+
+
+def sitemap_responses(pages: DataFrame) -> DataFrame:
+    """``(tag, url, code, body)``: the sitemaps as answers; those of every second chunk have code 404."""
+    documents = sitemaps(pages)
+    chunk = F.regexp_extract("url", r"-(\d+)\.xml$", 1).cast("bigint")
+    return documents.select(
+        crawl_tag(url_domain(F.col("url")), PREFIX).alias("tag"),
+        "url",
+        F.when(chunk % 2 == 1, F.lit(404)).otherwise(F.lit(200)).alias("code"),
+        F.col("xml").alias("body"),
+    )
+
+
 def _chunks(pages: DataFrame) -> DataFrame:
     """Pages of one host in groups of at most ``CHUNK``, as the text of their sitemap entries."""
     number = F.col("page_id")

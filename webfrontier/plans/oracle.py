@@ -380,6 +380,11 @@ _BODIES: dict[str, str] = {
         SELECT sha256(length(tag) || ':' || tag || '|' || key) AS id, '{D.NOW}' AS datetime, key, {_domain('key')} AS domain, tag,
                CAST(2 AS INTEGER) AS flag, searchable, data FROM seeds""",
     "robots_rules": "SELECT tag, block, agents, kind, pattern FROM rules",
+    "robots_from_responses": """
+        SELECT r.tag, block, kind, pattern FROM rules r JOIN sites s ON s.tag = r.tag""",
+    "sitemaps_from_responses": r"""
+        SELECT tag, sitemap_url, depth, loc, lastmod FROM resolved
+        WHERE CAST(regexp_extract(sitemap_url, '-(\d+)\.xml$', 1) AS BIGINT) % 2 = 0""",
     "robots_filter": "SELECT tag, page, link_type, link FROM robots_ok",
     "external_allowed": "SELECT tag, page, link_type, link FROM external_ok",
     "frontier_upsert": "SELECT * FROM shown",

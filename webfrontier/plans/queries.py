@@ -287,6 +287,25 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def robots_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules out of the answers with code 200 among all responses of a run."""
+    answers = D.robots_responses(_pages(spark, sf_dir))
+    answers = answers.unionByName(_responses(spark, sf_dir).select(*answers.columns))
+    rules = robots.parse_robots(robots.robots_from_responses(answers, _sites(spark, sf_dir)))
+    return rules.select("tag", F.col("block").cast("bigint").alias("block"), "kind", "pattern")
+
+
+@query
+def sitemaps_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed URLs out of the answers with code 200 among all responses of a run."""
+    pages = _pages(spark, sf_dir)
+    answers = D.sitemap_responses(pages)
+    answers = answers.unionByName(_responses(spark, sf_dir).select(*answers.columns))
+    roots = D.sitemap_roots(pages, _sites(spark, sf_dir))
+    return sitemaps.resolve_sitemaps(roots, sitemaps.sitemaps_from_responses(answers))
+
+
 @query
 def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.allowed_by_robots(

@@ -61,6 +61,19 @@ def _value(line: Column) -> Column:
     return F.substring(line, F.lit(2), F.length(line))
 
 
+def robots_from_responses(responses: DataFrame, sites: DataFrame) -> DataFrame:
+    """``(tag, host, body)`` of the sites whose ``/robots.txt`` was answered with code 200.
+
+    ``responses`` is ``(tag, url, code, body)``. The body of another answer is no robots file, whatever it says. A missing body
+    counts as an empty one; of several answers with code 200 the first by body is taken.
+    """
+    address = F.concat("scheme", F.lit("://"), "domain", F.lit("/robots.txt"))
+    asked = sites.select("tag", F.col("domain").alias("host"), address.alias("url"))
+    answers = responses.where((F.col("code") == 200) & F.endswith("url", F.lit("/robots.txt")))
+    bodies = answers.groupBy("tag", "url").agg(F.min(F.coalesce("body", F.lit(""))).alias("body"))
+    return asked.join(bodies, ["tag", "url"]).select("tag", "host", "body")
+
+
 def parse_robots(robots: DataFrame) -> DataFrame:
     """``(tag, body)`` to one row per rule: ``(tag, block, agents, kind, pattern)``.
 

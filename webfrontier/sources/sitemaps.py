@@ -34,6 +34,16 @@ def _documents(sitemaps: DataFrame) -> DataFrame:
     )
 
 
+def sitemaps_from_responses(responses: DataFrame) -> DataFrame:
+    """``(url, xml)``, one row per URL, of responses ``(url, code, body)`` with code 200 that hold a list or an index of URLs.
+
+    The body of another answer is no sitemap, whatever it says. Of several bodies of one URL the first by text is taken.
+    """
+    listing = F.contains("body", F.lit("<urlset")) | F.contains("body", F.lit("<sitemapindex"))
+    found = responses.where((F.col("code") == 200) & listing)
+    return found.groupBy("url").agg(F.min("body").alias("xml"))
+
+
 def parse_sitemaps(sitemaps: DataFrame) -> DataFrame:
     """``(url, xml)`` documents to ``(sitemap_url, kind, loc, lastmod)``; kind is ``page`` or ``sitemap``."""
     return unnest(_documents(sitemaps), ["sitemap_url"], F.col("entries"))
