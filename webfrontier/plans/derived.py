@@ -182,13 +182,14 @@ def robots_responses(pages: DataFrame) -> DataFrame:
 
 
 def sitemap_responses(pages: DataFrame) -> DataFrame:
-    """``(tag, url, code, body)``: the sitemaps as answers; those of every second chunk have code 404."""
-    documents = sitemaps(pages)
-    chunk = F.regexp_extract("url", r"-(\d+)\.xml$", 1).cast("bigint")
-    return documents.select(
-        crawl_tag(url_domain(F.col("url")), PREFIX).alias("tag"),
+    """``(tag, url, code, body)``: the sitemaps as answers; all of some hosts, and the child documents of others, have code 404."""
+    host = url_domain(F.col("url"))
+    child = F.contains("url", F.lit("/urls-"))
+    missing = (F.length(host) % 3 == 0) | (child & (F.length(host) % 4 == 0))
+    return sitemaps(pages).select(
+        crawl_tag(host, PREFIX).alias("tag"),
         "url",
-        F.when(chunk % 2 == 1, F.lit(404)).otherwise(F.lit(200)).alias("code"),
+        F.when(missing, F.lit(404)).otherwise(F.lit(200)).alias("code"),
         F.col("xml").alias("body"),
     )
 

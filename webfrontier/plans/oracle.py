@@ -382,9 +382,9 @@ _BODIES: dict[str, str] = {
     "robots_rules": "SELECT tag, block, agents, kind, pattern FROM rules",
     "robots_from_responses": """
         SELECT r.tag, block, kind, pattern FROM rules r JOIN sites s ON s.tag = r.tag""",
-    "sitemaps_from_responses": r"""
-        SELECT tag, sitemap_url, depth, loc, lastmod FROM resolved
-        WHERE CAST(regexp_extract(sitemap_url, '-(\d+)\.xml$', 1) AS BIGINT) % 2 = 0""",
+    "sitemaps_from_responses": """
+        SELECT e.tag, sitemap_url, depth, loc, lastmod FROM resolved e JOIN sites s ON s.tag = e.tag
+        WHERE length(domain) % 3 <> 0 AND NOT (contains(sitemap_url, '/urls-') AND length(domain) % 4 = 0)""",
     "robots_filter": "SELECT tag, page, link_type, link FROM robots_ok",
     "external_allowed": "SELECT tag, page, link_type, link FROM external_ok",
     "frontier_upsert": "SELECT * FROM shown",
