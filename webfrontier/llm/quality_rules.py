@@ -27,7 +27,8 @@ class Bands:
 
     ``whole`` has (from so many bytes, least, most): below the least a text repeats itself, above the most it is
     noise. The share falls with the length because a longer text has more to refer back to. ``chunk`` has the limits
-    for every full piece of ``chunk_bytes``, so that a repetitive or random stretch shows inside a sound document.
+    for the pieces of ``chunk_bytes`` from the start on and for the last ``chunk_bytes`` of the text, so that a repetitive or
+    random stretch shows inside a sound document and at its end.
     Texts shorter than the first limit pass: a frame's overhead hides their content.
     """
 
@@ -59,11 +60,14 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def compression(data: bytes, compressor: zstandard.ZstdCompressor, bands: Bands) -> tuple[float, float, float]:
-    """Compressed share of the whole text, and the least and most of its full chunks (1 where there is none)."""
+    """Compressed share of the whole text, and the least and most of its chunks (1 where the text is shorter than one)."""
     if not data:
         return 1.0, 1.0, 1.0
     size = bands.chunk_bytes
-    chunks = [len(compressor.compress(data[at : at + size])) / size for at in range(0, len(data) - size + 1, size)]
+    starts = [*range(0, len(data) - size + 1, size)]
+    if len(data) > size and len(data) % size:
+        starts.append(len(data) - size)
+    chunks = [len(compressor.compress(data[at : at + size])) / size for at in starts]
     return len(compressor.compress(data)) / len(data), min(chunks, default=1.0), max(chunks, default=1.0)
 
 
@@ -97,7 +101,9 @@ def judge(text: str, compressor: zstandard.ZstdCompressor, bands: Bands) -> tupl
 
 
 def quality_rules(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
-    """One row per row of ``docs``, by SCHEMA. A null text counts as empty and fails (it has no words)."""
+    """One row per row of ``docs``, by SCHEMA. A null text counts as empty and fails (it has no words).
+
+    Rows are judged one by one: a repeated row gives a repeated result, and a null doc_id stays null."""
     limits = bands or Bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
