@@ -171,10 +171,19 @@ def fit(samples: list[tuple[int, np.ndarray]], steps: int = 300, decay: float =
     return model
 
 
+def spread_runs(lines: np.ndarray, most: int, run: int = 50) -> list[np.ndarray]:
+    """All lines as one run, or, when there are more than ``most``, runs from its start to its end with as many lines in all."""
+    if len(lines) <= most:
+        return [lines]
+    run = min(run, most)
+    starts = np.linspace(0, len(lines) - run, max(1, most // run)).astype(int)
+    return [lines[x : x + run] for x in starts]
+
+
 def train(docs: DataFrame, labels: DataFrame, most_documents: int = 4000, most_lines: int = 1000) -> LineModel:
     """Learns from at most ``most_documents`` labelled documents that are not held out, taken by a hash of their id.
 
-    Both bounds hold for learning alone; of a longer document the first ``most_lines`` lines teach.
+    Both bounds hold for learning alone; of a longer document, runs of lines spread evenly over it teach, ``most_lines`` in all.
     """
     ship(docs.sparkSession)
     known = (
@@ -191,8 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, most_documents: int = 4000, most_l
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, group in texts(batches):
-            data = [line_features(x)[0][:most_lines].tobytes() for x in group]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data)], names=["label", "data"])
+            taught = [(label, run) for label, x in zip(ids, group) for run in spread_runs(line_features(x)[0], most_lines)]
+            labels, runs = zip(*((label, run.tobytes()) for label, run in taught)) if taught else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(runs, pa.binary())], names=["label", "data"])
 
     rows = picked.mapInArrow(features, "label int, data binary").collect()
     rows = sorted((r.label, bytes(r.data)) for r in rows)
@@ -202,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, most_documents: int = 4000, most_l
 def score_documents(docs: DataFrame, model: LineModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, by its text alone.
 
-    A null text counts as empty, an empty one as one empty line. A null doc_id is not held out.
+    A null text counts as empty, an empty one as one empty line. A null doc_id is not held out. Repeated rows give repeated results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
