@@ -9,6 +9,7 @@ neighbour is taken back. No position fails twice, so the work is linear in the t
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from itertools import chain
 from typing import Any
@@ -19,8 +20,10 @@ from pyspark.sql import DataFrame
 from webfrontier.llm.common import map_texts, texts
 
 SPACE = "▁"
-#: A worker forgets chunks and pairs when it holds so many; ids do not depend on that.
-KEPT = 700_000
+#: A worker forgets chunks and pairs when they take so many bytes, by estimate, and keeps no chunk of more letters than LONG, such
+#: as texts without blanks are; ids do not depend on that.
+KEPT_BYTES = 300_000_000
+LONG = 64
 _CODECS: dict[str, Any] = {}
 
 
@@ -55,6 +58,11 @@ class PieceCodec:
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.held = 0
+
+    def keep(self, known: dict[str, tuple[int, ...]], text: str, ids: tuple[int, ...]) -> None:
+        known[text] = ids
+        self.held += sys.getsizeof(text) + sys.getsizeof(ids) + 100  # with its place in the table
 
     def merged(self, text: str) -> list[str]:
         """Merging as it is defined, for short texts: the best-scored neighbours first, of equals the leftmost."""
@@ -75,6 +83,7 @@ class PieceCodec:
             else:
                 found = True
             self.pairs[left, right] = found
+            self.held += 250  # two short texts, the pair and its place
         return found
 
     def next_shorter(self, piece: str) -> str:
@@ -112,12 +121,14 @@ class PieceCodec:
     def part(self, text: str) -> tuple[int, ...]:
         ids = self.parts.get(text)
         if ids is None:
-            ids = self.parts[text] = tuple(
+            ids = tuple(
                 chain.from_iterable(
                     (self.ids[p],) if p in self.ids else map(self.byte_ids.__getitem__, p.encode())
                     for p in self.backtrack(text)
                 )
             )
+            if len(text) <= LONG:
+                self.keep(self.parts, text, ids)
         return ids
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
@@ -130,7 +141,7 @@ class PieceCodec:
         """Ids of a text: a space is put before it, and chunks begin at spaces. An empty text has none."""
         if not text:
             return []
-        if len(self.chunks) + len(self.parts) + len(self.pairs) > 2 * KEPT:
+        if self.held > KEPT_BYTES:
             self.forget()
         words = [text.replace(" ", SPACE)] if self.whole else text.replace(SPACE, " ").split(" ")
         if "" in words:  # several spaces in a row belong to one chunk
@@ -139,10 +150,14 @@ class PieceCodec:
         try:
             return list(chain.from_iterable(map(kept.__getitem__, words)))
         except KeyError:
+            long: dict[str, tuple[int, ...]] = {}
             for word in words:
-                if word not in kept:
-                    kept[word] = self.chunk(SPACE + word)
-            return list(chain.from_iterable(map(kept.__getitem__, words)))
+                if word not in kept and word not in long:
+                    if len(word) > LONG:
+                        long[word] = self.chunk(SPACE + word)
+                    else:
+                        self.keep(kept, word, self.chunk(SPACE + word))
+            return list(chain.from_iterable(long[x] if x in long else kept[x] for x in words))
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces and bytes joined, without the space that encoding puts before the text."""
@@ -182,7 +197,10 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, encoded and decoded in one pass."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, encoded and decoded in one pass.
+
+    A null or empty text has no tokens and the hashes of an empty string. Repeated rows give repeated results, a null doc_id stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = piece_codec(path)

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 from typing import Any
 
 import numpy as np
 
-#: A worker forgets chunks, or words, when it holds so many; ids do not depend on that.
-KEPT = 700_000
+#: A worker forgets chunks and words when they take so many bytes, by estimate, and keeps none of more letters than LONG, such
+#: as texts without blanks are; ids do not depend on that.
+KEPT_BYTES = 250_000_000
+LONG = 64
 #: Chunks of letters that normalisation only lower-cases, with punctuation behind: their letters and their
 #: punctuation are separate words of the vocabulary. Everything else goes through the library as it is.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;=?@^_|-]*)")
@@ -39,12 +42,19 @@ class ChunkEncoder:
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
+
+    def keep(self, known: dict[str, bytes], text: str, ids: bytes) -> None:
+        known[text] = ids
+        self.held += sys.getsizeof(text) + sys.getsizeof(ids) + 100  # with its place in the table
 
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             spelled = "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.words[word] = _pack([x.id for x in self.model.tokenize(spelled)])
+            ids = _pack([x.id for x in self.model.tokenize(spelled)])
+            if len(word) <= LONG:
+                self.keep(self.words, word, ids)
         return ids
 
     def chunk(self, chunk: str) -> bytes:
@@ -60,13 +70,18 @@ class ChunkEncoder:
         try:
             data = b"".join(map(kept.__getitem__, chunks))
         except KeyError:
-            for known in (self.chunks, self.words):
-                if len(known) > KEPT:
-                    known.clear()
+            if self.held > KEPT_BYTES:
+                self.chunks.clear()
+                self.words.clear()
+                self.held = 0
+            long: dict[str, bytes] = {}
             for chunk in chunks:
-                if chunk not in kept:
-                    kept[chunk] = self.chunk(chunk)
-            data = b"".join(map(kept.__getitem__, chunks))
+                if chunk not in kept and chunk not in long:
+                    if len(chunk) > LONG:
+                        long[chunk] = self.chunk(chunk)
+                    else:
+                        self.keep(kept, chunk, self.chunk(chunk))
+            data = b"".join(long[x] if x in long else kept[x] for x in chunks)
         return np.frombuffer(data, np.uint32)
 
 
