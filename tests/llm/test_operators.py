@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webfrontier.llm import (
     components, exact_dedup, line_crf, ngram_join, packing, piece_codec, quality_rules, recompression, repeats, secret_scan,
-    shingle_product, simple8b, suffix_dedup, token_output,
+    shingle_product, simple8b, suffix_dedup, token_output, word_tokens,
 )
 from webfrontier.llm.common import documents
 from webfrontier.llm.queries import vocabulary
@@ -299,6 +299,31 @@ def test_piece_codec(case):
     same(piece_codec.round_trip(docs, path), expected)
 
 
+@pytest.mark.parametrize("kind", ["pieces", "words"])
+def test_caches_are_bounded_by_bytes(kind, monkeypatch):
+    """Texts without blanks are not kept, and what is kept stays below the limit; ids do not depend on it."""
+    rng = random.Random(3)
+    solid = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(300)) for _ in range(200)]
+    spaced = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(100)) + " " + x for x in solid]
+    if kind == "pieces":
+        from sentencepiece import SentencePieceProcessor
+
+        path = vocabulary("piece_bpe_32k.model")
+        module, cache, library = piece_codec, piece_codec.PieceCodec(path), SentencePieceProcessor(model_file=path).encode
+        encode, kept = cache.encode, lambda: [*cache.chunks, *cache.parts]
+    else:
+        from tokenizers import Tokenizer
+
+        path = vocabulary("word_bpe_49k.json")
+        module, cache, model = word_tokens, word_tokens.ChunkEncoder(path), Tokenizer.from_file(path)
+        library = lambda text: model.encode(text, add_special_tokens=False).ids
+        encode, kept = lambda text: cache.ids(text).tolist(), lambda: [*cache.chunks, *cache.words]
+    monkeypatch.setattr(module, "KEPT_BYTES", 200_000)
+    for text in [*solid, *spaced, *spaced[:20]]:
+        assert encode(text) == library(text)
+        assert cache.held < 400_000 and all(len(x) <= 64 for x in kept())
+
+
 def library_ids(rows):
     from tokenizers import Tokenizer
 
@@ -359,6 +384,26 @@ def test_packing(case):
     assert len(bins) <= least * 1.02 + 2
 
 
+@pytest.mark.parametrize(
+    ("lengths", "least"),
+    [
+        ([2100] * 700 + [1500 + i % 7 for i in range(300)] + [40 + i % 90 for i in range(500)], 700),
+        ([1400] * 900 + [20] * 60, 450),
+        ([1] * 3000, 1),
+    ],
+)
+def test_packing_where_rounds_settle_little(spark, lengths, least):
+    """No sequence, or few of them, can be filled; many small buckets still end near the least number of sequences."""
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, packing.PIECES).repartition(5)
+    found = packing.pack(pieces, 4096, packing.Search(bucket=50)).collect()
+    bins = Counter()
+    for r in found:
+        bins[r["sequence_id"]] += r["length"]
+    assert sorted(r["doc_id"] for r in found) == [*range(len(rows))] and max(bins.values()) <= 4096
+    assert least <= len(bins) <= 1.01 * least + 1
+
+
 def test_islands_reach_a_known_optimum():
     rng = np.random.default_rng(11)
     lengths = []
@@ -393,6 +438,38 @@ def test_quality_rules(case):
     found = quality_rules.quality_rules(docs)
     same(found.select(*quality_rules.NAMES[:7]), expected)
     assert found.filter("base_failed AND kept").isEmpty()
+    verdicts = [(doc_id, not row[-1] and plain_bands(text.encode())) for (doc_id, text), row in zip(rows, expected)]
+    same(found.select("doc_id", "kept"), verdicts)
+
+
+def plain_bands(data: bytes) -> bool:
+    """The default bands, spelled out."""
+    import zstandard
+
+    def share(part):
+        return len(zstandard.compress(part, 3)) / len(part)
+
+    if len(data) < 128:
+        return True
+    low, high = {7: (0.40, 1.0), 8: (0.36, 0.85), 9: (0.32, 0.78), 10: (0.28, 0.72), 11: (0.28, 0.72), 12: (0.24, 0.68),
+                 13: (0.24, 0.68)}.get(len(data).bit_length() - 1, (0.20, 0.66))  # by the power of two below the length
+    parts = [data[i : i + 1024] for i in range(0, len(data), 1024)]
+    if len(data) >= 1024:
+        parts[-1] = data[-1024:]
+        if not all(0.25 <= share(x) <= 0.72 for x in parts):
+            return False
+    return low <= share(data) <= high
+
+
+@pytest.mark.parametrize("tail", ["ab " * 400, "ab " * 330, "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(400))])
+def test_compression_of_the_tail(tail):
+    import zstandard
+
+    text = prose(random.Random(5), 3000)
+    text = text[: len(text) // 1024 * 1024]
+    compressor = zstandard.ZstdCompressor(level=3)
+    assert quality_rules.judge(text, compressor, quality_rules.Bands())[-1]
+    assert not quality_rules.judge(text + tail[:1000], compressor, quality_rules.Bands())[-1]
 
 
 def test_compression_bands():
@@ -462,6 +539,15 @@ def test_novel_secrets_on_both_sides_of_a_word():
     assert found(f"the passphrase {key[:12]}pwd{key[12:]} today") == [f"{key[:12]}pwd{key[12:]}"]
 
 
+def test_lines_that_teach_are_spread_over_a_text():
+    lines = np.arange(10_000)
+    runs = line_crf.spread_runs(lines, 1000)
+    assert sum(map(len, runs)) == 1000 and runs[0][0] == 0 and runs[-1][-1] == 9999
+    assert max(b[0] - a[-1] for a, b in zip(runs, runs[1:])) < 600
+    assert [len(x) for x in line_crf.spread_runs(lines[:1000], 1000)] == [1000]
+    assert [len(x) for x in line_crf.spread_runs(lines, 7)] == [7]
+
+
 def test_line_field(spark, odd, empty):
     docs = documents(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

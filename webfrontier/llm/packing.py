@@ -184,26 +184,32 @@ def pack(pieces: DataFrame, capacity: int, search: Search | None = None) -> Data
 
     Pieces as long as a sequence stand alone. The others are dealt to buckets by hash; sequences that a bucket fills
     well are final, and the pieces of the rest are packed again in fewer buckets, until one bucket has taken in all
-    that is left; after a round that settles less than half of its pieces, the next one is the last. Only that last bucket can leave a sequence
-    half empty for want of pieces. An empty table gives no sequences; rows may repeat.
+    that is left. After a round that settles less than half of its pieces, a bucket keeps only its least filled sequence open: the pieces of
+    the others have found no place in it, nor its pieces in them. Such rounds at least halve the buckets, and what a bucket hands on is
+    shorter than one sequence. Only the last bucket can leave a sequence half empty for want of pieces. An empty table gives no sequences; rows may repeat.
     """
     search = search or Search()
     ship(pieces.sparkSession)
     numbered = written(pieces.withColumn("piece_no", F.monotonically_increasing_id()), "pieces")
     placed = numbered.filter(F.col("length") >= capacity).select("piece_no", F.col("piece_no").alias("sequence_id"))
     left = numbered.filter(F.col("length") < capacity).select("piece_no", "length")
-    count, number, last = left.count(), 0, False
+    count, number, slow, buckets = left.count(), 0, False, 0
     while count:
-        buckets = -(-count // search.bucket)
+        dealt = -(-count // search.bucket)
+        buckets = max(1, min(dealt, buckets // 2)) if slow else dealt
         found = _pack_round(left, buckets, number, capacity, search)
         code = F.shiftleft(F.lit(number).cast("long"), 56) + F.shiftleft(F.col("bucket"), BIN_BITS) + F.col("bin")
-        final = F.lit(True) if last or buckets == 1 else F.col("fill") >= search.well_filled * capacity
+        final = F.lit(True) if buckets == 1 else F.col("fill") >= search.well_filled * capacity
+        if slow:
+            least = F.min(F.struct("fill", "bin")).over(Window.partitionBy("bucket"))
+            found = found.withColumn("least", least["bin"])
+            final = final | (F.col("bin") != F.col("least"))
         found = found.withColumn("final", final).withColumn("sequence_id", -1 - code)
         found = written(found, "packed-bins")
         rest = found.filter("NOT final").count()
         placed = placed.unionByName(found.filter("final").select("piece_no", "sequence_id"))
         left = found.filter(~F.col("final")).select("piece_no", "length")
-        last, count, number = rest * 2 > count, rest, number + 1
+        slow, count, number = rest * 2 > count, rest, number + 1
     order = Window.partitionBy("sequence_id").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)
     return numbered.join(placed, "piece_no").select(
         *[x.split()[0] for x in PIECES.split(", ")],
