@@ -9,7 +9,6 @@ neighbour is taken back. No position fails twice, so the work is linear in the t
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 from itertools import chain
 from typing import Any
@@ -22,8 +21,10 @@ from webfrontier.llm.common import map_texts, texts
 SPACE = "▁"
 #: A worker forgets chunks and pairs when they take so many bytes, by estimate, and keeps no chunk of more letters than LONG, such
 #: as texts without blanks are; ids do not depend on that.
-KEPT_BYTES = 300_000_000
+KEPT_BYTES = 450_000_000
 LONG = 64
+#: Estimate of what an entry takes besides four bytes for each of its letters and eight for each id.
+ENTRY_BYTES = 220
 _CODECS: dict[str, Any] = {}
 
 
@@ -60,10 +61,6 @@ class PieceCodec:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.held = 0
 
-    def keep(self, known: dict[str, tuple[int, ...]], text: str, ids: tuple[int, ...]) -> None:
-        known[text] = ids
-        self.held += sys.getsizeof(text) + sys.getsizeof(ids) + 100  # with its place in the table
-
     def merged(self, text: str) -> list[str]:
         """Merging as it is defined, for short texts: the best-scored neighbours first, of equals the leftmost."""
         parts = list(text)
@@ -83,7 +80,7 @@ class PieceCodec:
             else:
                 found = True
             self.pairs[left, right] = found
-            self.held += 250  # two short texts, the pair and its place
+            self.held += ENTRY_BYTES
         return found
 
     def next_shorter(self, piece: str) -> str:
@@ -128,7 +125,8 @@ class PieceCodec:
                 )
             )
             if len(text) <= LONG:
-                self.keep(self.parts, text, ids)
+                self.parts[text] = ids
+                self.held += ENTRY_BYTES + 4 * len(text) + 8 * len(ids)
         return ids
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
@@ -151,13 +149,15 @@ class PieceCodec:
             return list(chain.from_iterable(map(kept.__getitem__, words)))
         except KeyError:
             long: dict[str, tuple[int, ...]] = {}
-            for word in words:
-                if word not in kept and word not in long:
-                    if len(word) > LONG:
-                        long[word] = self.chunk(SPACE + word)
-                    else:
-                        self.keep(kept, word, self.chunk(SPACE + word))
-            return list(chain.from_iterable(long[x] if x in long else kept[x] for x in words))
+            for word in set(words).difference(kept):
+                ids = self.chunk(SPACE + word)
+                if len(word) > LONG:
+                    long[word] = ids
+                else:
+                    kept[word] = ids
+                    self.held += ENTRY_BYTES + 4 * len(word) + 8 * len(ids)
+            found = (long[x] if x in long else kept[x] for x in words) if long else map(kept.__getitem__, words)
+            return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces and bytes joined, without the space that encoding puts before the text."""

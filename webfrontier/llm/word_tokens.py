@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
 from typing import Any
 
 import numpy as np
 
-#: A worker forgets chunks and words when they take so many bytes, by estimate, and keeps none of more letters than LONG, such
-#: as texts without blanks are; ids do not depend on that.
-KEPT_BYTES = 250_000_000
+#: A worker forgets its chunks, or its words, when these take so many bytes, by estimate, and keeps none of more letters than
+#: LONG, such as texts without blanks are; ids do not depend on that.
+KEPT_BYTES = 170_000_000
 LONG = 64
+#: Estimate of what an entry takes besides its ids and four bytes for each of its letters.
+ENTRY_BYTES = 180
 #: Chunks of letters that normalisation only lower-cases, with punctuation behind: their letters and their
 #: punctuation are separate words of the vocabulary. Everything else goes through the library as it is.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;=?@^_|-]*)")
@@ -42,11 +43,7 @@ class ChunkEncoder:
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.held = 0
-
-    def keep(self, known: dict[str, bytes], text: str, ids: bytes) -> None:
-        known[text] = ids
-        self.held += sys.getsizeof(text) + sys.getsizeof(ids) + 100  # with its place in the table
+        self.word_bytes = self.chunk_bytes = 0
 
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
@@ -54,7 +51,8 @@ class ChunkEncoder:
             spelled = "".join(map(self.letters.__getitem__, word.encode()))
             ids = _pack([x.id for x in self.model.tokenize(spelled)])
             if len(word) <= LONG:
-                self.keep(self.words, word, ids)
+                self.words[word] = ids
+                self.word_bytes += ENTRY_BYTES + 4 * len(word) + len(ids)
         return ids
 
     def chunk(self, chunk: str) -> bytes:
@@ -70,18 +68,22 @@ class ChunkEncoder:
         try:
             data = b"".join(map(kept.__getitem__, chunks))
         except KeyError:
-            if self.held > KEPT_BYTES:
-                self.chunks.clear()
+            if self.chunk_bytes > KEPT_BYTES:
+                kept.clear()
+                self.chunk_bytes = 0
+            if self.word_bytes > KEPT_BYTES:
                 self.words.clear()
-                self.held = 0
+                self.word_bytes = 0
             long: dict[str, bytes] = {}
-            for chunk in chunks:
-                if chunk not in kept and chunk not in long:
-                    if len(chunk) > LONG:
-                        long[chunk] = self.chunk(chunk)
-                    else:
-                        self.keep(kept, chunk, self.chunk(chunk))
-            data = b"".join(long[x] if x in long else kept[x] for x in chunks)
+            for chunk in set(chunks).difference(kept):
+                ids = self.chunk(chunk)
+                if len(chunk) > LONG:
+                    long[chunk] = ids
+                else:
+                    kept[chunk] = ids
+                    self.chunk_bytes += ENTRY_BYTES + 4 * len(chunk) + len(ids)
+            found = (long[x] if x in long else kept[x] for x in chunks) if long else map(kept.__getitem__, chunks)
+            data = b"".join(found)
         return np.frombuffer(data, np.uint32)
 
 
