@@ -126,10 +126,15 @@ def _walk(starts, edges, caps, silent):
 
 
 @pytest.mark.parametrize(
-    ("caps", "heavy_rows", "silent"),
-    [({}, 10**9, ()), ({}, 1, ()), ({"a": 20, "b": 1, "c": 0}, 10**9, ()), ({"a": 9}, 1, ("hub", "3", "c4"))],
+    ("caps", "heavy_rows", "silent", "shrink_rows"),
+    [
+        ({}, 10**9, (), 10**9),
+        ({}, 1, (), 1),
+        ({"a": 20, "b": 1, "c": 0}, 10**9, (), 1),
+        ({"a": 9}, 1, ("hub", "3", "c4"), 10**9),
+    ],
 )
-def test_closure(spark, caps, heavy_rows, silent):
+def test_closure(spark, caps, heavy_rows, silent, shrink_rows):
     rng = random.Random(7)
     edges = [(t, str(rng.randrange(60)), str(rng.randrange(60))) for t in "abc" for _ in range(90)]
     # A hub whose links are a third of all, and a chain that outlasts the merging of known pieces.
@@ -142,6 +147,7 @@ def test_closure(spark, caps, heavy_rows, silent):
         spark.createDataFrame(list(caps.items()), "tag string, maxPages int") if caps else None,
         answered=_answered(spark, edges, starts, silent) if silent else None,
         heavy_rows=heavy_rows,
+        shrink_rows=shrink_rows,
     )
     rows = table.collect()
     got = {(r["tag"], r["key"]): (r["depth"], r["parent"], r["flag"]) for r in rows}
@@ -155,11 +161,33 @@ def _answered(spark, edges, starts, silent):
     return spark.createDataFrame(rows, "tag string, key string")
 
 
-def test_a_chain_is_walked_to_its_end(spark):
-    edges = spark.createDataFrame([("t", str(i), str(i + 1)) for i in range(9)], "tag string, src string, dst string")
-    start = spark.createDataFrame([("t", "0")], "tag string, key string")
-    rows = discovery.discover(start, edges).collect()
-    assert sorted((r["key"], r["depth"], r["flag"]) for r in rows) == [(str(i), i, 0) for i in range(10)]
+@pytest.mark.parametrize("shrink_rows", [2, 10**9])
+def test_a_chain_is_walked_to_its_end(spark, shrink_rows):
+    names = [f"{i:02}" for i in range(22)]
+    back = [("t", names[i], names[i // 2]) for i in range(0, 22, 3)]
+    edges = spark.createDataFrame([*zip("t" * 21, names, names[1:]), *back], "tag string, src string, dst string")
+    start = spark.createDataFrame([("t", "00")], "tag string, key string")
+    rows = discovery.discover(start, edges, shrink_rows=shrink_rows).collect()
+    assert sorted((r["key"], r["depth"], r["flag"]) for r in rows) == [(x, i, 0) for i, x in enumerate(names)]
+
+
+def test_known_urls_lie_in_few_pieces_and_are_merged_once_per_size(spark, monkeypatch):
+    """Sizes alone: pieces stay few over many rounds, and merges touch a URL a logarithm of times."""
+    moved = []
+
+    class Piece:
+        def unionByName(self, other):  # noqa: N802
+            return self
+
+    monkeypatch.setattr(discovery, "_placed", lambda rows, *on: moved.append(1) or rows)
+    monkeypatch.setattr(discovery, "reduce", lambda function, pieces: pieces[0])
+    known, merged = [(Piece(), 1)], 0
+    for _ in range(3000):
+        before = dict((id(p), n) for p, n in known)
+        known = discovery._merged([*known, (Piece(), 1)])
+        merged += sum(n for p, n in known if before.get(id(p), n) != n)
+    assert sum(n for _, n in known) == 3001 and len(known) <= 3 * 7
+    assert merged <= 3001 * 7
 
 
 @pytest.mark.parametrize(("cap", "kept"), [(5, 4), (1, 0), (-1, 10), (0, 10), (11, 10), (10, 9)])

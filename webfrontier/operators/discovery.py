@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from webfrontier.model import DONE, NEW
@@ -14,7 +15,7 @@ from webfrontier.operators.seeds import frontier_row
 from webfrontier.operators.skew import HEAVY_ROWS, MEASURE, heavy_keys, spread_join
 from webfrontier.session import cut_and_count, cut_lineage, scratch_table
 
-# Known URLs are kept in this many co-partitioned pieces before they are merged into one.
+# Known URLs are kept in co-partitioned pieces; so many of about the same size are merged into one of the next size.
 KNOWN_PIECES = 4
 # Edges one task of a round should handle, at most and at least.
 EDGES_PER_PARTITION = 1_000_000
@@ -133,6 +134,7 @@ def discover(
     caps: DataFrame | None = None,
     answered: DataFrame | None = None,
     heavy_rows: int = HEAVY_ROWS,
+    shrink_rows: int = EDGES_PER_PARTITION,
 ) -> DataFrame:
     """All URLs reachable from the seeds: ``(tag, key, depth, parent, flag)``.
 
@@ -143,12 +145,16 @@ def discover(
 
     Edges are written and partitioned once by (tag, src). A round joins them with the URLs found
     last, which lie in the same partitions, reduces the targets to distinct URLs (the only shuffle) and
-    removes the known ones. Sources with very many edges are joined apart: there are at most
-    ``SHARES`` of them, so their side is broadcast.
+    removes the known ones. The URLs found last lead the merge, so a partition without any of them reads no
+    edges. A source is followed once: when half of the edges, and ``shrink_rows`` at least, have been followed since the last
+    time, those of all known sources are dropped in place, so all these passes together read two times the edges. Known URLs lie
+    in pieces of growing sizes, and a URL is merged once per size. Sources with very many edges are joined apart: there are at
+    most ``SHARES`` of them, so their side is broadcast.
     """
     spark = seeds.sparkSession
     edge_path = _stored(edges.select("tag", "src", "dst"), "edges")
-    session = _loop_session(spark, spark.read.parquet(edge_path).count())
+    unfollowed, followed = spark.read.parquet(edge_path).count(), 0
+    session = _loop_session(spark, unfollowed)
     edges = session.read.parquet(edge_path)
     large = heavy_keys(edges, ["tag", "src"], heavy_rows)
     wide = None
@@ -170,7 +176,7 @@ def discover(
 
     first = _handed_over(seeds.select("tag", "key").distinct(), session, "seeds")
     fresh = _placed(first.withColumn("parent", F.lit(None).cast("string")), "tag", "key")
-    known = [fresh.select("tag", "key")]
+    known: list[tuple[DataFrame, int]] = [(fresh.select("tag", "key"), 1)]
     levels: list[DataFrame] = []
     out = scratch_table(spark, "found")
     depth = 0
@@ -187,15 +193,25 @@ def discover(
             # At most SHARES sources are large, so this side is small whatever the input.
             few = F.broadcast(sources.join(large, ["tag", "src"], "left_semi"))
             targets = targets.unionByName(wide.join(few, ["tag", "src"]).select(*targets.columns))
+        seen = Observation()
+        targets = targets.observe(seen, F.count(F.lit(1)).alias("rows"))
         found = targets.groupBy("tag", F.col("dst").alias("key")).agg(F.min("src").alias("parent"))
-        for piece in known:
+        for piece, _ in known:
             found = found.join(piece, ["tag", "key"], "left_anti")
         fresh, size = cut_and_count(found)
         if not size:
             break
-        known.append(fresh.select("tag", "key"))
-        if len(known) > KNOWN_PIECES:
-            known = [_placed(reduce(DataFrame.unionByName, known), "tag", "key")]
+        followed += seen.get["rows"]
+        if followed >= max(shrink_rows, unfollowed / 2):
+            edges = cut_lineage(_without(edges, known))
+            if wide is not None:
+                gone = reduce(DataFrame.unionByName, [_as_sources(piece) for piece, _ in known])
+                large = cut_lineage(large.join(gone, ["tag", "src"], "left_anti"))
+                large = F.broadcast(large)  # Still at most SHARES rows.
+                wide = cut_lineage(wide.join(large, ["tag", "src"], "left_semi"))
+            unfollowed, followed = max(0, unfollowed - followed), 0
+        known = _merged([*known, (fresh.select("tag", "key"), size)])
+        if len(levels) >= KNOWN_PIECES:
             _append(levels, out)
             levels = []
         depth += 1
@@ -203,6 +219,34 @@ def discover(
     return spark.read.parquet(out).select("tag", "key", "depth", "parent", "flag")
 
 
+def _as_sources(urls: DataFrame) -> DataFrame:
+    return urls.select("tag", F.col("key").alias("src"))
+
+
+def _without(edges: DataFrame, known: list[tuple[DataFrame, int]]) -> DataFrame:
+    """The edges whose source is in no piece; pieces and edges lie in the same partitions, in the same order."""
+    for piece, _ in known:
+        edges = edges.join(_as_sources(piece), ["tag", "src"], "left_anti")
+    return edges
+
+
+def _merged(known: list[tuple[DataFrame, int]]) -> list[tuple[DataFrame, int]]:
+    """The pieces with their sizes, after the last ones have been merged if enough of them are no larger than the last, counted
+    in powers of KNOWN_PIECES. So there are at most a few pieces of each power, and a merge lifts all its URLs by one."""
+
+    def power(size: int) -> int:
+        return int(math.log(size, KNOWN_PIECES))
+
+    start = len(known)
+    while start and power(known[start - 1][1]) <= power(known[-1][1]):
+        start -= 1
+    last = known[start:]
+    if len(last) < KNOWN_PIECES:
+        return known
+    together = _placed(reduce(DataFrame.unionByName, [piece for piece, _ in last]), "tag", "key")
+    return _merged([*known[:start], (together, sum(size for _, size in last))])
+
+
 def _level(fresh: DataFrame, active: DataFrame) -> DataFrame:
     """The URLs of one round with their state: done when active, else still new."""
     if active is fresh:
