@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webfrontier.functions.urls import url_domain, url_scheme
+from webfrontier.operators.links import extract_links
+from webfrontier.sources.responses import pages_to_responses
 from webfrontier.sources.sites import crawl_tag, site_configs
 
 PREFIX = "t1"
@@ -267,28 +269,39 @@ def sitemap_roots(pages: DataFrame, site_rows: DataFrame) -> DataFrame:
     return roots.join(site_rows.where(~F.col("ignoreSitemap")).select("tag"), "tag", "left_semi")
 
 
-def edges(pages: DataFrame) -> DataFrame:
-    """``(tag, src, dst)``: two links per page, for two runs over the same pages."""
+def _address() -> Column:
+    """The URL of a page as links name it: without its fragment and the slash at its end."""
+    return F.rtrim(F.split_part(F.col("url"), F.lit("#"), F.lit(1)), F.lit("/"))
+
+
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """``(url, code, headers, body)``: pages with links to two other pages behind their own ones."""
     n = pages.agg(F.count(F.lit(1))).scalar()
     number = F.col("page_id")
-    targets = F.array((number * 7 + 3) % n, (number * 5 + 1) % n)
-    runs = F.array(F.lit("s0"), F.lit("s1"))
-    return (
-        pages.select("page_id", F.explode(targets).alias("target"))
-        .select("page_id", "target", F.explode(runs).alias("tag"))
-        .select(
-            "tag",
-            F.col("page_id").cast("string").alias("src"),
-            F.col("target").cast("string").alias("dst"),
-        )
+    rows = pages.select(
+        _address().alias("url"), "html", ((number * 7 + 3) % n).alias("_one"), ((number * 5 + 1) % n).alias("_two")
     )
+    for name in ("_one", "_two"):
+        rows = rows.join(pages.select(number.alias(name), _address().alias(f"{name}_url")), name)
+
+    def anchor(name: str) -> Column:
+        return F.concat(F.lit('<a href="'), F.replace(F.col(f"{name}_url"), F.lit("&"), F.lit("&amp;")), F.lit('">n</a>'))
+
+    return pages_to_responses(rows.select("url", F.concat("html", anchor("_one"), anchor("_two")).alias("html")))
+
+
+def edges(pages: DataFrame) -> DataFrame:
+    """``(tag, src, dst)``: the links in the pages, for two runs over the same pages."""
+    runs = F.array(F.lit("s0"), F.lit("s1"))
+    found = extract_links(linked_pages(pages))
+    return found.select(F.explode(runs).alias("tag"), F.col("page").alias("src"), F.col("link").alias("dst"))
 
 
 def edge_seeds(pages: DataFrame) -> DataFrame:
     """The first page for one run, the last one for the other."""
     ends = F.array(
-        F.struct(F.lit("s0").alias("tag"), F.min("page_id").cast("string").alias("key")),
-        F.struct(F.lit("s1").alias("tag"), F.max("page_id").cast("string").alias("key")),
+        F.struct(F.lit("s0").alias("tag"), F.min_by(_address(), "page_id").alias("key")),
+        F.struct(F.lit("s1").alias("tag"), F.max_by(_address(), "page_id").alias("key")),
     )
     return pages.agg(ends.alias("ends")).select(F.inline("ends"))
 

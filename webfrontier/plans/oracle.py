@@ -244,10 +244,19 @@ STEPS: dict[str, str] = {
         FROM resp r JOIN sites s ON s.tag = r.tag""",
     "payload": "SELECT * FROM any_payload WHERE callback_url IS NOT NULL AND callback = 'search'",
     "nodes": "SELECT count(*) AS n, min(page_id) AS low, max(page_id) AS high FROM pages",
-    "edges": """
-        SELECT page_id AS src, unnest([(page_id * 7 + 3) % n, (page_id * 5 + 1) % n]) AS dst FROM pages, nodes""",
+    "addresses": "SELECT page_id, html, rtrim(split_part(url, '#', 1), '/') AS address FROM pages",
+    "web": f"""
+        SELECT p.page_id, 'web' AS tag, p.address AS url, {_domain('p.address')} AS host,
+               lower(split_part(p.address, '://', 1)) AS scheme,
+               p.html || '<a href="' || replace(a.address, '&', '&amp;') || '">n</a><a href="'
+                      || replace(b.address, '&', '&amp;') || '">n</a>' AS body
+        FROM addresses p CROSS JOIN nodes JOIN addresses a ON a.page_id = (p.page_id * 7 + 3) % n
+        JOIN addresses b ON b.page_id = (p.page_id * 5 + 1) % n""",
+    "web_links": "",
+    "edges": "SELECT DISTINCT page AS src, link AS dst FROM web_links WHERE link_type IS NOT NULL",
     "starts": """
-        SELECT 's0' AS tag, low AS node FROM nodes UNION ALL SELECT 's1', high FROM nodes""",
+        SELECT 's0' AS tag, address AS node FROM addresses, nodes WHERE page_id = low
+        UNION ALL SELECT 's1', address FROM addresses, nodes WHERE page_id = high""",
     "walk": """
         SELECT tag, node, 0 AS depth FROM starts
         UNION
@@ -264,6 +273,11 @@ STEPS: dict[str, str] = {
         FROM levels l, nodes""",
 }
 
+# The links of the pages of "web", by the same steps as those of "resp".
+STEPS["web_links"] = f"""
+        WITH hrefs0 AS ({STEPS["hrefs0"].replace("FROM resp WHERE crawlable", "FROM web")}),
+        hrefs1 AS ({STEPS["hrefs1"]}), hrefs AS ({STEPS["hrefs"]}) {STEPS["classified"]}"""
+
 
 def _used(body: str) -> list[str]:
     """Names of the steps a query needs, directly or through other steps."""
