@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webfrontier.operators import callbacks, links, stats
 from webfrontier.operators.frontier import latest_state
 from webfrontier.plans import derived as D
+from webfrontier.plans import queries
 from webfrontier.sources import responses
 from webfrontier.streaming import jobs
 
@@ -101,3 +102,23 @@ def test_delivery(spark, pages, tmp_path):
         str(tmp_path / "progress"),
     ).awaitTermination()
     _same(spark.read.parquet(str(tmp_path / "out")).drop("batch"), callbacks.payload(D.responses(rows), settings, "search"))
+
+
+def test_no_task_reads_the_whole_table_for_a_stream(spark, tmp_path):
+    """Every task writes a file of its own for each of the four batches."""
+    table = spark.range(4000).selectExpr("id AS page_id", "concat('u', id) AS url").repartition(4)
+    table.write.parquet(str(tmp_path / "pages.parquet"))
+    parts = D.table(spark, str(tmp_path), "pages").rdd.getNumPartitions()
+    assert parts > 1
+    seen = []
+
+    def note(batch, batch_id):
+        rows = batch.select("page_id", F.input_file_name().alias("file")).collect()
+        seen.append(([r["page_id"] for r in rows], len({r["file"] for r in rows})))
+
+    stream = queries._stream(spark, str(tmp_path), "pages", F.col("page_id") % 4 == 0)
+    progress = str(tmp_path / "progress")
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    assert [files for _, files in seen] == [parts] * 4
+    assert sorted(i for ids, _ in seen[:3] for i in ids) == list(range(4000))
+    assert sorted(seen[3][0]) == list(range(0, 4000, 4))
