@@ -673,3 +673,14 @@ def test_pipeline_run_equals_a_plain_version(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "exact_dedup", "ngram_join", "secret_scan", "best_fit_packing"
     ]
+
+
+def test_cells_that_can_link_nothing_are_dropped(spark):
+    """Columns of one component go, then nodes with too few columns; what is left to share is counted anew."""
+    cells = [(c, 1, c, 80, 80, 5, 1) for c in range(8)] + [(c, 2, c, 80, 80, 6, 1) for c in range(8)]
+    cells += [(c, 3, c, 80, 80, 7, 3) for c in range(4)] + [(7, 4, 7, 80, 80, 8, 4)]
+    schema = "column long, node long, place int, n int, most int, end long, component long"
+    got = ngram_join._open_cells(spark.createDataFrame(cells, schema)).collect()
+    rest = 80 - ngram_join._prefix(80)
+    assert sorted((r["column"], r["node"]) for r in got) == sorted([(c, n) for c in (0, 1, 2, 3, 7) for n in (1, 2)] + [(c, 3) for c in range(4)])
+    assert {r["node"]: r["most"] for r in got} == {1: rest + 5, 2: rest + 5, 3: rest + 4}

@@ -43,6 +43,11 @@ def _prefix(n: int) -> int:
     return min(n, n - -(-8 * n // 10) + needed_columns(n))
 
 
+def _behind_prefix(n: Column) -> Column:
+    """How many columns of a set of n are not among its rarest."""
+    return n - F.least(n, n - F.floor((8 * n + 9) / 10) + needed_columns(n))
+
+
 def _column_frequencies(docs: DataFrame) -> np.ndarray:
     """Logarithm of the frequency of each bucket: 2**_BUCKET_BITS bytes, whatever the input.
 
@@ -151,10 +156,9 @@ def incidence(docs: DataFrame) -> DataFrame:
 
 
 def _shared_columns(table: DataFrame) -> DataFrame:
-    """(column, node, n, most, end, behind) of the columns that two or more nodes have, for nodes that share enough of theirs.
+    """(column, node, place, n, most, end) of the columns that two or more nodes have, for nodes that share enough of theirs.
 
-    ``behind`` has the _LOOK_BACK columns of the table that come before this one in the node's order.
-    ``most`` is what a node can share with another whose columns end later: all but those of its columns that no other node has.
+    ``place`` is that of the column in the node's order. ``most`` is what a node can share with another whose columns end later: all but those of its columns that no other node has.
 
     Most columns belong to one document. Their rows stay narrow, and the table of shared columns is written, so
     the join has a plain exchange on both sides and adaptive execution can split a frequent column.
@@ -167,9 +171,22 @@ def _shared_columns(table: DataFrame) -> DataFrame:
     partner = needed_columns(F.floor(F.col("n") * 4 / 5))  # the smallest partner asks for no less
     most = (F.col("n") - F.col("_p") + F.col("_k")).cast("int").alias("most")
     rich = written(rich.filter(F.col("_k") >= partner).select("node", "n", most, "end"), "rich-nodes")
-    before = Window.partitionBy("node").orderBy("place").rowsBetween(-_LOOK_BACK, -1)
-    shared = shared.join(rich, "node").withColumn("behind", F.collect_list("column").over(before))
-    return shared.select("column", "node", "n", "most", "end", "behind")
+    return shared.join(rich, "node").select("column", "node", "place", "n", "most", "end")
+
+
+def _open_cells(shared: DataFrame) -> DataFrame:
+    """The rows of ``shared`` in columns that nodes of different components have, for nodes that have enough of these columns.
+
+    Similar nodes of different components share no other columns. So the rest can't link anything any more, and ``most`` counts
+    only these columns from now on.
+    """
+    kinds = shared.groupBy("column").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    open_ = written(kinds.filter("_low != _high").select("column"), "open-columns")
+    cells = settled(shared.join(open_, "column", "left_semi"), "open-cells")
+    rich = cells.groupBy("node", "n").agg(F.count(F.lit(1)).alias("_k"))
+    rich = rich.filter(F.col("_k") >= needed_columns(F.floor(F.col("n") * 4 / 5)))
+    rich = written(rich.select("node", (_behind_prefix(F.col("n")) + F.col("_k")).cast("int").alias("most")), "open-nodes")
+    return settled(cells.drop("most").join(rich, "node"), "open-rich-cells")
 
 
 def _close(a: str, b: str) -> Column:
@@ -198,7 +215,7 @@ def possible(pairs: DataFrame) -> DataFrame:
     only among the other's rarest columns. So both share at most k and what it has besides.
     """
     smaller = F.least("na", "nb")
-    rest = F.greatest(*[n - F.least(n, n - F.floor((8 * n + 9) / 10) + needed_columns(n)) for n in map(F.col, ("na", "nb"))])
+    rest = F.greatest(*map(_behind_prefix, map(F.col, ("na", "nb"))))
     enough = (F.col("k") >= needed_columns(smaller)) & (9 * (F.col("k") + rest) >= 4 * (F.col("na") + F.col("nb")))
     return pairs.filter(enough)
 
@@ -260,7 +277,7 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
     compares every node with one leader: each column has one, and of those of its columns a node takes the one with
     which it shares most. What is linked becomes one component. When few pairs of different components are left,
     or after some rounds, all of these are multiplied out; pairs inside a component need no comparison, as they
-    can't change it.
+    can't change it. After a round that found links, columns and nodes that have nothing left to tell are dropped.
     """
     shared = _shared_columns(table)
     # documents of equal sets met in different tasks are linked at once
@@ -269,7 +286,7 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
     links = written(same.join(first, "set_key").filter("a != b").select("a", "b"), "equal-sets")
     shared = _with_components(shared, links)
     sets = _sets(docs, shared.select("node").distinct())
-    rows = shared.count()
+    rows, pruned = shared.count(), False
     for number in range(_LEADER_ROUNDS):
         if _open_pairs(shared) <= (2 * rows if number else 0):
             break
@@ -283,11 +300,11 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
         more = settled(_similar(best, sets), "leader-links")
         if not more.isEmpty():
             links = links.union(more)
-            shared = _with_components(shared, links)
-    # Columns within one component have nothing left to tell.
-    open_ = shared.groupBy("column").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    left = shared.join(written(open_.filter("_low != _high").select("column"), "open-columns"), "column", "left_semi")
+            shared, pruned = _open_cells(_with_components(shared, links)), True
+    left = shared if pruned else _open_cells(shared)
+    before = Window.partitionBy("node").orderBy("place").rowsBetween(-_LOOK_BACK, -1)
     left = left.join(table.filter("node").select(F.col("doc_id").alias("node"), "mask"), "node")
+    left = left.withColumn("behind", F.collect_list("column").over(before))
     # A pair that shares a column just before this one was met there already, or before.
     once = "x.column = y.column AND x.node < y.node AND x.component != y.component AND NOT arrays_overlap(x.behind, y.behind)"
     met = left.alias("x").join(left.alias("y"), F.expr(once) & _close("x", "y") & _alike("x", "y"))
