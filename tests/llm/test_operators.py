@@ -684,3 +684,12 @@ def test_cells_that_can_link_nothing_are_dropped(spark):
     rest = 80 - ngram_join._prefix(80)
     assert sorted((r["column"], r["node"]) for r in got) == sorted([(c, n) for c in (0, 1, 2, 3, 7) for n in (1, 2)] + [(c, 3) for c in range(4)])
     assert {r["node"]: r["most"] for r in got} == {1: rest + 5, 2: rest + 5, 3: rest + 4}
+
+
+def test_a_word_is_kept_once_whatever_stands_behind_it():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    encoder, text = word_tokens.ChunkEncoder(path), "wort wort, Wort! wort. Über über, ..."
+    assert encoder.ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert {"wort", "über"} <= set(encoder.chunks) and not {"wort", "über"} & set(encoder.words)

@@ -12,9 +12,9 @@ from typing import Any
 
 import numpy as np
 
-#: A worker forgets its chunks, or its words, when these take so many bytes, by estimate, and keeps none of more letters than
+#: A worker forgets its chunks and marks when they take so many bytes, by estimate, and keeps none of more letters than
 #: LONG, such as texts without blanks are; ids do not depend on that.
-KEPT_BYTES = 170_000_000
+KEPT_BYTES = 300_000_000
 LONG = 64
 #: Estimate of what an entry takes besides its ids and four bytes for each of its letters.
 ENTRY_BYTES = 180
@@ -34,6 +34,29 @@ def byte_letters() -> dict[int, str]:
     return {**{x: chr(x) for x in kept}, **{x: chr(256 + at) for at, x in enumerate(rest)}}
 
 
+class _Chunks(dict):
+    """Ids of the chunks met; one that is looked up for the first time is encoded, and kept if it is not long.
+
+    The letters of a plain chunk are a chunk themselves, so each word is kept once, whatever marks stand behind it.
+    """
+
+    def __init__(self, encoder: ChunkEncoder) -> None:
+        self.encoder = encoder
+        self.bytes = 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        if plain := _PLAIN.fullmatch(chunk):
+            letters, marks = plain.groups()
+            word = letters.lower()
+            ids = self.encoder.spell(chunk) if word == chunk else self[word] + self.encoder.word(marks) if marks else self[word]
+        else:
+            ids = self.encoder.whole(chunk)
+        if len(chunk) <= LONG:
+            self[chunk] = ids
+            self.bytes += ENTRY_BYTES + 4 * len(chunk) + len(ids)
+        return ids
+
+
 class ChunkEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -41,49 +64,40 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.packed = [_pack([x]) for x in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.word_bytes = self.chunk_bytes = 0
+        self.chunks = _Chunks(self)
+        self.word_bytes = 0
+
+    @property
+    def chunk_bytes(self) -> int:
+        return self.chunks.bytes
 
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+    def spell(self, word: str) -> bytes:
+        # printable ASCII is spelled as it is, and letters and marks have no other
+        spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return b"".join([self.packed[x.id] for x in self.model.tokenize(spelled)])
+
+    def word(self, marks: str) -> bytes:
+        ids = self.words.get(marks)
         if ids is None:
-            spelled = "".join(map(self.letters.__getitem__, word.encode()))
-            ids = _pack([x.id for x in self.model.tokenize(spelled)])
-            if len(word) <= LONG:
-                self.words[word] = ids
-                self.word_bytes += ENTRY_BYTES + 4 * len(word) + len(ids)
+            ids = self.spell(marks)
+            if len(marks) <= LONG:
+                self.words[marks] = ids
+                self.word_bytes += ENTRY_BYTES + 4 * len(marks) + len(ids)
         return ids
 
-    def chunk(self, chunk: str) -> bytes:
-        if plain := _PLAIN.fullmatch(chunk):
-            letters, marks = plain.groups()
-            return self.word(letters.lower()) + (self.word(marks) if marks else b"")
+    def whole(self, chunk: str) -> bytes:
         return _pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text as uint32."""
         chunks = _ODD.split(text) if _CONTROLS.search(text) else text.split()
-        kept = self.chunks
-        try:
-            data = b"".join(map(kept.__getitem__, chunks))
-        except KeyError:
-            if self.chunk_bytes > KEPT_BYTES:
-                kept.clear()
-                self.chunk_bytes = 0
-            if self.word_bytes > KEPT_BYTES:
-                self.words.clear()
-                self.word_bytes = 0
-            long: dict[str, bytes] = {}
-            for chunk in set(chunks).difference(kept):
-                ids = self.chunk(chunk)
-                if len(chunk) > LONG:
-                    long[chunk] = ids
-                else:
-                    kept[chunk] = ids
-                    self.chunk_bytes += ENTRY_BYTES + 4 * len(chunk) + len(ids)
-            found = (long[x] if x in long else kept[x] for x in chunks) if long else map(kept.__getitem__, chunks)
-            data = b"".join(found)
+        if self.chunks.bytes + self.word_bytes > KEPT_BYTES:
+            self.chunks.clear()
+            self.words.clear()
+            self.chunks.bytes = self.word_bytes = 0
+        data = b"".join(map(self.chunks.__getitem__, chunks))
         return np.frombuffer(data, np.uint32)
 
 
