@@ -693,3 +693,19 @@ def test_a_word_is_kept_once_whatever_stands_behind_it():
     encoder, text = word_tokens.ChunkEncoder(path), "wort wort, Wort! wort. Über über, ..."
     assert encoder.ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     assert {"wort", "über"} <= set(encoder.chunks) and not {"wort", "über"} & set(encoder.words)
+
+
+def test_merging_looks_up_only_what_changed():
+    class Counted(dict):
+        calls = 0
+
+        def get(self, *args):
+            self.calls += 1
+            return super().get(*args)
+
+    codec = piece_codec.PieceCodec(vocabulary("piece_bpe_32k.model"))
+    codec.scores = Counted(codec.scores)
+    word = "▁internationalisation"
+    parts = codec.merged(word)
+    assert "".join(parts) == word and len(parts) < len(word)
+    assert codec.scores.calls <= 3 * len(word)

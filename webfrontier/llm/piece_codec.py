@@ -45,7 +45,7 @@ class PieceCodec:
         self.names = [str(i) for i in range(count)]
         self.ids = {p: i for i, p in enumerate(pieces) if not (special[i] or model.is_byte(i))}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
-        self.touching = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.touching = {pair for p in self.ids for pair in zip(p, p[1:])}
         self.whole = any(a != SPACE and b == SPACE for a, b in self.touching)  # then spaces are no borders
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
@@ -63,19 +63,26 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[str]:
         """Merging as it is defined, for short texts: the best-scored neighbours first, of equals the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            scored = [(self.scores.get(a + b), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-            best, at = max(((s, i) for s, i in scored if s is not None), default=(None, 0))
-            if best is None:
+        parts, none = list(text), float("-inf")
+        score = self.scores.get
+        scored = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scored:
+            best = max(scored)
+            if best == none:
                 break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            at = scored.index(best)
+            parts[at] += parts.pop(at + 1)
+            del scored[at]
+            if at:  # only the neighbours of what was merged have other scores now
+                scored[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scored):
+                scored[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
         found = self.pairs.get((left, right))
         if found is None:
-            if left[-1] + right[0] in self.touching:
+            if (left[-1], right[0]) in self.touching:
                 found = self.merged(left + right) == [left, right]
             else:
                 found = True
@@ -131,7 +138,8 @@ class PieceCodec:
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a chunk, cut where no piece has the two letters side by side."""
-        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.touching]
+        touching = self.touching
+        cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:]), 1) if pair not in touching]
         ends = [*cuts, len(chunk)]
         return tuple(chain.from_iterable(self.part(chunk[a:b]) for a, b in zip([0, *cuts], ends)))
 
