@@ -709,3 +709,14 @@ def test_merging_looks_up_only_what_changed():
     parts = codec.merged(word)
     assert "".join(parts) == word and len(parts) < len(word)
     assert codec.scores.calls <= 3 * len(word)
+
+
+@pytest.mark.parametrize("unit", [b"a", b"abc", b"0123456789" * 3, bytes(range(90))])
+def test_anchors_of_windows(unit):
+    data = np.frombuffer((unit * 300)[:400] + bytes(range(60, 250)) + (unit * 300)[:300], np.uint8)
+    grams, width = suffix_dedup.gram_hashes(data), suffix_dedup.WINDOW - suffix_dedup.GRAM + 1
+    value, place = suffix_dedup.window_anchors(data)
+    assert len(value) == len(place) == len(grams) - width + 1
+    for i in range(len(value)):
+        near = grams[i : i + width]
+        assert value[i] == near.min() and place[i] == i + near.argmin()

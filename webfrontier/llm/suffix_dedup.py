@@ -31,15 +31,21 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash and the place of the smallest gram of every window, of equal ones the first."""
-    value = gram_hashes(data)
-    place = np.arange(len(value))
-    reach, width = 1, WINDOW - GRAM + 1
+    grams = gram_hashes(data)
+    value, reach, width = grams, 1, WINDOW - GRAM + 1
     while reach < width:
         step = min(reach, width - reach)
-        less = value[step:] < value[:-step]
-        value = np.where(less, value[step:], value[:-step])
-        place = np.where(less, place[step:], place[:-step])
+        value = np.minimum(value[:-step], value[step:])
         reach += step
+    # The place changes where the hash does, and behind a gram that comes again in the windows after it.
+    begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    first = begin + np.argmax(np.lib.stride_tricks.sliding_window_view(grams, width)[begin] == value[begin, None], axis=1)
+    last = np.append(begin[1:], len(value)) - 1
+    place = np.repeat(first, last - begin + 1)
+    for run in np.flatnonzero(last > first):
+        at, end = begin[run], last[run] + 1
+        hits = first[run] + np.flatnonzero(grams[first[run] : end - 1 + width] == value[at])
+        place[at:end] = hits[hits.searchsorted(np.arange(at, end))]
     return value, place
 
 
