@@ -720,3 +720,11 @@ def test_anchors_of_windows(unit):
     for i in range(len(value)):
         near = grams[i : i + width]
         assert value[i] == near.min() and place[i] == i + near.argmin()
+
+
+def test_sets_that_no_pair_names_are_not_exchanged(spark, monkeypatch):
+    sets = spark.createDataFrame([(x, bytes(8)) for x in range(6)], "node long, shingles binary")
+    pairs = spark.createDataFrame([(1, 3), (3, 4), (3, 9)], "a long, b long")
+    assert sorted(r["node"] for r in ngram_join._of_pairs(sets, "node", pairs).collect()) == [1, 3, 4]
+    monkeypatch.setattr(ngram_join, "_FEW_NODES", 3)
+    assert ngram_join._of_pairs(sets, "node", pairs).count() == 6

@@ -30,6 +30,8 @@ _LOOK_BACK = 4
 _MASK_WORDS = 16
 #: Rounds that compare with one leader per column, before all that is left is multiplied out.
 _LEADER_ROUNDS = 4
+#: Ids of nodes that are broadcast at most, 16 MB of them, to leave the rows of all others where they lie.
+_FEW_NODES = 2_000_000
 
 
 def needed_columns(n: Column | int):
@@ -220,9 +222,18 @@ def possible(pairs: DataFrame) -> DataFrame:
     return pairs.filter(enough)
 
 
+def _of_pairs(rows: DataFrame, name: str, pairs: DataFrame) -> DataFrame:
+    """The rows whose node is in ``pairs``, a written table; all rows where these are too many nodes to be broadcast.
+
+    Rows with columns or whole sets are long, and pairs name few of them, so others are dropped before the exchange.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct()
+    return rows.join(F.broadcast(nodes), name, "left_semi") if nodes.count() <= _FEW_NODES else rows
+
+
 def _counted(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Pairs (a, b, k) of (a, b, na, nb) that can be similar, k counted on the rarest columns of both."""
-    own = table.filter("node").select("doc_id", "columns")
+    """Pairs (a, b, k) of a written table (a, b, na, nb) that can be similar, k counted on the rarest columns of both."""
+    own = _of_pairs(table.filter("node").select("doc_id", "columns"), "doc_id", pairs)
     for name in ("a", "b"):
         pairs = pairs.join(own.select(F.col("doc_id").alias(name), F.col("columns").alias(f"_{name}")), name)
     shared = F.size(F.array_intersect("_a", "_b")).alias("k")
@@ -230,7 +241,8 @@ def _counted(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar."""
+    """The pairs of a written table whose whole sets are similar."""
+    sets = _of_pairs(sets, "node", pairs)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
 
@@ -296,7 +308,7 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
         leaders = written(shared.groupBy("column").agg(F.min(order).alias("lead")), "leaders").select("column", "lead.*")
         met = shared.alias("x").join(leaders.alias("y"), F.expr("x.column = y.column AND x.component != y.component") & _close("x", "y"))
         pairs = met.selectExpr("x.node AS a", "y.node AS b", "x.n AS na", "y.n AS nb")
-        best = _bounded(pairs).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        best = written(_bounded(pairs).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")), "best-leaders")
         more = settled(_similar(best, sets), "leader-links")
         if not more.isEmpty():
             links = links.union(more)
@@ -309,7 +321,7 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
     once = "x.column = y.column AND x.node < y.node AND x.component != y.component AND NOT arrays_overlap(x.behind, y.behind)"
     met = left.alias("x").join(left.alias("y"), F.expr(once) & _close("x", "y") & _alike("x", "y"))
     met = written(met.selectExpr("x.node AS a", "y.node AS b", "x.n AS na", "y.n AS nb").distinct(), "last-pairs")
-    pairs = _counted(met, table)
+    pairs = written(_counted(met, table), "counted-pairs")
     return links.union(settled(_similar(pairs, sets), "last-links"))
 
 
