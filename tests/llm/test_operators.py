@@ -362,6 +362,18 @@ def test_simple8b(most):
         assert (found[place : place + length] == values[start : start + length]).all()
 
 
+@pytest.mark.parametrize("most", [(1 << 16) - 1, 1 << 16])
+def test_simple8b_takes_small_values_from_a_table(most):
+    """The same words with the table of small values as without, empty documents at both ends."""
+    values = np.array([most, 0, 1, 3, *range(200), most, *[0] * 70], np.uint32)
+    lengths = np.array([0, 3, 0, 1, len(values) - 4, 0])
+    words, offsets, escapes = simple8b.pack(values, lengths)
+    alone = [simple8b.pack(x, [len(x)])[0] for x in np.split(values, np.cumsum(lengths)[:-1])]
+    assert words.tolist() == np.concatenate(alone).tolist() and not len(escapes)
+    assert offsets.tolist() == np.cumsum([0, *map(len, alone[:-1])]).tolist()
+    assert (simple8b._OF_SMALL[[0, 1, 2, 65535]] == simple8b._layout_of(np.array([0, 1, 2, 65535], np.uint64))).all()
+
+
 def test_packing(case):
     docs, rows = case
     pieces = packing.token_pieces(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=512)
@@ -728,3 +740,29 @@ def test_sets_that_no_pair_names_are_not_exchanged(spark, monkeypatch):
     assert sorted(r["node"] for r in ngram_join._of_pairs(sets, "node", pairs).collect()) == [1, 3, 4]
     monkeypatch.setattr(ngram_join, "_FEW_NODES", 3)
     assert ngram_join._of_pairs(sets, "node", pairs).count() == 6
+
+
+def test_texts_of_sets_stay_where_they_lie(spark, monkeypatch):
+    """Few nodes are broadcast, so no text is exchanged for its set."""
+    plans = []
+    monkeypatch.setattr(ngram_join, "settled", lambda rows, name: plans.append(rows._jdf.queryExecution().toString()) or rows)
+    docs = spark.createDataFrame([(x, f"a b c d e {x}") for x in range(50)], "doc_id long, text string").repartition(3).localCheckpoint()
+    nodes = spark.createDataFrame([(x,) for x in range(0, 50, 5)], "node long").localCheckpoint()
+    monkeypatch.setattr(ngram_join, "_FEW_NODES", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r["node"] for r in ngram_join._sets(docs, nodes).collect()) == list(range(0, 50, 5))
+        monkeypatch.setattr(ngram_join, "_FEW_NODES", 9)
+        assert ngram_join._sets(docs, nodes).count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plans[0] and "Exchange hashpartitioning" in plans[1]
+
+
+@pytest.mark.parametrize("size", [24, 25, 40, 333])
+def test_gram_hashes_of_equal_grams(size):
+    data = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+    found = suffix_dedup.gram_hashes(np.concatenate([data, data]))
+    assert len(found) == 2 * size - 23
+    alone = [suffix_dedup.gram_hashes(np.concatenate([data, data])[x : x + 24])[0] for x in range(len(found))]
+    assert found.tolist() == [int(x) for x in alone] and len(set(alone)) == size

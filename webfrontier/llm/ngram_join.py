@@ -30,6 +30,8 @@ _LOOK_BACK = 4
 _MASK_WORDS = 16
 #: Rounds that compare with one leader per column, before all that is left is multiplied out.
 _LEADER_ROUNDS = 4
+#: Pairs for each row of the first round that may be left to multiply out.
+_OPEN_PAIRS = 4
 #: Ids of nodes that are broadcast at most, 16 MB of them, to leave the rows of all others where they lie.
 _FEW_NODES = 2_000_000
 
@@ -259,14 +261,15 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Whole shingle sets of the nodes as sorted bytes."""
+    """Whole shingle sets of the nodes, a written table, as sorted bytes. Few enough ids are broadcast, so texts stay where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, group in texts(batches):
             data = [pa.array(ids, pa.int64()), pa.array([shingle_set(x).tobytes() for x in group], pa.binary())]
             yield pa.RecordBatch.from_arrays(data, names=["node", "shingles"])
 
-    plain = docs.select(id_column().alias("node"), whole_text().alias("text")).join(nodes, "node", "left_semi")
+    few = F.broadcast(nodes) if nodes.count() <= _FEW_NODES else nodes
+    plain = docs.select(id_column().alias("node"), whole_text().alias("text")).join(few, "node", "left_semi")
     return settled(plain.mapInArrow(run, "node long, shingles binary"), "shingle-sets")
 
 
@@ -297,10 +300,10 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
     first = same.groupBy("set_key").agg(F.min("a").alias("b"))
     links = written(same.join(first, "set_key").filter("a != b").select("a", "b"), "equal-sets")
     shared = _with_components(shared, links)
-    sets = _sets(docs, shared.select("node").distinct())
+    sets = _sets(docs, written(shared.select("node").distinct(), "shared-nodes"))
     rows, pruned = shared.count(), False
     for number in range(_LEADER_ROUNDS):
-        if _open_pairs(shared) <= (2 * rows if number else 0):
+        if number and _open_pairs(shared) <= _OPEN_PAIRS * rows:
             break
         # First the leader that has least of its own, the middle of a group of near copies; later others by chance.
         own = F.lit(0.0) if number else 1 - F.col("most") / F.col("n")
