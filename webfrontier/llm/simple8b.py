@@ -17,6 +17,17 @@ FIRST = 2
 WIDTHS = [x[1] for x in LAYOUTS]
 
 
+def _layout_of(values: np.ndarray) -> np.ndarray:
+    """The narrowest layout that takes a value, len(LAYOUTS) if none does."""
+    narrow = np.zeros(len(values), np.uint8)
+    for bits in WIDTHS:
+        narrow += values >= np.uint64(1 << bits)
+    return narrow
+
+
+_OF_SMALL = _layout_of(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packs documents that lie one after another, each by the widest fit at every step.
 
@@ -29,30 +40,26 @@ def pack(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     gap = LAYOUTS[0][0]
     firsts = np.cumsum(lengths + gap) - lengths - gap
     padded = np.zeros(int(lengths.sum()) + gap * len(lengths), np.uint64)
-    inside = np.zeros(len(padded), bool)
-    moved = np.arange(len(values)) + np.repeat(firsts - (np.cumsum(lengths) - lengths), lengths)
-    padded[moved], inside[moved] = values, True
-    narrow = np.zeros(len(padded), np.uint8)  # bits of the widest value among those from here on that a layout takes
-    for bits in WIDTHS:
-        narrow += padded >= np.uint64(1 << bits)
+    padded[np.arange(len(values)) + np.repeat(firsts - (np.cumsum(lengths) - lengths), lengths)] = values
     chosen = np.full(len(padded), 255, np.uint8)
-    widest, taken = narrow, 1
+    # the layout of the widest value among those from here on that a layout takes
+    widest = _OF_SMALL[padded.astype(np.uint16)] if int(values.max()) < len(_OF_SMALL) else _layout_of(padded)
+    taken = 1
     for number in range(len(LAYOUTS) - 1, -1, -1):
-        count, bits = LAYOUTS[number]
+        count = LAYOUTS[number][0]
         while taken < count:  # the maximum over more values from that over fewer
             more = min(taken, count - taken)
             grown = widest.copy()
             np.maximum(widest[:-more], widest[more:], out=grown[:-more])
             widest, taken = grown, taken + more
-        np.copyto(chosen, number, where=widest <= WIDTHS.index(bits))
+        np.copyto(chosen, number, where=widest <= number)
     counts = np.append(np.array([x[0] for x in LAYOUTS]), 1)[np.minimum(chosen, len(LAYOUTS))]
-    following = np.where(inside, np.arange(len(padded)) + counts, np.repeat(np.append(firsts[1:], len(padded)), lengths + gap))
-    hops, places, place = following.tolist(), [], 0
-    while place < len(hops):
-        places.append(place)
-        place = hops[place]
+    steps, places = counts.astype(np.uint8).tobytes(), []
+    for place, end in zip(firsts.tolist(), (firsts + lengths).tolist()):
+        while place < end:
+            places.append(place)
+            place += steps[place]
     starts = np.array(places)
-    starts = starts[inside[starts]]
     kinds = chosen[starts]
     sizes = np.where(kinds == 255, 2, 1)
     spots = np.cumsum(sizes) - sizes
