@@ -766,3 +766,29 @@ def test_gram_hashes_of_equal_grams(size):
     assert len(found) == 2 * size - 23
     alone = [suffix_dedup.gram_hashes(np.concatenate([data, data])[x : x + 24])[0] for x in range(len(found))]
     assert found.tolist() == [int(x) for x in alone] and len(set(alone)) == size
+
+
+def test_short_texts_are_looked_at_together(monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, 90) for _ in range(60)]
+    texts += ["", "é" * 50, "é" * 49, "a" * 99, "a" * 100, "ab" * 3000, texts[3] + texts[4], prose(rng, 9000), texts[0]]
+    alone = [suffix_dedup.runs([text]) for text in texts]
+    expected = [np.concatenate([np.full(len(x[k]), n) if k == 0 else x[k] for n, x in enumerate(alone)]) for k in range(6)]
+    calls, anchors = [], suffix_dedup.window_anchors
+    monkeypatch.setattr(suffix_dedup, "window_anchors", lambda data: calls.append(1) or anchors(data))
+    for got, want in zip(suffix_dedup.runs(texts), expected, strict=True):
+        assert got.tolist() == want.tolist()
+    assert len(calls) <= 5
+
+
+def test_spans_of_many_texts_are_merged_at_once():
+    rng = np.random.default_rng(6)
+    rows, start = rng.integers(0, 30, 400), rng.integers(0, 3000, 400)
+    end = start + rng.integers(1, 60, 400)
+    got = list(zip(*(x.tolist() for x in repeats.touching(rows, start, end))))
+    spans = defaultdict(list)
+    for row, a, b in zip(rows.tolist(), start.tolist(), end.tolist()):
+        spans[row].append((a, b))
+    assert got == [(row, *x) for row in sorted(spans) for x in repeats.merged_spans(spans[row], 10**6)]
+    none = np.zeros(0, np.int64)
+    assert not any(len(x) for x in repeats.touching(none, none, none))

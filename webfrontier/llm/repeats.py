@@ -115,12 +115,13 @@ def earlier_windows(
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Rolling, np.ndarray, np.ndarray]]:
         """Id, values, and start and anchor of every window of a text's rows."""
         for batch in batches:
+            bounds, (start, n, at) = list_items(batch.column(2))
             for row in range(batch.num_rows):
-                doc_id, text, found = (batch.column(k)[row].as_py() for k in range(3))
-                count = np.array([x["n"] for x in found])
-                first = np.repeat([x["start"] for x in found], count)
+                doc_id, text = (batch.column(k)[row].as_py() for k in range(2))
+                own = slice(bounds[row], bounds[row + 1])
+                count = n[own]
                 inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                yield doc_id, Rolling(values(text)), first + inside, np.repeat([x["at"] for x in found], count)
+                yield doc_id, Rolling(values(text)), np.repeat(start[own], count) + inside, np.repeat(at[own], count)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, window, at in parts(batches):
@@ -154,6 +155,21 @@ def earlier_windows(
     return settled(spans.groupBy("doc_id").agg(F.collect_list(ends).alias("spans")), "spans")
 
 
+def list_items(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where the items of every row's list of structs begin and end, and the fields of all items as 64-bit numbers."""
+    return column.offsets.to_numpy(), [x.to_numpy().astype(np.int64) for x in column.values.flatten()]
+
+
+def touching(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, start, end) with those of a row that overlap or touch made one, in order of row and start."""
+    low, high = (rows << 32) + start, (rows << 32) + end
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    fresh = np.flatnonzero(low[1:] > high[:-1]) + 1
+    low, high = low[np.append(0, fresh)[: len(low)]], high[np.append(fresh, len(high))[: len(low)] - 1]
+    return low >> 32, low & 0xFFFFFFFF, high & 0xFFFFFFFF
+
+
 def merged_spans(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     """Maximal runs that the spans cover, cut to the size of the text."""
     out: list[list[int]] = []
@@ -176,9 +192,14 @@ def map_spans(docs: DataFrame, spans: DataFrame, function: Callable, schema: str
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = []
-                for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    found.append(function(text, [(x["start"], x["end"]) for x in own or ()]))
+                found, spans = [], [[] for _ in range(part.num_rows)]
+                bounds, (start, end) = list_items(part.column(2))
+                items = slice(bounds[0], bounds[-1])
+                rows = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                for row, *span in zip(*(x.tolist() for x in touching(rows, start[items], end[items]))):
+                    spans[row].append(tuple(span))
+                for text, own in zip(part.column(1).to_pylist(), spans):
+                    found.append(function(text, own))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*found))], names=names)
 
     joined = docs.join(spans, "doc_id", "left").select("doc_id", whole_text().alias("text"), "spans")

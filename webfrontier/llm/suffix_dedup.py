@@ -14,6 +14,8 @@ from webfrontier.llm.shingles import mixed
 WINDOW = 100
 #: A window is known by the smallest, by a hash, of the strings of so many bytes in it.
 GRAM = 24
+#: Short texts are looked at together, so many bytes at a time.
+_CHUNK = 1 << 15
 _LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -52,16 +54,35 @@ def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def runs(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Number of the text, key, content, first window, number of windows and anchor of all runs of some texts."""
     found = [tuple(np.zeros(0, np.int64) for _ in range(6))]
+    held, size = [], 0
     for number, text in enumerate(texts):
-        data = np.frombuffer(text.encode(), np.uint8)
+        data = text.encode()
         if len(data) >= WINDOW:
-            names, places = window_anchors(data)
-            start, count = runs_of(places)
-            content = Rolling(_LETTER[data]).stretch(start, start + count - 1 + WINDOW)
-            found.append((np.full(len(start), number), names[start].view(np.int64), content, start, count, places[start]))
+            held.append((number, data))
+            size += len(data)
+        if size >= _CHUNK:
+            found.append(_runs_together(held))
+            held, size = [], 0
+    if held:
+        found.append(_runs_together(held))
     return tuple(map(np.concatenate, zip(*found)))
 
 
+def _runs_together(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+    """The runs of numbered texts, laid end to end; windows across a seam are left out."""
+    numbers, sizes = np.array([x for x, _ in texts]), np.array([len(x) for _, x in texts])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(x for _, x in texts), np.uint8)
+    names, places = window_anchors(data)
+    whole = np.flatnonzero(np.arange(WINDOW, len(data) + 1) <= np.repeat(ends, sizes)[: len(names)])
+    first, count = runs_of(places[whole])  # texts have no place in common
+    start = whole[first]
+    content = Rolling(_LETTER[data]).stretch(start, start + count - 1 + WINDOW)
+    text = np.searchsorted(ends, start, side="right")
+    begin = (ends - sizes)[text]
+    return numbers[text], names[start].view(np.int64), content, start - begin, count, places[start] - begin
+
+
 def values(text: str) -> np.ndarray:
     return _LETTER[np.frombuffer(text.encode(), np.uint8)]
 
