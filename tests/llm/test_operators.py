@@ -792,3 +792,20 @@ def test_spans_of_many_texts_are_merged_at_once():
     assert got == [(row, *x) for row in sorted(spans) for x in repeats.merged_spans(spans[row], 10**6)]
     none = np.zeros(0, np.int64)
     assert not any(len(x) for x in repeats.touching(none, none, none))
+
+
+def test_cells_stay_by_their_columns(spark, monkeypatch):
+    """Few nodes' numbers are broadcast, so no cell is exchanged for them."""
+    cells = spark.createDataFrame([(n % 7, n % 20) for n in range(140)], "column long, node long").localCheckpoint()
+    nodes = spark.createDataFrame([(x, 2 * x) for x in range(10)], "node long, n long").localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for most in (10, 9):
+            monkeypatch.setattr(ngram_join, "_FEW_ROWS", most)
+            rows = ngram_join._with_nodes(cells, nodes)
+            found.append((rows._jdf.queryExecution().toString(), sorted(map(tuple, rows.collect()))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in found[0][0] and "Exchange hashpartitioning" in found[1][0]
+    assert found[0][1] == found[1][1] and len(found[0][1]) == 70

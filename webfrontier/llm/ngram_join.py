@@ -34,6 +34,8 @@ _LEADER_ROUNDS = 4
 _OPEN_PAIRS = 4
 #: Ids of nodes that are broadcast at most, 16 MB of them, to leave the rows of all others where they lie.
 _FEW_NODES = 2_000_000
+#: Rows with one node's numbers that are broadcast at most, some 30 MB of them, to leave the cells by their columns.
+_FEW_ROWS = 500_000
 
 
 def needed_columns(n: Column | int):
@@ -159,6 +161,14 @@ def incidence(docs: DataFrame) -> DataFrame:
     return written(map_texts(plain, run, schema), "shingle-columns")
 
 
+def _with_nodes(cells: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
+    """The cells with what ``nodes``, a written table, has of their nodes.
+
+    Cells lie by their columns. As long as few rows are broadcast they stay so, and what is grouped by column meets before its exchange.
+    """
+    return cells.join(F.broadcast(nodes) if nodes.count() <= _FEW_ROWS else nodes, "node", how)
+
+
 def _shared_columns(table: DataFrame) -> DataFrame:
     """(column, node, place, n, most, end) of the columns that two or more nodes have, for nodes that share enough of theirs.
 
@@ -175,7 +185,7 @@ def _shared_columns(table: DataFrame) -> DataFrame:
     partner = needed_columns(F.floor(F.col("n") * 4 / 5))  # the smallest partner asks for no less
     most = (F.col("n") - F.col("_p") + F.col("_k")).cast("int").alias("most")
     rich = written(rich.filter(F.col("_k") >= partner).select("node", "n", most, "end"), "rich-nodes")
-    return shared.join(rich, "node").select("column", "node", "place", "n", "most", "end")
+    return _with_nodes(shared, rich).select("column", "node", "place", "n", "most", "end")
 
 
 def _open_cells(shared: DataFrame) -> DataFrame:
@@ -190,7 +200,7 @@ def _open_cells(shared: DataFrame) -> DataFrame:
     rich = cells.groupBy("node", "n").agg(F.count(F.lit(1)).alias("_k"))
     rich = rich.filter(F.col("_k") >= needed_columns(F.floor(F.col("n") * 4 / 5)))
     rich = written(rich.select("node", (_behind_prefix(F.col("n")) + F.col("_k")).cast("int").alias("most")), "open-nodes")
-    return settled(cells.drop("most").join(rich, "node"), "open-rich-cells")
+    return settled(_with_nodes(cells.drop("most"), rich), "open-rich-cells")
 
 
 def _close(a: str, b: str) -> Column:
@@ -274,7 +284,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
-    labelled = shared.drop("component").join(connected(links), "node", "left")
+    labelled = _with_nodes(shared.drop("component"), connected(links), "left")
     return settled(labelled.withColumn("component", F.coalesce("component", "node")), "labelled-cells")
 
 
