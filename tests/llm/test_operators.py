@@ -809,3 +809,62 @@ def test_cells_stay_by_their_columns(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange hashpartitioning" not in found[0][0] and "Exchange hashpartitioning" in found[1][0]
     assert found[0][1] == found[1][1] and len(found[0][1]) == 70
+
+
+def test_pairs_of_a_column_meet_in_compiled_code(spark):
+    """The JVM interprets methods of over 8000 bytes, and the loop over the pairs of a column is one method."""
+    schema = "column long, node long, n int, most int, end long, component long, mask array<long>, beside int, behind array<long>"
+    cells = spark.createDataFrame([(1, 1, 9, 9, 1, 1, [1] * 16, 0, [2]), (1, 2, 9, 9, 2, 2, [1] * 16, 0, [3])], schema)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        met = ngram_join._met(cells)
+        plan = spark._jvm.PythonSQLUtils.explainString(met._jdf.queryExecution(), "codegen")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = [int(x) for part in plan.split("== Subtree")[1:] if "SortMergeJoin" in part for x in re.findall(r"maxMethodCodeSize:(\d+)", part)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_masks_tell_sets_apart(spark):
+    """A node's common bits and the columns beside its mask are never fewer than what two sets share."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 700).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (5, 90, 400, 600)] + [np.unique(pool[:650]), np.unique(pool)]
+    rows = [(n, len(x), ngram_join._mask(x).tolist()) for n, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, n int, mask array<long>").withColumn("beside", ngram_join._beside_mask("mask", "n"))
+    got = nodes.alias("x").crossJoin(nodes.alias("y")).select("x.node", "y.node", ngram_join._alike("x", "y")).collect()
+
+    def alike(a, b):
+        x, y = (np.unpackbits(ngram_join._mask(sets[k]).view(np.uint8)).astype(bool) for k in (a, b))
+        most = min(len(sets[a]) - int((x & ~y).sum()), len(sets[b]) - int((y & ~x).sum()))
+        return 9 * most >= 4 * (len(sets[a]) + len(sets[b]))
+
+    assert {(a, b): found for a, b, found in got} == {(a, b): alike(a, b) for a in range(6) for b in range(6)}
+
+
+def test_a_round_that_links_nothing_is_the_last(spark, monkeypatch):
+    """One passage makes the larger part of many texts that are not similar: no leader is like another one."""
+    rng = random.Random(4)
+    passage = prose(rng, 104)
+    rows = [(n, f"{passage} {prose(rng, 18)}") for n in range(40)]
+    rounds, similar = [], ngram_join._similar
+    monkeypatch.setattr(ngram_join, "_similar", lambda pairs, sets: rounds.append(1) or similar(pairs, sets))
+    same(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), components_of(rows))
+    assert len(rounds) == 2
+
+
+def test_a_round_of_components_groups_its_links_once(spark, monkeypatch):
+    groups, written = [], components.written
+
+    def counted(rows, name):
+        groups.append(rows._jdf.queryExecution().optimizedPlan().toString().count("Aggregate"))
+        return written(rows, name)
+
+    monkeypatch.setattr(components, "written", counted)
+    links = spark.createDataFrame([(n, n // 2) for n in range(1, 40)], "a long, b long")
+    assert {r["component"] for r in components.connected(links).collect()} == {0}
+    assert sum(groups) == 1

@@ -22,8 +22,6 @@ from webfrontier.llm.shingles import shingle_set
 
 #: Columns are counted in so many buckets to put frequent ones last. The counts only order the columns.
 _BUCKET_BITS, _BLOCK = 24, 1 << 15
-#: Rows of a frequent set are met in so many parts before they are met as a whole.
-_PARTS = 16
 #: A pair is not met again in a column if it shares one of so many before it.
 _LOOK_BACK = 4
 #: Words of 64 bits that tell whole sets apart before they are compared.
@@ -113,14 +111,20 @@ def _mask(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _alike(a: str, b: str) -> Column:
-    """Whether two nodes can be similar by their masks: each bit that only one has stands for a column that only it has."""
+def _beside_mask(mask: str, n: str) -> Column:
+    """How many columns of a node share their bits with its others."""
+    return F.expr(f"{n} - ({' + '.join(f'bit_count({mask}[{i}])' for i in range(_MASK_WORDS))})").cast("int")
 
-    def missing(x: str, y: str) -> Column:
-        return F.expr(" + ".join(f"bit_count({x}.mask[{i}] & ~{y}.mask[{i}])" for i in range(_MASK_WORDS)))
 
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return 9 * F.least(n_a - missing(a, b), n_b - missing(b, a)) >= 4 * (n_a + n_b)
+def _alike(a: str, b: str) -> Column:
+    """Whether two nodes can be similar by their masks: each bit that only one has stands for a column that only it has.
+
+    So of n columns it shares all but its bits that the other one lacks: the common bits, and ``beside`` (_beside_mask). Written
+    so, the test stays small enough for the JVM to compile the loop over the pairs of a column; a loop of over
+    8000 bytes it interprets.
+    """
+    common = F.expr(" + ".join(f"bit_count({a}.mask[{i}] & {b}.mask[{i}])" for i in range(_MASK_WORDS)))
+    return 9 * (common + F.least(f"{a}.beside", f"{b}.beside")) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def incidence(docs: DataFrame) -> DataFrame:
@@ -295,14 +299,23 @@ def _open_pairs(shared: DataFrame) -> int:
     return int(columns.agg(F.sum("pairs")).first()[0] or 0)
 
 
+def _met(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of cells of a column whose nodes lie in different components and can be similar."""
+    other = F.expr("x.column = y.column AND x.node < y.node AND x.component != y.component")
+    # A pair that shares a column just before this one was met there already, or before.
+    once = F.expr("NOT arrays_overlap(x.behind, y.behind)")
+    met = cells.alias("x").join(cells.alias("y"), other & _close("x", "y") & _alike("x", "y") & once)
+    return met.selectExpr("x.node AS a", "y.node AS b", "x.n AS na", "y.n AS nb")
+
+
 def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that join all similar documents: not every pair, but every component.
 
     A column of one large group of near copies would give the square of its size in pairs. So each round first
     compares every node with one leader: each column has one, and of those of its columns a node takes the one with
     which it shares most. What is linked becomes one component. When few pairs of different components are left,
-    or after some rounds, all of these are multiplied out; pairs inside a component need no comparison, as they
-    can't change it. After a round that found links, columns and nodes that have nothing left to tell are dropped.
+    after a round that links nothing, or after some rounds, all of these are multiplied out; pairs inside a component need no
+    comparison, as they can't change it. After a round that found links, columns and nodes that have nothing left to tell are dropped.
     """
     shared = _shared_columns(table)
     # documents of equal sets met in different tasks are linked at once
@@ -321,19 +334,18 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
         leaders = written(shared.groupBy("column").agg(F.min(order).alias("lead")), "leaders").select("column", "lead.*")
         met = shared.alias("x").join(leaders.alias("y"), F.expr("x.column = y.column AND x.component != y.component") & _close("x", "y"))
         pairs = met.selectExpr("x.node AS a", "y.node AS b", "x.n AS na", "y.n AS nb")
-        best = written(_bounded(pairs).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")), "best-leaders")
+        best = written(_bounded(pairs.repartition("a")).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")), "best-leaders")
         more = settled(_similar(best, sets), "leader-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            shared, pruned = _open_cells(_with_components(shared, links)), True
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        shared, pruned = _open_cells(_with_components(shared, links)), True
     left = shared if pruned else _open_cells(shared)
     before = Window.partitionBy("node").orderBy("place").rowsBetween(-_LOOK_BACK, -1)
-    left = left.join(table.filter("node").select(F.col("doc_id").alias("node"), "mask"), "node")
+    masks = table.filter("node").select(F.col("doc_id").alias("node"), "mask", _beside_mask("mask", "n").alias("beside"))
+    left = left.join(masks, "node")
     left = left.withColumn("behind", F.collect_list("column").over(before))
-    # A pair that shares a column just before this one was met there already, or before.
-    once = "x.column = y.column AND x.node < y.node AND x.component != y.component AND NOT arrays_overlap(x.behind, y.behind)"
-    met = left.alias("x").join(left.alias("y"), F.expr(once) & _close("x", "y") & _alike("x", "y"))
-    met = written(met.selectExpr("x.node AS a", "y.node AS b", "x.n AS na", "y.n AS nb").distinct(), "last-pairs")
+    met = written(_met(left).distinct(), "last-pairs")
     pairs = written(_counted(met, table), "counted-pairs")
     return links.union(settled(_similar(pairs, sets), "last-links"))
 
@@ -349,18 +361,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     table = incidence(docs)
     found = connected(similar_links(docs, table)).withColumnRenamed("node", "doc_id")
-    # equal sets have one component, found by any node that has their columns; leaves meet in parts first
-    base = table.select("doc_id", "set_key", "n", "node").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)))
+    # equal sets have one component, found by any node that has their columns
+    base = table.select("doc_id", "set_key", "n", "node")
     own = F.when(F.col("node"), F.coalesce("component", "doc_id"))
-    labelled = base.join(found, "doc_id", "left").withColumn("component", own)
-    parts = labelled.groupBy("set_key", "part").agg(F.min("component").alias("component"))
-    whole = parts.groupBy("set_key").agg(F.min("component").alias("component"))
-    answers = written(parts.select("set_key", "part").join(whole, "set_key"), "set-components")
+    sets = base.filter("n > 0").join(found, "doc_id", "left").groupBy("set_key")
+    sets = written(sets.agg(F.min(own).alias("_c"), F.min("doc_id").alias("_first")), "set-components")
     # a component's smallest document may be a copy without columns: its label is the smallest over its sets
-    low = labelled.join(answers.withColumnRenamed("component", "_c"), ["set_key", "part"])
-    low = low.filter("n > 0").groupBy("_c").agg(F.min("doc_id").alias("_low"))
-    answers = answers.withColumnRenamed("component", "_c").join(written(low, "smallest-documents"), "_c", "left")
-    found = base.join(written(answers.select("set_key", "part", "_low"), "set-labels"), ["set_key", "part"])
+    low = written(sets.groupBy("_c").agg(F.min("_first").alias("_low")), "smallest-documents")
+    found = base.join(written(sets.join(low, "_c").select("set_key", "_low"), "set-labels"), "set_key", "left")
     label = F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id"))
     return found.select(
         id_back(),
