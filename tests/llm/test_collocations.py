@@ -7,7 +7,9 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+import zstandard
 
 from webfrontier.llm import collocations
 from webfrontier.llm.common import documents
@@ -94,3 +96,58 @@ def test_windows_are_the_longest_ones(table):
         ("long", "very", "long", "very", "long", 20_000), ("long", "long", "very", "long", "text", 20_000),
         ("long", "very", "long", "text", "", 20_000), ("long", "long", "text", "", "", 20_000), ("long", "text", "", "", "", 20_000),
     }
+
+
+def test_words_that_are_too_rare_are_counted_together(spark):
+    """Rows that travel are in proportion to what can be frequent enough, not to the words of the corpus."""
+    rows = [(n, " ".join(f"rare{n}x{i}" for i in range(500)) + ". often read. ", "en", "w", "n", 3) for n in range(40)]
+    counted = collocations.window_counts(spark.createDataFrame(rows, SCHEMA).repartition(3), 30)
+    found = {tuple(r) for r in counted.collect()}
+    assert {("en", "often", "read", "", "", 40), ("en", "read", "", "", "", 40)} < found and len(found) < 50
+    sizes = collocations.phrase_counts(counted).where("k = 0").collect()
+    assert [tuple(r) for r in sizes] == [("en", 0, "", 20_080)]
+
+
+def test_slots_do_not_fill_up(spark):
+    """Pairs that are there once stay below the count even where many of them share a slot's first 26 bits."""
+    words = [f"w{n}" for n in range(450)]
+    rows = [(n, ". ".join(f"{a} {b}" for b in words), "en", "w", "n", 3) for n, a in enumerate(words)]
+    counted = collocations.window_counts(spark.createDataFrame(rows, SCHEMA).repartition(3), 2)
+    assert counted.where("w2 <> ''").count() < 100
+    assert counted.agg({"n": "sum"}).first()[0] == 2 * 450 * 450
+
+
+def test_slots_travel_whole():
+    """Blocks come out as they went in, whatever the distances, and counts are added up to 255."""
+    top = (1 << collocations.SLOT_BITS) - 1
+    slots = np.array([0, 1, 70_000, (1 << 24) - 1, 1 << 24, top - 300, top], dtype=np.uint64)
+    parts = [(slots << np.uint64(8)) | np.uint64(n) for n in (1, 200, 60)]
+    found, unpack = [], zstandard.ZstdDecompressor()
+    for batch in collocations._packed_blocks([*parts[:2], parts[2][::2]]):
+        for block, *planes in zip(*(column.to_pylist() for column in batch.columns)):
+            found += [((block << 24) + int(x >> 8), int(x & 255)) for x in collocations._unpacked(planes, unpack)]
+    assert found == [(int(x), 255 if n % 2 == 0 else 201) for n, x in enumerate(slots)]
+
+
+def test_full_slots_find_room_in_the_table():
+    """Every full slot is found in the table, whatever its size, and most others are not."""
+    rng, blocks = np.random.default_rng(5), {}
+    slots = rng.choice(1 << collocations.SLOT_BITS, 20_000, replace=False).astype(np.uint64)
+    rows = list(collocations._packed_blocks([np.sort((slots << np.uint64(8)) | np.uint64(30))]))
+    n = 0
+    for batch in collocations._full_slots(30)(iter(rows)):
+        for row in batch.to_pylist():
+            blocks[row["block"]] = row["bits"]
+            n += row["n"]
+    for size, table in ((21, collocations._table(blocks, n)), (20, collocations._table({}, 0))):
+        assert 8 * len(table) == 1 << size
+    bits = np.unpackbits(collocations._table(blocks, n))
+    assert bits[slots >> np.uint64(collocations.SLOT_BITS - 21)].all() and bits.mean() < 1 / 64
+    assert not list(collocations._full_slots(31)(iter(rows)))
+
+
+def test_texts_are_cut_into_windows_once(table):
+    """All counts come from one reading of the texts and one exchange of the windows."""
+    found = collocations.phrase_counts(collocations.window_counts(table, 5))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

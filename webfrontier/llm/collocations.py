@@ -4,14 +4,18 @@ Every word begins one window: itself and the words behind it in its piece, as th
 words. Only these windows are counted. Spark's ROLLUP sums them over w4, then w3, then w2, and so gives the count
 of every shorter phrase, since an occurrence of a phrase is a window that begins with it.
 
-Most windows of four words are unlike all others. So that they needn't travel, a first pass counts phrases by their hash in a
-table of fixed size, and a window ends before the word with which its phrase falls into a slot of less than ``min_count``.
-No phrase that is frequent enough is cut by it, and neither are its parts, so the counts that are used are exact.
+Most windows of four words are unlike all others. So that they needn't travel, a first pass counts words and phrases by their
+hash in 2^34 slots, and a window ends before the word with which its phrase falls into a slot of less than ``min_count``; of a word
+that is too rare itself an empty window is left. No phrase that is frequent enough is cut by it, and neither are its parts, so the
+counts that are used are exact. Only slots in use are kept and travel, some two bytes for each, and the full ones come back as a
+table with bits in proportion to their number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +24,20 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webfrontier.llm.common import ship, whole_text, written
+from webfrontier.llm.common import settled, ship, whole_text
 
 MOST_WORDS, MIN_COUNT, TOP = 4, 30, 2000
 #: A candidate is dropped when a longer one around it has this share of its occurrences, in hundredths.
 ABSORBED = 80
 SCORE_SCALE = 2_000_000
-#: Slots of the first pass, as a power of two, whatever the size of the corpus: a byte each in a task, a bit each afterwards.
-SLOT_BITS = 26
-_BLOCK = 1 << 15
+#: Slots of the first pass, and blocks they travel in, as powers of two. A slot's place in its block and its count fill 32 bits.
+SLOT_BITS, BLOCK_BITS = 34, 10
+_PLACE_BITS = SLOT_BITS - BLOCK_BITS
+#: A table of full slots has so many bits at least and at most, as powers of two, and in between 64 or more for each full slot.
+LEAST_BITS, FULL_BITS, ROOM = 20, 29, 64
+#: A task sends its slots on beyond so many.
+MOST_SLOTS = 1 << 24
+_PLANES = ["low", "middle", "high", "counts"]
 #: Text is looked at in stretches of so many bytes (a longer text is one stretch), a task's word list is begun anew beyond so many words.
 STRETCH, MOST_KNOWN = 4_000_000, 400_000
 #: Bytes that end a piece become this one, which no UTF-8 text has; A to Z become a to z, and a tab a blank.
@@ -78,57 +87,107 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[by
 
 
 def _slots(words: Words, lang: str, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For phrases of two, three and four words: whether one begins at each word, and its slot."""
+    """For phrases of one to four words: whether one begins at each word, and its slot."""
     last = len(numbers) - MOST_WORDS
     hashes = words.hashes[numbers]
     phrase = hashes[:last] ^ np.uint64(xxhash.xxh3_64_intdigest(lang))
     whole = numbers[:last] > 0
+    yield whole, phrase >> np.uint64(64 - SLOT_BITS)
     for behind in range(1, MOST_WORDS):
         phrase = (phrase * np.uint64(0x9E3779B97F4A7C15)) ^ (phrase >> np.uint64(31))
         phrase = (phrase + hashes[behind : last + behind]) * np.uint64(0xD6E8FEB86659FD93)
         whole = whole & (numbers[behind : last + behind] > 0)
-        yield whole, (phrase >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        yield whole, phrase >> np.uint64(64 - SLOT_BITS)
+
+
+def _added(parts: list[np.ndarray]) -> np.ndarray:
+    """Slots with their counts in the lowest byte, in order and each slot once. Counts above 255 are not told apart."""
+    every = np.sort(np.concatenate(parts))
+    slots = every >> 8
+    new = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]][: len(slots)])
+    n = np.add.reduceat(every & 255, new) if len(new) else every
+    return (slots[new] << 8) | np.minimum(n, 255).astype(every.dtype)
+
+
+def _packed_blocks(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The slots of sorted parts: distances within a block and counts, each byte of them apart, as most bytes but the lowest are alike."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for at in range(0, 1 << BLOCK_BITS, 64):
+        ends = np.arange(at, at + 65, dtype=np.uint64) << np.uint64(32)
+        every = _added([part[slice(*np.searchsorted(part, ends[[0, -1]]))] for part in parts])
+        rows = []
+        for n, (start, stop) in enumerate(pairwise(np.searchsorted(every, ends)), at):
+            if start < stop:
+                block = every[start:stop].astype(np.uint32)
+                distances = np.diff(block >> 8, prepend=np.uint32(0))
+                planes = ((distances << 8) | (block & 255)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+                rows.append((n, *(pack.compress(planes[x].tobytes()) for x in (1, 2, 3, 0))))
+        if rows:
+            block, *planes = zip(*rows)
+            columns = [pa.array(block, pa.int32()), *[pa.array(x, pa.binary()) for x in planes]]
+            yield pa.RecordBatch.from_arrays(columns, ["block", *_PLANES])
+
+
+def _unpacked(planes: tuple[bytes, ...], unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+    low, middle, high, counts = (np.frombuffer(unpack.decompress(x), dtype=np.uint8) for x in planes)
+    distances = np.stack([low, middle, high, np.zeros_like(low)], axis=1).view("<u4")[:, 0]
+    return (np.cumsum(distances, dtype=np.uint32) << 8) | counts
 
 
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, words = np.zeros(1 << SLOT_BITS, dtype=np.uint8), Words()
+    parts, words = [], Words()
     for lang, texts in _stretches(batches):
         if len(words) > MOST_KNOWN:
             words = Words()
         numbers = words.read(texts)
-        for whole, slots in _slots(words, lang, numbers):
-            slots, n = np.unique(slots[whole], return_counts=True)
-            counts[slots] = np.minimum(counts[slots] + n, 255)
-    blocks = counts.reshape(-1, _BLOCK)
-    pack = zstandard.ZstdCompressor(level=1)
-    used = np.flatnonzero(blocks.any(axis=1))
-    for at in range(0, len(used), 64):
-        part = used[at : at + 64]
-        data = [pack.compress(blocks[n].tobytes()) for n in part]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(part, pa.int32()), "counts": pa.array(data, pa.binary())})
+        parts.append(_added([(slots[whole] << np.uint64(8)) | np.uint64(1) for whole, slots in _slots(words, lang, numbers)]))
+        if sum(map(len, parts)) > MOST_SLOTS:
+            yield from _packed_blocks(parts)
+            parts = []
+    if parts:
+        yield from _packed_blocks(parts)
 
 
 def _full_slots(min_count: int):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of a partition added up as they come; then a bit per slot with enough."""
-        totals: dict[int, np.ndarray] = {}
+        """Blocks of a partition in their order, each added up as its rows come; then a bit per part of a block with a full slot."""
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(unpack.decompress(counts), dtype=np.uint8)
-                total = totals.get(block)
-                # Numbers above min_count are not told apart, so a byte is enough.
-                totals[block] = counts.copy() if total is None else np.minimum(total + counts.astype(np.uint16), 255).astype(np.uint8)
-        for block, total in totals.items():
-            bits = np.packbits(total >= min(min_count, 255)).tobytes()
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bits": pa.array([bits], pa.binary())})
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        for block, group in groupby(rows, key=itemgetter(0)):
+            parts, size = [], 0
+            for _, *planes in group:
+                parts.append(_unpacked(planes, unpack))
+                size += len(parts[-1])
+                if size > MOST_SLOTS:
+                    parts, size = [_added(parts)], 0
+            total = _added(parts)
+            # Numbers above min_count are not told apart, so a byte is enough.
+            places = total[(total & 255) >= min(min_count, 255)] >> 8
+            if len(places):
+                there = np.zeros(1 << (FULL_BITS - BLOCK_BITS), dtype=bool)
+                there[places >> (SLOT_BITS - FULL_BITS)] = True
+                bits = zstandard.compress(np.packbits(there).tobytes(), 1)
+                columns = [pa.array([block], pa.int32()), pa.array([np.count_nonzero(there)], pa.int64()), pa.array([bits], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "n", "bits"])
 
     return sums
 
 
+def _table(blocks: dict[int, bytes], n: int) -> np.ndarray:
+    """Bits of all blocks, n of them set, in a table that has room for them: of neighbours that share a bit one is enough."""
+    size = min(FULL_BITS, max(LEAST_BITS, (ROOM * n).bit_length()))
+    table = np.zeros((1 << BLOCK_BITS, 1 << (size - BLOCK_BITS - 3)), dtype=np.uint8)
+    for block, bits in blocks.items():
+        there = np.zeros(1 << (size - BLOCK_BITS), dtype=bool)
+        there[np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.decompress(bits), dtype=np.uint8))) >> (FULL_BITS - size)] = True
+        table[block] = np.packbits(there)
+    return table.reshape(-1)
+
+
 def _windows(full):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, words, alone = full.value, Words(), {}
+        finer = np.uint64(SLOT_BITS + 1 - (8 * len(bits)).bit_length())
 
         def texts_of(names: pa.Array, numbers: np.ndarray) -> pa.Array:
             return names.take(pa.array(numbers, pa.int64()))
@@ -136,7 +195,6 @@ def _windows(full):
         def singles(names: pa.Array) -> Iterator[pa.RecordBatch]:
             for lang, n in alone.items():
                 there = np.flatnonzero(n)
-                there = there[there > 0]
                 none = pa.array([""] * len(there), pa.string())
                 columns = [pa.array([lang] * len(there), pa.string()), texts_of(names, there), none, none, none, pa.array(n[there], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", *WORDS, "n"])
@@ -150,15 +208,16 @@ def _windows(full):
                 words, alone = Words(), {}
             numbers = words.read(texts)
             last = len(numbers) - MOST_WORDS
-            longer, window = np.ones(last, dtype=bool), [numbers[:last]]
-            for behind, (whole, slots) in enumerate(_slots(words, lang, numbers), 1):
+            longer, window = np.ones(last, dtype=bool), []
+            for behind, (whole, slots) in enumerate(_slots(words, lang, numbers)):
                 longer = longer & whole
                 at = np.flatnonzero(longer)
-                slot = slots[at]
-                longer[at] = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+                slot = slots[at] >> finer
+                longer[at] = (bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1
                 window.append(np.where(longer, numbers[behind : last + behind], 0))
             several = window[1] > 0
             n = np.bincount(window[0][~several], minlength=len(words))
+            n[0] = np.count_nonzero((numbers[:last] > 0) & (window[0] == 0))
             n[: len(alone.get(lang, ()))] += alone.get(lang, np.zeros(0, dtype=np.int64))
             alone[lang] = n
             keys = np.stack([(window[0][several] << 32) | window[1][several], (window[2][several] << 32) | window[3][several]])
@@ -178,35 +237,34 @@ def _windows(full):
 
 
 def window_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """``(lang, w1, w2, w3, w4, n)``: the longest windows and how often they are there; a null lang is ``und``."""
+    """``(lang, w1, w2, w3, w4, n)``: the longest windows and how often they are there; a null lang is ``und``.
+
+    Words that are too rare are counted together, as the window without words."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().cast("binary").alias("text"))
-    blocks = rows.mapInArrow(_count_slots, "block int, counts binary").repartition("block")
-    bits = np.zeros((1 << SLOT_BITS) // 8, dtype=np.uint8)
-    # At most a bit per slot comes to the driver: 8 MB, whatever the input.
-    for row in blocks.mapInArrow(_full_slots(min_count), "block int, bits binary").toLocalIterator():
-        start = row["block"] * _BLOCK // 8
-        bits[start : start + _BLOCK // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
-    full = spark.sparkContext.broadcast(bits)
+    slots = rows.mapInArrow(_count_slots, "block int, " + ", ".join(f"{x} binary" for x in _PLANES)).repartition("block").sortWithinPartitions("block")
+    blocks, n = {}, 0
+    table = settled(slots.mapInArrow(_full_slots(min_count), "block int, n long, bits binary"), "full-slots")
+    # At most a bit for 32 slots comes to the driver: 64 MB, whatever the input, and packed.
+    for row in table.toLocalIterator():
+        blocks[row["block"]] = bytes(row["bits"])
+        n += row["n"]
+    full = spark.sparkContext.broadcast(_table(blocks, n))
     windows = rows.mapInArrow(_windows(full), "lang string, w1 string, w2 string, w3 string, w4 string, n long")
     return windows.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(windows: DataFrame) -> DataFrame:
     """``(lang, k, phrase, f)`` from the counts of the longest windows; k is the number of words, and the row with k 0 has the
-    number of all words. A window of one word needs no summing over the others."""
-    several = windows.where("w2 <> ''").rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    number of all words."""
+    summed = windows.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     ends = [(0b01111, 0), (0b00111, 1), (0b00011, 2), (0b00001, 3), (0b00000, 4)]
     words = F.array(*WORDS)
     k = F.coalesce(*[F.when(F.col("level") == bits, F.lit(n)) for bits, n in ends])
-    summed = several.select("lang", k.alias("k"), words.alias("words"), "f").where("k IS NOT NULL")
+    summed = summed.select("lang", k.alias("k"), words.alias("words"), "f").where("k IS NOT NULL")
     summed = summed.where((F.col("k") == 0) | (F.get("words", F.col("k") - 1) != ""))
-    summed = summed.select("lang", "k", F.array_join(F.slice("words", 1, F.col("k")), " ").alias("phrase"), "f")
-    single = windows.where("w2 = ''")
-    alone = single.select("lang", F.lit(1).alias("k"), F.col("w1").alias("phrase"), F.col("n").alias("f"))
-    every = single.groupBy("lang").agg(F.sum("n").alias("f")).select("lang", F.lit(0).alias("k"), F.lit("").alias("phrase"), "f")
-    return summed.unionByName(alone).unionByName(every).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return summed.select("lang", "k", F.array_join(F.slice("words", 1, F.col("k")), " ").alias("phrase"), "f")
 
 
 def _joined(words: Column, start, length) -> Column:
@@ -239,7 +297,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
     read whole; a language with less than ``top`` phrases gives what it has, one without any gives no row.
     """
     counts = phrase_counts(window_counts(docs, min_count))
-    counts = written(counts.where((F.col("k") == 0) | (F.col("f") >= min_count)), "phrase-counts")
+    counts = settled(counts.where((F.col("k") == 0) | (F.col("f") >= min_count)), "phrase-counts")
     candidates = scored(counts)
     parts = counts.where("k >= 3").select("lang", F.split("phrase", " ").alias("words"), "f")
     places = F.sequence(F.lit(1), F.size("words") - F.col("k") + 1)
