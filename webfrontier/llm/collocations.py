@@ -4,11 +4,10 @@ Every word begins one window: itself and the words behind it in its piece, as th
 words. Only these windows are counted. Spark's ROLLUP sums them over w4, then w3, then w2, and so gives the count
 of every shorter phrase, since an occurrence of a phrase is a window that begins with it.
 
-Most windows of four words are unlike all others. So that they needn't travel, a first pass counts words and phrases by their
-hash in 2^34 slots, and a window ends before the word with which its phrase falls into a slot of less than ``min_count``; of a word
-that is too rare itself an empty window is left. No phrase that is frequent enough is cut by it, and neither are its parts, so the
-counts that are used are exact. Only slots in use are kept and travel, some two bytes for each, and the full ones come back as a
-table with bits in proportion to their number.
+Most windows of four words are unlike all others. So that they needn't travel, a first pass counts phrases by their hash in
+2^34 slots, and a window ends before the word with which its phrase falls into a slot of less than ``min_count``. No phrase that is
+frequent enough is cut by it, and neither are its parts, so the counts that are used are exact. Only slots in use are kept and
+travel, some two bytes for each, and the full ones come back as a table with bits in proportion to their number.
 """
 
 from __future__ import annotations
@@ -87,12 +86,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[by
 
 
 def _slots(words: Words, lang: str, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For phrases of one to four words: whether one begins at each word, and its slot."""
+    """For phrases of two, three and four words: whether one begins at each word, and its slot."""
     last = len(numbers) - MOST_WORDS
     hashes = words.hashes[numbers]
     phrase = hashes[:last] ^ np.uint64(xxhash.xxh3_64_intdigest(lang))
     whole = numbers[:last] > 0
-    yield whole, phrase >> np.uint64(64 - SLOT_BITS)
     for behind in range(1, MOST_WORDS):
         phrase = (phrase * np.uint64(0x9E3779B97F4A7C15)) ^ (phrase >> np.uint64(31))
         phrase = (phrase + hashes[behind : last + behind]) * np.uint64(0xD6E8FEB86659FD93)
@@ -195,6 +193,7 @@ def _windows(full):
         def singles(names: pa.Array) -> Iterator[pa.RecordBatch]:
             for lang, n in alone.items():
                 there = np.flatnonzero(n)
+                there = there[there > 0]
                 none = pa.array([""] * len(there), pa.string())
                 columns = [pa.array([lang] * len(there), pa.string()), texts_of(names, there), none, none, none, pa.array(n[there], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", *WORDS, "n"])
@@ -208,8 +207,8 @@ def _windows(full):
                 words, alone = Words(), {}
             numbers = words.read(texts)
             last = len(numbers) - MOST_WORDS
-            longer, window = np.ones(last, dtype=bool), []
-            for behind, (whole, slots) in enumerate(_slots(words, lang, numbers)):
+            longer, window = np.ones(last, dtype=bool), [numbers[:last]]
+            for behind, (whole, slots) in enumerate(_slots(words, lang, numbers), 1):
                 longer = longer & whole
                 at = np.flatnonzero(longer)
                 slot = slots[at] >> finer
@@ -217,7 +216,6 @@ def _windows(full):
                 window.append(np.where(longer, numbers[behind : last + behind], 0))
             several = window[1] > 0
             n = np.bincount(window[0][~several], minlength=len(words))
-            n[0] = np.count_nonzero((numbers[:last] > 0) & (window[0] == 0))
             n[: len(alone.get(lang, ()))] += alone.get(lang, np.zeros(0, dtype=np.int64))
             alone[lang] = n
             keys = np.stack([(window[0][several] << 32) | window[1][several], (window[2][several] << 32) | window[3][several]])
@@ -237,9 +235,7 @@ def _windows(full):
 
 
 def window_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """``(lang, w1, w2, w3, w4, n)``: the longest windows and how often they are there; a null lang is ``und``.
-
-    Words that are too rare are counted together, as the window without words."""
+    """``(lang, w1, w2, w3, w4, n)``: the longest windows and how often they are there; a null lang is ``und``."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().cast("binary").alias("text"))
